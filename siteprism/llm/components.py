@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(rounds):
         edges = materialise(_star(_star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum("b")).first()
+        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
