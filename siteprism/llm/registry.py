@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteprism.llm import decontaminate, simhash
+from siteprism.llm import decontaminate, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": mixing.query,
     "op6_simhash_near_dedup": simhash.query,
     "op10_decontamination": decontaminate.query,
 }
