@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteprism.llm import decontaminate, mixing, simhash
+from siteprism.llm import decontaminate, mixing, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": mixing.query,
     "op6_simhash_near_dedup": simhash.query,
+    "op7_warc": warc.query,
     "op10_decontamination": decontaminate.query,
 }
 
 SQL: dict[str, str] = {
+    "op7_warc": warc.SQL,
     "op10_decontamination": decontaminate.SQL,
 }
