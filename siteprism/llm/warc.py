@@ -14,8 +14,8 @@ from siteprism.llm.common import fresh_path, pieces, raw, table
 
 #: Bytes of a record's block beyond which it goes on in continuation records; bytes of a transfer chunk.
 SEGMENT, CHUNK = 64 << 10, 8 << 10
-#: Payloads of fewer bytes are never revisits. Pages in an archive file at most.
-LEAST, FILE_PAGES = 1000, 10_000
+#: Payloads of fewer bytes are never revisits. Records in an archive file at most.
+LEAST, FILE_RECORDS = 1000, 4_000
 
 _CRLF = b"\r\n"
 _DATE = "2020-01-01T00:00:00Z"
@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
     lines = told.mapInArrow(run, "value string")
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_PAGES).text(path)
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
