@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteprism.llm import decontaminate, htmltext, mixing, simhash, warc
+from siteprism.llm import decontaminate, htmltext, langid, mixing, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": mixing.query,
+    "op5_language_id": langid.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_warc": warc.query,
     "op9_main_text": htmltext.query,
