@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteprism.llm import decontaminate, htmltext, langid, mixing, quality, simhash, warc
+from siteprism.llm import decontaminate, htmltext, langid, mixing, neighbours, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": mixing.query,
     "op3_line_quality": quality.query,
+    "op4_nearest_neighbours": neighbours.query,
     "op5_language_id": langid.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_warc": warc.query,
