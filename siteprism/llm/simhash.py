@@ -185,20 +185,17 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, homes: int = HOMES) -> Dat
     an anchor with over ``homes`` home fingerprints the pairs would grow with the square, so all that reach it
     are linked by common midpoints instead (exact too, for a threshold of 2).
     """
-    home, replica = _homes(fps), _replicas(fps, threshold)
+    if threshold != 2 and homes < 1 << 40:
+        raise ValueError("crowded anchors are linked by midpoints, which fit a threshold of 2")
+    home = _homes(fps)
     crowd = home.groupBy("anchor").agg(F.count("*").alias("n"))
-    home = home.join(crowd, "anchor")
-    met = replica.join(home.where(F.col("n") <= homes).select("anchor", "home"), "anchor")
-    near = met.where((F.col("fp") > F.col("home")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("home"))) <= threshold))
-    plain = near.select(F.col("fp").alias("a"), F.col("home").alias("b"))
-    if threshold != 2:
-        return plain if homes >= 1 << 40 else _refuse()
-    crowded = replica.join(crowd.where(F.col("n") > homes).select("anchor"), "anchor", "left_semi").select("fp").distinct()
-    return plain.unionByName(_by_midpoint(crowded))
-
-
-def _refuse() -> DataFrame:
-    raise ValueError("crowded anchors are linked by midpoints, which fit a threshold of 2")
+    few = home.join(crowd.where(F.col("n") <= homes), "anchor").select("anchor", "home")
+    # one row stands for a crowded anchor, so that one shuffle of the replicas serves both ways
+    at = few.unionByName(crowd.where(F.col("n") > homes).select("anchor", F.lit(None).cast("long").alias("home")))
+    near = (F.col("fp") > F.col("home")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("home"))) <= threshold)
+    met = materialise(_replicas(fps, threshold).join(at, "anchor").where(F.col("home").isNull() | near).select("fp", "home"), "met")
+    plain = met.where("home is not null").select(F.col("fp").alias("a"), F.col("home").alias("b"))
+    return plain.unionByName(_by_midpoint(met.where("home is null").select("fp").distinct()))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
