@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteprism.llm import decontaminate, htmltext, langid, mixing, neighbours, quality, simhash, warc
+from siteprism.llm import decontaminate, htmltext, langid, mixing, neighbours, quality, repeats, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": langid.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_warc": warc.query,
+    "op8_repeated_bytes": repeats.query,
     "op9_main_text": htmltext.query,
     "op10_decontamination": decontaminate.query,
 }
