@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteprism.llm import decontaminate, htmltext, langid, mixing, neighbours, quality, repeats, simhash, warc
+from siteprism.llm import chat, decontaminate, htmltext, langid, mixing, neighbours, quality, repeats, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": chat.query,
     "op2_source_mixing": mixing.query,
     "op3_line_quality": quality.query,
     "op4_nearest_neighbours": neighbours.query,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_chat_format": chat.SQL,
     "op7_warc": warc.SQL,
     "op10_decontamination": decontaminate.SQL,
 }
