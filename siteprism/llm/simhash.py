@@ -44,14 +44,16 @@ def fingerprint(hashes: np.ndarray, step: int = 1 << 16) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (long, the unsigned value's bits) of every row; null text counts as empty."""
+    """The columns of every row but its text, and fp (long, the unsigned value's bits); null text counts as empty."""
+    rest = docs.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 8 << 20):
             fp = np.array([fingerprint(shingle_hashes(t, size)) for t in raw(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            names = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["fp long"]))
 
 
 # The anchors: codewords of three binary Golay codes side by side. 64 bits are blocks of 22, 21 and 21, each
@@ -198,6 +200,13 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, homes: int = HOMES) -> Dat
     return plain.unionByName(_by_midpoint(met.where("home is null").select("fp").distinct()))
 
 
+def components(fp: DataFrame) -> DataFrame:
+    """fp, root: the least fingerprint that each distinct one of column fp reaches over links."""
+    own = materialise(fp.select("fp").distinct(), "distinct")
+    found = connected_components(links(own))
+    return own.join(found, own.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp (long), component_id: the least doc_id reachable over links, per document row.
 
@@ -205,15 +214,29 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     and link like any other. A null doc_id keeps its row, and names a component only if no other does. Empty
     input gives an empty result; repeated rows give repeated results.
     """
-    fp = materialise(fingerprints(docs, size), "fingerprints")
-    own = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = connected_components(links(own.select("fp")))
-    rooted = own.join(found, own.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    fp = materialise(fingerprints(docs.select("doc_id", "text"), size), "fingerprints")
+    rooted = fp.groupBy("fp").agg(F.min("doc_id").alias("least")).join(components(fp), "fp")
     name = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(name, "root").select("fp", "component_id")
     return fp.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One document row of each group of near duplicates: that of least doc_id (null last), in its own columns.
+
+    Of rows that share doc_id and text one stays, whichever.
+    """
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    fp = materialise(fingerprints(keyed, size), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    by_fp = fp.groupBy("fp").agg(F.min(order).alias("first")).join(components(fp), "fp")
+    first = by_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t"))
+    held = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # the join has dealt rows by doc_id and text already, so no second shuffle follows
+    met = held.join(first, held.doc_id.eqNullSafe(F.col("_d")) & (held._th == F.col("_t")))
+    return met.dropDuplicates(["_d", "_t"]).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
