@@ -105,7 +105,7 @@ def _occurrences(docs: DataFrame, length: int, block: int = 1 << 20) -> DataFram
 
 def _fragments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The wanted runs with the bytes they span, cut from their documents."""
-    asked = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "anchor", "frag", "copies", "shards")).alias("runs"))
+    asked = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "anchor", "frag", "copies", "kinds")).alias("runs"))
     met = docs.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "text")
     met = met.join(asked, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))).select("doc_id", "th", "text", "runs")
 
@@ -118,11 +118,11 @@ def _fragments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             start, n = flat.field("start").to_pylist(), flat.field("n").to_pylist()
             bits = [texts[i][s : s + k + length - 1] for i, s, k in zip(own.to_pylist(), start, n)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(own), batch.column("th").take(own), *(flat.field(c) for c in ("start", "n", "anchor", "frag", "copies", "shards")), pa.array(bits, pa.binary())],
-                ["doc_id", "th", "start", "n", "anchor", "frag", "copies", "shards", "bits"],
+                [batch.column("doc_id").take(own), batch.column("th").take(own), *(flat.field(c) for c in ("start", "n", "anchor", "frag", "copies", "kinds")), pa.array(bits, pa.binary())],
+                ["doc_id", "th", "start", "n", "anchor", "frag", "copies", "kinds", "bits"],
             )
 
-    return met.mapInArrow(run, "doc_id long, th long, start long, n int, anchor long, frag long, copies long, shards int, bits binary")
+    return met.mapInArrow(run, "doc_id long, th long, start long, n int, anchor long, frag long, copies long, kinds long, bits binary")
 
 
 # The merge. A text is read as words of ``step`` bytes, at each of its ``step`` phases, so that DEPTH symbols spell
@@ -130,20 +130,33 @@ def _fragments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 # hundreds of rounds for. A shard's transform lists, in the order of the suffixes, the symbol before each suffix.
 
 
+def _stable_order(values: np.ndarray) -> np.ndarray:
+    """Stable order of codes from 0 to 2^32 by two rounds of radix sort (numpy's own below 17 bits)."""
+    low = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    if int(values.max(initial=0)) < 1 << 16:
+        return low
+    return low[np.argsort((values[low] >> 16).astype(np.uint16), kind="stable")]
+
+
 def spelled(bits: list[bytes], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols at every place of the texts, with -1 where a text has no more whole symbol, and where each begins.
+    """Symbols at every place of the texts, with -1 where there is none, and where each begins.
 
-    Behind each text stand ``step`` places without a symbol: the ends of its phases.
+    Behind each text stand ``step`` places without a symbol: the ends of its phases. Symbols that occur once
+    can't be part of a repeated string, so they are ends too (most by a count of hashes, the rest exactly).
     """
     gap = bytes(step)
     data = np.frombuffer(b"".join(x for b in bits for x in (b, gap)) + gap, np.uint8)
     size = np.array([len(b) for b in bits])
     first = np.concatenate([[0], np.cumsum(size + step)])
     codes = gram_hashes(data, step)[: first[-1]]
-    _, symbol = np.unique(codes, return_inverse=True)
-    symbol = symbol.astype(np.int32)
     into = np.arange(first[-1]) - np.repeat(first[:-1], size + step)
-    symbol[into > np.repeat(size - step, size + step)] = -1
+    real = np.flatnonzero(into <= np.repeat(size - step, size + step))
+    slot = (_mixed(codes[real]) >> np.uint64(42)).astype(np.int64)
+    real = real[np.bincount(slot, minlength=1 << 22)[slot] > 1]
+    _, number, counts = np.unique(codes[real], return_inverse=True, return_counts=True)
+    again = counts[number] > 1
+    symbol = np.full(first[-1], -1, np.int32)
+    symbol[real[again]] = number[again]
     return symbol, first, into
 
 
@@ -157,7 +170,7 @@ class Transform:
     def of(cls, start: int, end: int, symbol: np.ndarray, into: np.ndarray, step: int) -> Transform:
         """The transform of the texts at places start to end, by sorting this shard's suffixes alone."""
         own = np.arange(start, end)
-        # a place behind a text's last whole symbol is the end of a phase only if a symbol stands one step before it
+        # a place without a symbol is an end only if a symbol stands one step before it
         real = (symbol[own] >= 0) | ((into[own] >= step) & (symbol[np.maximum(own - step, 0)] >= 0))
         own = own[real]
         keys, at, live = [], own, np.ones(len(own), bool)
@@ -166,7 +179,9 @@ class Transform:
             keys.append(key)
             live = live & (key >= 0)
             at = np.minimum(at + step, len(symbol) - 1)
-        order = np.lexsort(keys[::-1])
+        order = _stable_order(keys[-1] + 1)
+        for key in keys[-2::-1]:
+            order = order[_stable_order(key[order] + 1)]
         return cls(own[order], _before(own[order], symbol, into, step))
 
 
@@ -191,7 +206,7 @@ def merge(a: Transform, b: Transform) -> tuple[Transform, np.ndarray]:
         before = np.empty(len(z), np.int32)
         before[~z], before[z] = a.before, b.before
         has = np.flatnonzero(before >= 0)
-        order = has[np.argsort(before[has], kind="stable")]
+        order = has[_stable_order(before[has])]
         new = np.ones(len(order), bool)
         new[1:] = (before[order[1:]] != before[order[:-1]]) | (block[order[1:]] != block[order[:-1]])
         z = np.concatenate([np.zeros(ends[0], bool), np.ones(ends[1], bool), z[order]])
@@ -207,10 +222,10 @@ def _ends(t: Transform) -> int:
     return len(t.before) - int((t.before >= 0).sum())
 
 
-def repeated_starts(bits: list[bytes], n: list[int], sure: list[bool], length: int = LENGTH, shard: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_starts(bits: list[bytes], n: list[int], sure: list[bool], length: int = LENGTH, shard: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """For each of the first ``n`` starts of each text, whether its string starts elsewhere too (texts end to end).
 
-    Also the texts' first places in that, and a number for each start that equal strings share. A text that is
+    Also the texts' first places in that. A text that is
     ``sure`` stands for several copies, so its strings are all repeated.
     """
     step = length // DEPTH
@@ -230,7 +245,7 @@ def repeated_starts(bits: list[bytes], n: list[int], sure: list[bool], length: i
         parts = [m for m, _ in merged] + (parts[-1:] if len(parts) % 2 else [])
     suffixes = parts[0].suffixes
     limit = np.repeat(np.array(n), np.diff(first))
-    starts = into[suffixes] < limit[suffixes]
+    starts = (into[suffixes] < limit[suffixes]) & _spells(suffixes, symbol, step)
     places, number = suffixes[starts], block[starts]
     weight = 1 + np.repeat(np.array(sure, np.int64), np.diff(first))[places]
     counts = np.bincount(number, weight)
@@ -238,7 +253,18 @@ def repeated_starts(bits: list[bytes], n: list[int], sure: list[bool], length: i
     held[places] = number
     wanted = into < limit
     number = held[wanted]
-    return counts[number] > 1, np.concatenate([[0], np.cumsum(n)]), number
+    # starts whose first symbol was cut off are in no block
+    found = (number >= 0) & (counts[number] > 1) if len(counts) else np.zeros(len(number), bool)
+    return found | np.repeat(np.array(sure, bool), n), np.concatenate([[0], np.cumsum(n)])
+
+
+def _spells(suffixes: np.ndarray, symbol: np.ndarray, step: int) -> np.ndarray:
+    """Whether DEPTH symbols follow one another from each suffix on."""
+    out, at = np.ones(len(suffixes), bool), suffixes
+    for _ in range(DEPTH):
+        out &= symbol[at] >= 0
+        at = np.minimum(at + step, len(symbol) - 1)
+    return out
 
 
 def _runs(flags: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,15 +279,13 @@ def _runs(flags: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return text[at[begin]], at[begin] - first[text[at[begin]]], np.diff(np.append(begin, len(at)))
 
 
-_FOUND = "doc_id long, th long, start long, n int, w1 long, w2 long, copies long"
+_FOUND = "doc_id long, th long, start long, n int"
 
 
 def _resolved(fragments: DataFrame, length: int) -> DataFrame:
-    """What shards of fragments tell: runs of repeated starts (w1 null), and strings of crowded anchors by hash.
+    """Runs of repeated starts in fragments (key, copies, doc_id, th, start, n, bits) that lie key by key.
 
-    Rows lie anchor by anchor. A crowded anchor's fragments are spread over several shares, so a string that is
-    alone in its share may have its equal in another: it comes out with its hash, and so does one of each that
-    is repeated.
+    What has one key is told together; several keys are told at once as long as they are small.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,52 +294,108 @@ def _resolved(fragments: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column("anchor").to_numpy(), batch.column("share").to_numpy()], axis=1)
+            key = batch.column("key").to_numpy()
             length_of = np.diff(utf8(batch.column("bits"))[1])
-            cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
+            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             begin = 0
             for a, b in zip(cut[:-1], cut[1:]):
-                if size >= 2 * SHARD_BYTES and tuple(key[a]) != last:
+                if size >= 2 * SHARD_BYTES and key[a] != last:
                     if a > begin:
                         held.append(batch.slice(begin, a - begin))
                     yield _told(held, length)
                     held, size, begin = [], 0, a
                 size += int(length_of[a:b].sum())
-                last = tuple(key[a])
+                last = key[a]
             held.append(batch.slice(begin))
         if held:
             yield _told(held, length)
 
-    return fragments.mapInArrow(run, _FOUND)
+    return fragments.select("key", "copies", "doc_id", "th", "start", "n", "bits").mapInArrow(run, _FOUND)
 
 
 def _told(held: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
     rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    bits = rows.column("bits").to_pylist()
     n = rows.column("n").to_numpy()
     sure = rows.column("copies").to_numpy() > 1
-    flags, first, number = repeated_starts(bits, n.tolist(), sure.tolist(), length)
-    text = np.repeat(np.arange(len(n)), n)
-    t, start, count = _runs(flags & ~sure[text], first)
-    begin = rows.column("start").to_numpy()
-    out = [(t, begin[t] + start, count, None, None, np.zeros(len(t), np.int64))]
-    crowded = rows.column("shards").to_numpy() > 1
-    at = np.flatnonzero(crowded[text])
-    if len(at):
-        at = at[np.unique(number[at], return_index=True)[1]]  # one of each different string
-        own, place = text[at], at - first[text[at]]
-        strings = [bits[i][p : p + length] for i, p in zip(own.tolist(), place.tolist())]
-        digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in strings), np.int64).reshape(-1, 2)
-        out.append((own, begin[own] + place, np.ones(len(own), np.int64), digest[:, 0], digest[:, 1], 1 + flags[at].astype(np.int64)))
-    nulls = pa.nulls(len(t), pa.int64())
-    own = np.concatenate([o[0] for o in out])
-    return pa.RecordBatch.from_arrays(
-        [
-            rows.column("doc_id").take(pa.array(own)), rows.column("th").take(pa.array(own)), pa.array(np.concatenate([o[1] for o in out])),
-            pa.array(np.concatenate([o[2] for o in out]).astype(np.int32)), *(pa.concat_arrays([nulls, pa.array(out[1][k])]) if len(out) > 1 else nulls for k in (3, 4)), pa.array(np.concatenate([o[5] for o in out])),
-        ],
-        ["doc_id", "th", "start", "n", "w1", "w2", "copies"],
-    )
+    flags, first = repeated_starts(rows.column("bits").to_pylist(), n.tolist(), sure.tolist(), length)
+    t, start, count = _runs(flags & ~sure[np.repeat(np.arange(len(n)), n)], first)
+    own = pa.array(t)
+    return pa.RecordBatch.from_arrays([rows.column("doc_id").take(own), rows.column("th").take(own), pa.array(rows.column("start").to_numpy()[t] + start), pa.array(count.astype(np.int32))], ["doc_id", "th", "start", "n"])
+
+
+#: A crowded key's fragments: ``lo`` is the least place of the anchor in the strings that the key stands for, ``at`` the
+#: anchor's place in the fragment.
+_PART = "key long, frag long, copies long, doc_id long, th long, start long, n int, lo int, at int, bits binary"
+
+
+def _halves(fragments: DataFrame, length: int, width: int) -> DataFrame:
+    """Fragments of crowded keys, each cut into two: the strings with the anchor in the lower and in the upper half.
+
+    ``width`` is how many places of the anchor a half has. All strings of a half hold the bytes between its
+    first string's start and its last one's end, so these bytes make the new key: equal strings keep equal keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "bits", 4 << 20):
+            cols = {c: batch.column(c).to_pylist() for c in ("key", "start", "n", "lo", "at", "bits")}
+            own, out = [], []
+            for i, (key, start, n, lo, at, bits) in enumerate(zip(*cols.values())):
+                for low in (lo, lo + width):
+                    high = min(low + width - 1, length - GRAM)
+                    # a string that starts at s has the anchor at its place at - s
+                    s, e = max(0, at - high), min(n - 1, at - low)
+                    if s > e:
+                        continue
+                    block = bits[at - low : at - high + length]
+                    own.append(i)
+                    part = bits[s : e + length]
+                    out.append((xxhash.xxh3_64_intdigest(b"%d %d " % (key, low) + block), xxhash.xxh3_64_intdigest(part), start + s, e - s + 1, low, at - s, part))
+            at = pa.array(own, pa.int64())
+            key, frag, start, n, lo, place, bits = zip(*out) if out else [()] * 7
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [signed(key), signed(frag), *(batch.column(c).take(at) for c in ("copies", "doc_id", "th")), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(lo, pa.int32()), pa.array(place, pa.int32()), pa.array(bits, pa.binary())],
+                ["key", "frag", "copies", "doc_id", "th", "start", "n", "lo", "at", "bits"],
+            )
+
+    return fragments.mapInArrow(run, _PART)
+
+
+def _placed(fragments: DataFrame, length: int) -> DataFrame:
+    """Fragments with the place of their anchor: where its gram first occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [int(np.argmax(_mixed(gram_hashes(np.frombuffer(b, np.uint8), GRAM)).view(np.int64) == k)) for b, k in zip(batch.column("bits").to_pylist(), batch.column("key").to_pylist())]
+            yield batch.append_column("at", pa.array(at, pa.int32()))
+
+    rows = fragments.select("key", "frag", "copies", "doc_id", "th", "start", "n", F.lit(0).alias("lo"), "bits")
+    return rows.mapInArrow(run, "key long, frag long, copies long, doc_id long, th long, start long, n int, lo int, bits binary, at int")
+
+
+def _uncrowded(crowd: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Crowded fragments split by more and more of the bytes around the anchor: runs that are told, and small groups.
+
+    Each round halves the places that an anchor can have in a key's strings. Strings that differ near the anchor
+    part, what turns out equal as a whole is told, what is alone goes, and what is still crowded is halved again;
+    after nine rounds a key is a whole string. A fragment gives a few rows a round, however many share its anchor.
+    """
+    told, small, width = [], [], 1
+    while width < length - GRAM + 1:
+        width *= 2
+    crowd = _placed(crowd, length)
+    while width > 1 and not crowd.isEmpty():
+        width //= 2
+        parts = materialise(_halves(crowd, length, width), "halves")
+        kinds = parts.groupBy("key", "frag").agg(F.sum("copies").alias("total"))
+        again = kinds.where("total > 1").select("key", "frag")
+        told.append(parts.where("copies = 1").join(again, ["key", "frag"], "left_semi").select("doc_id", "th", "start", "n"))
+        groups = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("total").alias("least")).where("kinds > 1 and least = 1").select("key", "kinds")
+        rest = parts.groupBy("key", "frag").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n", "lo", "at", "bits")).alias("r"))
+        rest = materialise(rest.join(groups, "key").select("key", "frag", "copies", "r.*", "kinds"), "parts")
+        small.append(rest.where(F.col("kinds") <= GROUP))
+        crowd = rest.where(F.col("kinds") > GROUP).drop("kinds")
+    return told, small
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -323,8 +403,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ``docs`` has doc_id, th (a hash of the text) and text. Only what shares an anchor can be equal, so anchors
     that occur once are put aside first. Where all occurrences of an anchor span the same bytes, the runs are
-    repeated as they are; the rest is told by merged transforms of the spanned bytes, different ones once. No
-    anchor's fragments go to one task beyond GROUP: the strings of crowded anchors meet by hash across shares.
+    repeated as they are; the rest is told by merged transforms of the spanned bytes, different ones once. An
+    anchor with over GROUP different fragments is first split by the bytes around it (``_uncrowded``).
     """
     seen = materialise(_occurrences(docs, length), "runs")
     often = seen.groupBy("anchor").agg(F.count("*").alias("k"), F.min("frag").alias("low"), F.max("frag").alias("high")).where("k > 1")
@@ -335,15 +415,15 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     frags = materialise(mixed.groupBy("anchor", "frag").agg(F.count("*").alias("copies"), F.min(place).alias("at")), "fragments")
     copied = mixed.join(frags.where("copies > 1").select("anchor", "frag"), ["anchor", "frag"], "left_semi").select("doc_id", "th", "start", "n")
     kinds = frags.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("least = 1")
-    wanted = frags.join(kinds.select("anchor", F.ceil(F.col("kinds") / GROUP).cast("int").alias("shards")), "anchor").select("anchor", "frag", "copies", "shards", "at.*")
-    bits = _fragments(docs, wanted, length).withColumn("share", F.pmod(F.xxhash64("frag"), F.col("shards")))
-    bits = bits.repartition("anchor", "share").sortWithinPartitions("anchor", "share")
-    found = materialise(_resolved(bits, length), "found")
-    direct = found.where("w1 is null").select("doc_id", "th", "start", "n")
-    strings = found.where("w1 is not null")
-    twice = strings.groupBy("w1", "w2").agg(F.sum("copies").alias("total")).where("total > 1").select("w1", "w2")
-    across = strings.where("copies = 1").join(twice, ["w1", "w2"]).select("doc_id", "th", "start", "n")
-    return whole.unionByName(copied).unionByName(direct).unionByName(across)
+    wanted = frags.join(kinds.select("anchor", "kinds"), "anchor").select("anchor", "frag", "copies", "kinds", "at.*")
+    bits = materialise(_fragments(docs, wanted, length).withColumnRenamed("anchor", "key"), "bits")
+    told, small = _uncrowded(bits.where(F.col("kinds") > GROUP), length)
+    out = whole.unionByName(copied)
+    for rows in (bits.where(F.col("kinds") <= GROUP), *small):
+        out = out.unionByName(_resolved(rows.repartition("key").sortWithinPartitions("key"), length))
+    for rows in told:
+        out = out.unionByName(rows)
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
