@@ -102,13 +102,13 @@ def priority_links(links: DataFrame, top: int = 3, **tokens: tuple) -> DataFrame
     Internal, on the page's host, with a path of its own, scoring above zero; distinct; best score first, then
     by URL. ``tokens`` replace the token lists of the score (denied, scores).
     """
-    target = urls.link_target("url")
-    rows = links.where(urls.is_internal("base", "url")).withColumn("link", target).where("link is not null")
     bare = lambda c: F.regexp_replace(c, "/+$", "")
-    own = bare(urls.path("link"))
-    rows = rows.where((own != "") & (own != bare(urls.path("base"))))
-    score = urls.link_score(urls.ascii_lower(F.trim(urls.path("link"))), urls.ascii_lower(squeeze("label")), **tokens)
+    # each stage is computed once: filters on what a generator makes are not pushed into its expressions
+    once = lambda df, *cols: df.select("page_id", "base", "pos", "label", F.inline(F.array(F.struct(*cols))))
+    rows = once(links.where(urls.is_internal("base", "url")), urls.link_target("url").alias("link"), bare(urls.path("base")).alias("here")).where("link is not null")
+    rows = once(rows, "link", "here", bare(urls.path("link")).alias("own"), F.trim(urls.path("link")).alias("path")).where("own <> '' and own <> here")
+    score = urls.link_score(urls.ascii_lower("path"), urls.ascii_lower(squeeze("label")), **tokens)
     # of several labels the first in the page counts, as the link is taken up once
-    best = rows.withColumn("score", score).where("score > 0").withColumn("again", F.row_number().over(W.partitionBy("page_id", "link").orderBy("pos"))).where("again = 1")
+    best = once(rows, "link", score.alias("score")).where("score > 0").withColumn("again", F.row_number().over(W.partitionBy("page_id", "link").orderBy("pos"))).where("again = 1")
     place = F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("score"), "link"))
     return best.withColumn("place", place).where(F.col("place") <= top).select("page_id", "link", "score", "place")

@@ -133,7 +133,7 @@ def match_joined(stacks: DataFrame, pattern: DataFrame) -> DataFrame:
     p = p.select(F.col("source").alias("_s"), fold(F.col("qualifier"), F.col("source")).alias("_q"), "name", "pack", "idx", F.concat(F.lit("(?i)"), "regex").alias("_re"), "confidence")
     rows = stacks.withColumn("_k", fold(F.col("qualifier"), F.col("source")))
     met = rows.join(p, (F.col("source") == F.col("_s")) & (F.col("_k") == F.col("_q")) & F.expr("text rlike _re"))
-    value = truncated(F.regexp_extract("text", F.col("_re"), 0))
+    value = truncated(F.expr("regexp_extract(text, _re, 0)"))
     return _finished(met.select("lead", "source", "field", "name", "pack", "idx", "confidence", F.lit(None).cast("string").alias("version"), value.alias("matched_value")))
 
 

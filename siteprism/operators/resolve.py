@@ -24,21 +24,19 @@ def excludes(found: DataFrame, edge: DataFrame) -> DataFrame:
 def requires(found: DataFrame, edge: DataFrame, rounds: int = REQUIRES_ROUNDS) -> DataFrame:
     """Only what finds all it requires and any of the categories that it requires, to a fixed point.
 
-    Unrolled, without a driver action. The fixed point runs on the distinct names alone and the detections
-    are joined once at the end.
+    A lead's distinct names, at most as many as the catalog has, are one array; the rounds are a fold over it,
+    in one expression, and the detections are joined to what is left.
     """
-    need = edge.where("kind = 'requires'").select("name", "target")
-    any_of = edge.where("kind = 'requires_category'").select("name", "category")
-    here = found.select("lead", "name", "categories")
-    for _ in range(rounds):
-        names = here.select("lead", F.col("name").alias("target")).distinct()
-        lacking = here.select("lead", "name").distinct().join(need, "name").join(names, ["lead", "target"], "left_anti").select("lead", "name")
-        cats = here.select("lead", F.explode("categories").alias("category")).distinct()
-        wanting = here.select("lead", "name").distinct().join(any_of, "name")
-        met = wanting.join(cats, ["lead", "category"]).select("lead", "name").distinct()
-        bad = lacking.unionByName(wanting.select("lead", "name").distinct().join(met, ["lead", "name"], "left_anti")).distinct()
-        here = here.join(bad, ["lead", "name"], "left_anti")
-    return found.join(here.select("lead", "name").distinct(), ["lead", "name"], "left_semi")
+    none = {"needs": F.expr("cast(array() as array<string>)"), "any_of": F.expr("cast(array() as array<int>)")}
+    own = edge.groupBy("name").agg(
+        F.collect_set(F.when(F.col("kind") == "requires", F.col("target"))).alias("needs"), F.collect_set(F.when(F.col("kind") == "requires_category", F.col("category"))).alias("any_of")
+    )
+    names = found.select("lead", "name", F.explode_outer("categories").alias("category")).groupBy("lead", "name").agg(F.collect_set("category").alias("cats"))
+    rows = names.join(own, "name", "left").select("lead", F.struct("name", "cats", *[F.coalesce(F.col(c), v).alias(c) for c, v in none.items()]).alias("t"))
+    fits = lambda here: lambda t: (F.size(F.array_except(t["needs"], F.transform(here, lambda y: y["name"]))) == 0) & ((F.size(t["any_of"]) == 0) | F.arrays_overlap(t["any_of"], F.flatten(F.transform(here, lambda y: y["cats"]))))
+    held = rows.groupBy("lead").agg(F.collect_list("t").alias("ts"))
+    left = held.select("lead", F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("ts"), lambda here, _: F.filter(here, fits(here)))).alias("t"))
+    return found.join(left.select("lead", "t.name"), ["lead", "name"], "left_semi")
 
 
 def implies(found: DataFrame, edge: DataFrame, tech: DataFrame) -> DataFrame:
@@ -77,12 +75,11 @@ def suppress(found: DataFrame, suppressed: DataFrame) -> DataFrame:
 
 def downgrade(found: DataFrame, rules: DataFrame) -> DataFrame:
     """Confidence capped by the first rule (ord, name, pack, sources, cap, corroborate) that fits; adds needs_other."""
-    r = rules.select("ord", F.col("name").alias("r_name"), F.col("pack").alias("r_pack"), "sources", "cap", "corroborate")
-    fits = (F.col("name") == F.col("r_name")) & (F.col("pack") == F.col("r_pack")) & F.array_contains("sources", F.col("source"))
-    place = F.row_number().over(W.partitionBy("lead", "seq").orderBy("ord"))
-    out = found.join(r, fits, "left").withColumn("_place", place).where("_place = 1")
-    return out.select(
-        *[c for c in found.columns if c != "confidence"], F.least("confidence", F.coalesce("cap", "confidence")).alias("confidence"), F.coalesce("corroborate", F.lit(False)).alias("needs_other")
+    by_name = rules.groupBy(F.col("name").alias("r_name"), F.col("pack").alias("r_pack")).agg(F.array_sort(F.collect_list(F.struct("ord", "sources", "cap", "corroborate"))).alias("rs"))
+    met = found.join(by_name, (F.col("name") == F.col("r_name")) & (F.col("pack") == F.col("r_pack")), "left")
+    rule = F.try_element_at(F.filter("rs", lambda r: F.array_contains(r["sources"], F.col("source"))), F.lit(1))
+    return met.withColumn("r", rule).select(
+        *[c for c in found.columns if c != "confidence"], F.least("confidence", F.coalesce("r.cap", "confidence")).alias("confidence"), F.coalesce("r.corroborate", F.lit(False)).alias("needs_other")
     )
 
 

@@ -354,11 +354,11 @@ LEADS = f"""l AS (SELECT page_id AS k, CAST(page_id AS VARCHAR) AS id, 'run' ||
 page_id % 2 = 0 AS viewport, page_id % 3 = 0 AS form, page_id % 8 = 0 AS tel, page_id % 9 = 0 AS mailto, page_id % 29 = 0 AS parked, CASE WHEN page_id % 11 = 0 THEN 0 ELSE 2015 + page_id % 12 END AS year,
 page_id % 7 = 0 AS booking, page_id % 5 < 2 AS cta, page_id % 4 = 1 AS hours, page_id % 6 = 0 AS reviews, page_id % 10 = 3 AS contact, page_id % 6 = 1 OR page_id % 8 = 0 AS phone, page_id % 14 = 5 AS address,
 CASE WHEN page_id % 17 = 0 THEN false WHEN page_id % 19 <> 0 THEN true END AS crawl, page_id % 34 = 0 AS robots, page_id % 23 = 0 AS nosite, page_id % 4 = 0 AS social, page_id % 4 = 1 AS privacy, page_id % 31 = 0 AS builder FROM pages)"""
-_OUT = "list_filter([CASE WHEN NOT viewport THEN 'missing_mobile_viewport' END, CASE WHEN NOT titled THEN 'missing_page_title' END, CASE WHEN year > 0 AND year <= 2023 THEN 'stale_copyright_' || year END], x -> x IS NOT NULL)"
+_OUT = "list_filter([CASE WHEN NOT viewport THEN 'missing_mobile_viewport' END, CASE WHEN NOT titled THEN 'missing_page_title' END, CASE WHEN year > 0 AND year <= 2023 THEN 'stale_copyright_' || year END], lambda x: x IS NOT NULL)"
 _MISS = {
-    "website_modernization": "list_filter([CASE WHEN NOT viewport THEN 'mobile_responsive_design' END, CASE WHEN NOT form THEN 'contact_form' END, CASE WHEN NOT cta THEN 'clear_primary_cta' END, CASE WHEN NOT privacy THEN 'privacy_policy' END], x -> x IS NOT NULL)",
-    "voice_ai_agent": "list_filter([CASE WHEN NOT phone THEN 'phone_conversion_flow' END, CASE WHEN NOT booking THEN 'appointment_capture' END, CASE WHEN NOT hours THEN 'published_hours' END], x -> x IS NOT NULL)",
-    "smma": "list_filter([CASE WHEN NOT social THEN 'social_presence_links' END, CASE WHEN NOT reviews THEN 'social_proof' END, CASE WHEN NOT cta THEN 'campaign_landing_cta' END], x -> x IS NOT NULL)",
+    "website_modernization": "list_filter([CASE WHEN NOT viewport THEN 'mobile_responsive_design' END, CASE WHEN NOT form THEN 'contact_form' END, CASE WHEN NOT cta THEN 'clear_primary_cta' END, CASE WHEN NOT privacy THEN 'privacy_policy' END], lambda x: x IS NOT NULL)",
+    "voice_ai_agent": "list_filter([CASE WHEN NOT phone THEN 'phone_conversion_flow' END, CASE WHEN NOT booking THEN 'appointment_capture' END, CASE WHEN NOT hours THEN 'published_hours' END], lambda x: x IS NOT NULL)",
+    "smma": "list_filter([CASE WHEN NOT social THEN 'social_presence_links' END, CASE WHEN NOT reviews THEN 'social_proof' END, CASE WHEN NOT cta THEN 'campaign_landing_cta' END], lambda x: x IS NOT NULL)",
 }
 
 
@@ -509,10 +509,10 @@ def status_topk(spark, sf_dir):
     return warehouse.best_in_status(e, "purchase")
 
 
-@query("SELECT o_custkey % 100 AS run_id, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS cost FROM orders GROUP BY 1")
+@query("SELECT o_custkey % 100 AS run_id, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cost FROM orders GROUP BY 1")
 def cost_by_run(spark, sf_dir):
-    """A10."""
-    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("run_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("llm_processing_cost"))
+    """A10, in cents."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("run_id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("llm_processing_cost"))
     return warehouse.cost_by_run(o)
 
 
@@ -563,7 +563,7 @@ def lead_timeline(spark, sf_dir):
     return rows.select("id", F.array_join(F.transform(states, lambda s: s["state"]), ",").alias("states"))
 
 
-@query(f"WITH {LEADS} SELECT id, array_to_string(list_filter([CASE WHEN viewport THEN 'has_viewport' END, CASE WHEN form THEN 'has_form' END, CASE WHEN tel THEN 'has_tel_link' END], x -> x IS NOT NULL), ',') AS evidence, row_number() OVER (PARTITION BY run_id ORDER BY k) - 1 AS index FROM l")
+@query(f"WITH {LEADS} SELECT id, array_to_string(list_filter([CASE WHEN viewport THEN 'has_viewport' END, CASE WHEN form THEN 'has_form' END, CASE WHEN tel THEN 'has_tel_link' END], lambda x: x IS NOT NULL), ',') AS evidence, row_number() OVER (PARTITION BY run_id ORDER BY k) - 1 AS index FROM l")
 def console_view(spark, sf_dir):
     """P10, P12, W4."""
     rows = leads_of(spark, sf_dir).withColumns({"created_at": -F.col("page_id"), "company_name": F.lit(""), "initial_url": F.lit(""), "target_location": F.lit(None).cast("string"), "pipeline_status": F.lit(""), "score": F.lit(0.0)})
@@ -638,15 +638,18 @@ def sig_meta(spark, sf_dir):
 
 
 _FOUND_ROWS = "n AS name"
-FOUND = """f AS (SELECT l_orderkey AS lead, CAST(l_linenumber AS INTEGER) AS seq, 't' || (l_partkey % 12) AS name, CASE WHEN l_suppkey % 5 = 0 THEN 'b' ELSE 'a' END AS pack, l_partkey % 12 % 4 AS cat,
+FOUND = """f AS (SELECT l_orderkey AS lead, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS seq, 't' || (l_partkey % 12) AS name, CASE WHEN l_suppkey % 5 = 0 THEN 'b' ELSE 'a' END AS pack, l_partkey % 12 % 4 AS cat,
 CAST(l_quantity AS INTEGER) * 2 AS confidence, CASE WHEN l_returnflag = 'R' THEN '1.0' END AS version, CASE WHEN l_linestatus = 'F' THEN 'headers' ELSE 'html' END AS source FROM lineitem)"""
 EDGES = "('t1', 'excludes', 't2', NULL, 0), ('t2', 'excludes', 't1', NULL, 0), ('t3', 'excludes', 't9', NULL, 0), ('t4', 'requires', 't5', NULL, 0), ('t6', 'requires', 't4', NULL, 0), ('t6', 'requires', 't7', NULL, 1), ('t8', 'requires_category', NULL, 1, 0), ('t8', 'requires_category', NULL, 2, 1), ('t5', 'implies', 't0', NULL, 0), ('t10', 'implies', 't0', NULL, 0), ('t10', 'implies', 'x1', NULL, 1)"
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as detections: an order is a lead."""
+    from pyspark.sql import Window as W
+
+    seq = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("lead"), F.col("l_linenumber").cast("int").alias("seq"), F.concat(F.lit("t"), (F.col("l_partkey") % 12).cast("string")).alias("name"), F.when(F.col("l_suppkey") % 5 == 0, "b").otherwise("a").alias("pack"),
+        F.col("l_orderkey").alias("lead"), seq.alias("seq"), F.concat(F.lit("t"), (F.col("l_partkey") % 12).cast("string")).alias("name"), F.when(F.col("l_suppkey") % 5 == 0, "b").otherwise("a").alias("pack"),
         F.array((F.col("l_partkey") % 12 % 4).cast("int")).alias("categories"), (F.col("l_quantity").cast("int") * 2).alias("confidence"), F.when(F.col("l_returnflag") == "R", "1.0").alias("version"),
         F.when(F.col("l_linestatus") == "F", "headers").otherwise("html").alias("source"), F.lit("p").alias("pattern_id"),
     )
@@ -776,9 +779,9 @@ def stream_evaluate(spark, sf_dir):
 # Beyond parity.
 
 
-@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS hour, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18, 4))) AS total FROM events GROUP BY 1, 2")
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2")
 def ext_hourly_events(spark, sf_dir):
     """Tumbling windows over events; beyond the reference's own operators."""
     e = table(spark, sf_dir, "events")
-    rows = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total"))
+    rows = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"))
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total")
