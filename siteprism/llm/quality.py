@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, quality), on a bounded sample of labelled rows.
 
     The sample takes rows by a hash of doc_id; a document labelled twice counts as the lower label. Where no
-    label of either kind is left, lines score by the features' zero weights, 0.5.
+    labels of one kind or none are left, everything scores 0.5.
     """
     labels = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     n = labels.count()
@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     rows = sorted(held.mapInArrow(run, "doc_id long, quality int, x binary, size binary").toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.x)))
     if len({r.quality for r in rows}) < 2:
-        return Model(np.zeros(3 * OWN), np.zeros((2, 2)))
+        return Model(np.zeros(3 * OWN), np.zeros((2, 2)), (0.0, 0.0))
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, OWN) for r in rows])
     size = np.concatenate([np.frombuffer(r.size, np.int64) for r in rows])
     first = np.concatenate([[0], np.cumsum([len(r.size) // 8 for r in rows])])
