@@ -52,7 +52,7 @@ def test_matcher_forms_agree(spark):
 
 
 def test_packs(tmp_path):
-    assert packs.annotated("a\;version:\\1\;confidence:50") == ("a", {"version": "\\1", "confidence": "50"})
+    assert packs.annotated(r"a\;version:\1\;confidence:50") == ("a", {"version": r"\1", "confidence": "50"})
     assert packs.confidence({"confidence": "500"}) == 100 and packs.confidence({"confidence": "x"}) == 100
     (tmp_path / "a.json").write_text('{"X": {"html": ["(bad", "good"], "js": {"a": ""}}, "Y": {"js": {"b": ""}}}')
     (tmp_path / "b.json").write_text("broken")
