@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate components by anchor-point covering."""
+"""SimHash fingerprints and near-duplicate components by anchor-point covering; five-word similarity beside them."""
 
 from __future__ import annotations
 
@@ -19,6 +19,12 @@ from siteprism.llm.components import connected_components
 SHINGLE, THRESHOLD = 3, 2
 #: Home fingerprints at an anchor up to which they are compared one by one; beyond it see ``_by_midpoint``.
 HOMES = 16
+#: The similarity by which ``keep_one`` also links: words in a shingle, and the least Jaccard index of the shingle sets.
+WORDS, SIMILARITY = 5, (4, 5)
+#: Bands of minimum hashes that find its candidates, and hashes in each: 0.8 alike share one with probability 0.9998.
+BANDS, ROWS = 12, 3
+#: Texts that share a band up to which each is compared with each; beyond it with the most central one.
+CROWD = 16
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -200,10 +206,97 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, homes: int = HOMES) -> Dat
     return plain.unionByName(_by_midpoint(met.where("home is null").select("fp").distinct()))
 
 
-def components(fp: DataFrame) -> DataFrame:
-    """fp, root: the least fingerprint that each distinct one of column fp reaches over links."""
+_FACTORS = np.random.default_rng(6).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, step: int = 4096) -> np.ndarray:
+    """A key for each band: its least hashes under as many multiplications. No hashes give no keys."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), step):
+        least = np.minimum(least, (hashes[i : i + step, None] * _FACTORS).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, ROWS).T:
+        key = (key ^ part) * _FACTORS[0]
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """The columns of every row but its text, fp, n (its distinct five-word shingles) and keys (its bands)."""
+    rest = docs.drop("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 8 << 20):
+            fp, n, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
+            for i, t in enumerate(raw(batch.column("text"))):
+                fp[i] = fingerprint(shingle_hashes(t))
+                shingles = np.unique(shingle_hashes(t, WORDS))
+                n[i] = len(shingles)
+                keys.append(band_keys(shingles))
+            names = [c for c in batch.schema.names if c != "text"]
+            added = [pa.array(fp.view(np.int64)), pa.array(n), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], [*names, "fp", "n", "keys"])
+
+    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["fp long", "n long", "keys array<long>"]))
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """th, shingles (distinct, by 32 bits of their hashes) of rows of th and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, WORDS).astype(np.uint32)).view(np.int32) for t in raw(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(sets, pa.list_(pa.int32()))], ["th", "shingles"])
+
+    return texts.select("th", "text").mapInArrow(run, "th long, shingles array<int>")
+
+
+def _candidates(sketches: DataFrame) -> DataFrame:
+    """a, fp_a, b, fp_b: texts that share a band and could be alike by their numbers of shingles.
+
+    In bands of up to ``CROWD`` texts all meet. In larger ones every text meets the one that shares its bands
+    with most others: an original is shared by all its copies, however these differ among themselves.
+    """
+    texts = sketches.where("n > 0").select("th", "fp", "n", "keys").dropDuplicates(["th"])
+    at = materialise(texts.select("th", "fp", "n", F.explode("keys").alias("key")), "bands")
+    size = at.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialise(at.join(size, "key"), "shared")
+    few = shared.where(F.col("size") <= CROWD)
+    many = shared.where(F.col("size") > CROWD)
+    degree = many.groupBy("th").agg(F.sum("size").alias("degree"))
+    top = many.join(degree, "th").groupBy("key").agg(F.max(F.struct("degree", "th", "fp", "n")).alias("top"))
+    top = top.select("key", *(F.col(f"top.{c}").alias(f"{c}_b") for c in ("th", "fp", "n")))
+    other = few.select("key", *(F.col(c).alias(f"{c}_b") for c in ("th", "fp", "n")))
+    met = few.join(other, "key").where("th > th_b").unionByName(many.join(top, "key").where("th <> th_b"))
+    low, high = SIMILARITY
+    met = met.where((F.least("n", "n_b") * high >= F.greatest("n", "n_b") * low) & (F.col("fp") != F.col("fp_b")))
+    return met.select(F.col("th").alias("a"), F.col("fp").alias("fp_a"), F.col("th_b").alias("b"), F.col("fp_b")).distinct()
+
+
+def similar(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b: links between fingerprints of texts whose five-word shingle sets are 0.8 alike or more.
+
+    A fingerprint of 64 bits can't find these: such pairs differ in up to 14 bits, and at that distance
+    unrelated texts link as well. Bands of minimum hashes find candidates, and whole sets decide exactly.
+    """
+    pairs = materialise(_candidates(sketches), "pairs")
+    wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    sets = materialise(_shingle_sets(keyed.join(wanted, "th", "left_semi")).dropDuplicates(["th"]), "sets")
+    first, second = sets.select(F.col("th").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("th").alias("b"), F.col("shingles").alias("y"))
+    low, high = SIMILARITY
+    common = F.size(F.array_intersect("x", "y")) * (low + high)
+    alike = pairs.join(first, "a").join(second, "b").where(common >= (F.size("x") + F.size("y")) * low)
+    return alike.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+
+
+def components(fp: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """fp, root: the least fingerprint that each distinct one of column fp reaches over links, and over those in ``more``."""
     own = materialise(fp.select("fp").distinct(), "distinct")
-    found = connected_components(links(own))
+    near = links(own)
+    found = connected_components(near if more is None else near.unionByName(more))
     return own.join(found, own.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -221,15 +314,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return fp.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """One document row of each group of near duplicates: that of least doc_id (null last), in its own columns.
 
-    Of rows that share doc_id and text one stays, whichever.
+    Near duplicates have fingerprints within 2 bits, or five-word shingle sets 0.8 alike or more; groups are
+    what such links connect. Null and empty texts are one group. Of rows that share doc_id and text one stays,
+    whichever. Empty input gives an empty result.
     """
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    fp = materialise(fingerprints(keyed, size), "fingerprints")
+    fp = materialise(_sketches(keyed), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-    by_fp = fp.groupBy("fp").agg(F.min(order).alias("first")).join(components(fp), "fp")
+    by_fp = fp.groupBy("fp").agg(F.min(order).alias("first")).join(components(fp, similar(docs, fp)), "fp")
     first = by_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t"))
     held = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
     # the join has dealt rows by doc_id and text already, so no second shuffle follows

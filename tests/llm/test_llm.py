@@ -172,6 +172,34 @@ def test_simhash(spark):
     assert simhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_five_word_similarity(spark):
+    rng = random.Random(17)
+
+    def edited(text, edits):
+        words = text.split()
+        for i in rng.sample(range(len(words)), edits):
+            words[i] = prose(rng, 1)
+        return " ".join(words)
+
+    def alike(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (a, b)))
+        return len(x & y) / len(x | y)
+
+    common = prose(rng, 150)
+    base = [prose(rng, 300) for _ in range(12)] + [common + " " + prose(rng, 150) for _ in range(40)]
+    # 60 copies, each alike to its original rather than to the others, and pairs on both sides of the limit
+    texts = base + [edited(base[0], rng.randint(4, 6)) for _ in range(60)] + [edited(t, k) for t, k in zip(base[1:40], itertools.cycle((2, 4, 5, 6, 7, 9, 12)))] + ["one two three four five six", "one two three four five six seven", None, ""]
+    full = [t or "" for t in texts]
+    near = {(a, b) for a, b in itertools.combinations(range(len(full)), 2) if full[a] and full[b] and alike(full[a], full[b]) >= 0.8}
+    fp = [brute_fingerprint(t) for t in full]
+    want = groups(range(len(full)), lambda a, b: (a, b) in near or (fp[a] ^ fp[b]).bit_count() <= 2)
+    kept = simhash.keep_one(docs(spark, texts).repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert sum((fp[a] ^ fp[b]).bit_count() > 2 for a, b in near) > 60
+    assert simhash.keep_one(kept.limit(0)).count() == 0
+    assert len(simhash.band_keys(np.zeros(0, np.uint64))) == 0
+
+
 @pytest.mark.parametrize("homes", [16, 0])
 def test_simhash_crowd(spark, homes):
     rng = random.Random(8)
