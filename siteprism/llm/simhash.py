@@ -9,7 +9,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteprism.llm.common import materialise, pieces, raw, table
@@ -325,11 +325,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     fp = materialise(_sketches(keyed), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     by_fp = fp.groupBy("fp").agg(F.min(order).alias("first")).join(components(fp, similar(docs, fp)), "fp")
-    first = by_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t"))
-    held = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    # the join has dealt rows by doc_id and text already, so no second shuffle follows
-    met = held.join(first, held.doc_id.eqNullSafe(F.col("_d")) & (held._th == F.col("_t")))
-    return met.dropDuplicates(["_d", "_t"]).select(*docs.columns)
+    first = by_fp.groupBy("root").agg(F.min("first").alias("first")).select(*_row_key(F.col("first.doc_id"), F.col("first.th")))
+    # plain equalities, so that rows stay dealt by the join's keys and no second shuffle of the texts follows
+    met = docs.select("*", *_row_key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))).join(first, ["_d", "_n", "_t"])
+    return met.dropDuplicates(["_d", "_n", "_t"]).select(*docs.columns)
+
+
+def _row_key(doc_id: Column, text_hash: Column) -> list[Column]:
+    return [F.coalesce(doc_id, F.lit(0)).alias("_d"), doc_id.isNull().alias("_n"), text_hash.alias("_t")]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
