@@ -278,7 +278,7 @@ def _candidates(sketches: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """a, b: links between fingerprints of texts whose five-word shingle sets are 0.8 alike or more.
 
-    A fingerprint of 64 bits can't find these: such pairs differ in up to 14 bits, and at that distance
+    A fingerprint of 64 bits can't find these: some such pairs differ in over 10 bits, and at that distance
     unrelated texts link as well. Bands of minimum hashes find candidates, and whole sets decide exactly.
     """
     pairs = materialise(_candidates(sketches), "pairs")
