@@ -9,7 +9,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteprism.llm.common import materialise, pieces, raw, table
@@ -23,7 +23,7 @@ HOMES = 16
 WORDS, SIMILARITY = 5, (4, 5)
 #: Bands of minimum hashes that find its candidates, and hashes in each: 0.8 alike share one with probability 0.9998.
 BANDS, ROWS = 12, 3
-#: Texts that share a band up to which each is compared with each; beyond it with the most central one.
+#: Texts that share a band up to which each is compared with each; beyond it see ``_crowded``.
 CROWD = 16
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -253,11 +253,12 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("th", "text").mapInArrow(run, "th long, shingles array<int>")
 
 
-def _candidates(sketches: DataFrame) -> DataFrame:
-    """a, fp_a, b, fp_b: texts that share a band and could be alike by their numbers of shingles.
+def _candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts that share a band and could be alike by their numbers of shingles, and the rows of crowded bands.
 
-    In bands of up to ``CROWD`` texts all meet. In larger ones every text meets the one that shares its bands
-    with most others: an original is shared by all its copies, however these differ among themselves.
+    The first has a, fp_a, b, fp_b. In bands of up to ``CROWD`` texts all meet. In larger ones every text meets
+    the one that shares its bands with most others (an original is shared by all its copies), which joins most
+    of a family without a pair for each two; the rest is left to ``_crowded``.
     """
     texts = sketches.where("n > 0").select("th", "fp", "n", "keys").dropDuplicates(["th"])
     at = materialise(texts.select("th", "fp", "n", F.explode("keys").alias("key")), "bands")
@@ -272,24 +273,65 @@ def _candidates(sketches: DataFrame) -> DataFrame:
     met = few.join(other, "key").where("th > th_b").unionByName(many.join(top, "key").where("th <> th_b"))
     low, high = SIMILARITY
     met = met.where((F.least("n", "n_b") * high >= F.greatest("n", "n_b") * low) & (F.col("fp") != F.col("fp_b")))
-    return met.select(F.col("th").alias("a"), F.col("fp").alias("fp_a"), F.col("th_b").alias("b"), F.col("fp_b")).distinct()
+    return met.select(F.col("th").alias("a"), F.col("fp").alias("fp_a"), F.col("th_b").alias("b"), F.col("fp_b")).distinct(), many.select("key", "th", "fp")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the fingerprints of those pairs whose shingle sets are alike enough."""
+    first, second = sets.select(F.col("th").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("th").alias("b"), F.col("shingles").alias("y"))
+    low, high = SIMILARITY
+    common = F.size(F.array_intersect("x", "y")) * (low + high)
+    alike = pairs.join(first, "a").join(second, "b").where(common >= (F.size("x") + F.size("y")) * low)
+    return alike.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+
+
+def _crowded(many: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
+    """a, fp_a, b, fp_b: all further pairs of texts of crowded bands that could be alike, by an exact prefix join.
+
+    A band whose texts ``known`` links all connect needs no more. The texts of the others are dealt by their
+    rarest shingles: of two texts alike enough each holds one of the other's n - ceil(0.8 n) + 1 rarest among its
+    own, in one order for all. Pairs within one component are left out, and so are those that can't reach the
+    limit even if all after their last common rare shingle were common.
+    """
+    found = connected_components(known)
+    rooted = many.join(found, many.fp == found.node, "left").select("key", "th", "fp", F.coalesce("root", "fp").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rest = materialise(rooted.join(open_, "key", "left_semi").select("th", "fp", "root").distinct(), "open")
+    held = sets.join(rest, "th").select("th", "fp", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    held = materialise(held, "held")
+    often = held.groupBy("s").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("df > 1")
+    low, high = SIMILARITY
+    # shingles of one text alone come first in the order, so the others' places begin after them
+    by_text = Window.partitionBy("th").orderBy("df", "s")
+    placed = held.join(often, "s").withColumns({"at": F.row_number().over(by_text), "k": F.count("*").over(Window.partitionBy("th"))})
+    placed = placed.withColumn("at", F.col("n") - F.col("k") + F.col("at"))
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(low) / F.lit(high)) + 1
+    placed = materialise(placed.where((F.col("at") <= prefix) & (F.col("low") < F.col("high"))).select("s", "th", "fp", "root", "n", "at"), "prefixes")
+    other = placed.select("s", *(F.col(c).alias(f"{c}_b") for c in ("th", "fp", "root", "n", "at")))
+    fits = F.least("n", "n_b") * high >= F.greatest("n", "n_b") * low
+    met = placed.join(other, "s").where((F.col("th") > F.col("th_b")) & (F.col("root") != F.col("root_b")) & fits)
+    ends = met.groupBy("th", "fp", "n", "th_b", "fp_b", "n_b").agg(F.count("*").alias("common"), F.max("at").alias("at"), F.max("at_b").alias("at_b"))
+    most = F.col("common") + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    ends = ends.where(most * (low + high) >= (F.col("n") + F.col("n_b")) * low)
+    return ends.select(F.col("th").alias("a"), F.col("fp").alias("fp_a"), F.col("th_b").alias("b"), F.col("fp_b"))
 
 
 def similar(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b: links between fingerprints of texts whose five-word shingle sets are 0.8 alike or more.
+    """a, b: links between fingerprints that connect texts whose five-word shingle sets are 0.8 alike or more.
 
     A fingerprint of 64 bits can't find these: some such pairs differ in over 10 bits, and at that distance
-    unrelated texts link as well. Bands of minimum hashes find candidates, and whole sets decide exactly.
+    unrelated texts link as well. Bands of minimum hashes find candidates, crowded ones by way of the rarest
+    shingles, and whole sets decide exactly.
     """
-    pairs = materialise(_candidates(sketches), "pairs")
-    wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+    pairs, many = _candidates(sketches)
+    pairs, many = materialise(pairs, "pairs"), materialise(many, "many")
+    wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).unionByName(many.select("th")).distinct()
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     sets = materialise(_shingle_sets(keyed.join(wanted, "th", "left_semi")).dropDuplicates(["th"]), "sets")
-    first, second = sets.select(F.col("th").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("th").alias("b"), F.col("shingles").alias("y"))
-    low, high = SIMILARITY
-    common = F.size(F.array_intersect("x", "y")) * (low + high)
-    alike = pairs.join(first, "a").join(second, "b").where(common >= (F.size("x") + F.size("y")) * low)
-    return alike.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    known = materialise(_alike(pairs, sets), "alike")
+    if many.isEmpty():
+        return known
+    return known.unionByName(_alike(materialise(_crowded(many, sets, known), "rest"), sets))
 
 
 def components(fp: DataFrame, more: DataFrame | None = None) -> DataFrame:

@@ -200,6 +200,28 @@ def test_five_word_similarity(spark):
     assert len(simhash.band_keys(np.zeros(0, np.uint64))) == 0
 
 
+def test_five_word_similarity_crowd(spark):
+    rng = random.Random(18)
+    common, tail = prose(rng, 160), lambda n: prose(rng, n, "klmnopqrst")
+    pairs = []
+    for _ in range(60):  # the passage is three quarters of both texts together, and they are just alike enough
+        own = common + " " + tail(8)
+        pairs += [own + " " + tail(18), own + " " + tail(18)]
+    # a family that drifts: each is alike to the next ones only
+    words = (common + " " + prose(rng, 140)).split()
+    drift = []
+    for i in range(40):
+        words[160 + 3 * i] = tail(1)
+        drift.append(" ".join(words))
+    texts = pairs + drift
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(alike(i, i + 1) for i in range(0, 120, 2)) and not alike(0, 2) and not alike(120, 159)
+    fp = [brute_fingerprint(t) for t in texts]
+    want = groups(range(len(texts)), lambda a, b: alike(a, b) or (fp[a] ^ fp[b]).bit_count() <= 2)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()) == sorted(set(want.values()))
+
+
 @pytest.mark.parametrize("homes", [16, 0])
 def test_simhash_crowd(spark, homes):
     rng = random.Random(8)
