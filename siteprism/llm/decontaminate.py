@@ -9,7 +9,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteprism.llm.common import pieces, raw, table
@@ -207,15 +207,26 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit
     if len(blocks) == 1:
         return _scan(docs, blocks[0], window, False).drop("clean")
     keyed = docs.select("doc_id", F.sha2("text", 256).alias("own"), "text")
+    by_doc = _all_scanned(keyed, blocks, window).groupBy("doc_id", "own", "n_words").agg(F.sum(F.when(F.col("block") == 0, 1).otherwise(0)).alias("copies"), *_together())
+    rows = by_doc.withColumn("spans", _joined_spans())
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "spans", "items")
+
+
+def _all_scanned(keyed: DataFrame, blocks: list[list[tuple[int, bytes]]], window: int) -> DataFrame:
+    """A row of each document (less its text) for each block, numbered: what this block alone hits."""
     parts = [_scan(keyed, b, window, False).withColumn("block", F.lit(i)) for i, b in enumerate(blocks)]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    by_doc = union.groupBy("doc_id", "own", "n_words").agg(
-        F.sum(F.when(F.col("block") == 0, 1).otherwise(0)).alias("copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+    return union
+
+
+def _together() -> list[Column]:
+    return [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("spans", "items")]
+
+
+def _joined_spans() -> Column:
+    """The sorted spans of several blocks, joined where they touch or overlap."""
     merged = F.aggregate(
         "spans",
         F.expr("cast(array() as array<struct<a:int,b:int>>)"),
@@ -224,8 +235,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b")))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    rows = by_doc.withColumn("spans", F.when(F.size("spans") > 0, merged).otherwise(F.col("spans")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "spans", "items")
+    return F.when(F.size("spans") > 0, merged).otherwise(F.col("spans"))
 
 
 def digest(hits: DataFrame) -> DataFrame:
@@ -238,23 +248,45 @@ def digest(hits: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def _cut_by_all(docs: DataFrame, blocks: list[list[tuple[int, bytes]]], window: int) -> DataFrame:
+    """The documents with n_words, spans and clean (see ``_scan``) by the spans of all blocks together.
+
+    Spans depend on the text alone, so they are found and joined by a hash of it.
+    """
+    own = F.sha2(F.coalesce("text", F.lit("")), 256)
+    hits = _all_scanned(docs.select(own.alias("own"), "text"), blocks, window).where(F.size("spans") > 0)
+    hits = hits.groupBy("own").agg(*_together()).select("own", _joined_spans().alias("spans"))
+    met = docs.withColumn("own", own).join(hits, "own", "left").select(*docs.columns, "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 8 << 20):
+            n, texts = [], []
+            for text, spans in zip(raw(batch.column("text")), batch.column("spans").to_pylist()):
+                n.append(len(words(text)))
+                texts.append(_cut(text, [(s["a"], s["b"]) for s in spans]).decode("utf-8", "replace") if spans else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(texts, pa.string())], [*batch.schema.names, "n_words", "clean"])
+
+    out = met.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema] + ["n_words long, clean string"]))
+    return out.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<a:int,b:int>>)")))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, limit: int = AUTOMATON_WORDS) -> DataFrame:
     """The documents without what they share with the benchmark, in their own columns.
 
     Every hit span (``window`` words or a whole short item, and whatever longer matches join up) is cut from
     the text; a document with over ``max_coverage`` of its words hit goes altogether. Documents without a hit
-    stay byte for byte, null texts too. With several automata they are applied one after the other.
+    stay byte for byte, null texts too. Several automata (``limit``) all judge the text as given, and it is cut once.
     """
     names = docs.columns
-    out = docs
-    for block in _blocks(benchmark, AUTOMATON_WORDS):
-        got = _scan(out, block, window, True)
-        n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["b"] - s["a"]).cast("long"))
-        out = got.where(n_hit <= max_coverage * F.col("n_words")).withColumn("text", F.coalesce("clean", "text"))
-        if "n_chars" in names:
-            out = out.withColumn("n_chars", F.when(F.col("clean").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-        out = out.select(*names)
-    return out
+    blocks = _blocks(benchmark, limit)
+    if not blocks:
+        return docs
+    got = _scan(docs, blocks[0], window, True) if len(blocks) == 1 else _cut_by_all(docs, blocks, window)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["b"] - s["a"]).cast("long"))
+    out = got.where(n_hit <= max_coverage * F.col("n_words")).withColumn("text", F.coalesce("clean", "text"))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("clean").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+    return out.select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,6 +344,28 @@ def test_decontaminate(spark, limit):
     assert decontaminate.find_hits(d.limit(0), bench).count() == 0 and decontaminate.find_hits(d, bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_decontaminate_blocks(spark):
+    """A small automaton limit, by which each item is a block alone, gives what one automaton gives."""
+    rng = random.Random(19)
+    a, b = prose(rng, 16).split(), prose(rng, 16).split()
+    # the second item overlaps the first in a text, and the third's words meet only where another is cut
+    items = [(1, " ".join(a)), (2, " ".join(a[-8:] + b[:4])), (3, " ".join(["left"] * 6 + ["right"] * 6)), (4, " ".join(b[4:]))]
+    rest = prose(rng, 60)
+    texts = [
+        rest + " " + " ".join(a + b[:4]) + " end",
+        " ".join(a[:12]) + " " + prose(rng, 16) + " " + " ".join(b[4:]),  # three tenths by each, over half by both
+        rest + " left left left left left left " + " ".join(a) + " right right right right right right",
+        rest, None, "",
+    ]
+    d = docs(spark, texts)
+    d = d.unionByName(d.where("doc_id = 0"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = rows_of(decontaminate.decontaminate(d, bench))
+    assert [r[0] for r in want] == [0, 0, 2, 3, 4, 5] and want[0][1] == rest + "  end"
+    for shuffled in (bench, bench.orderBy(F.desc("item_id")).coalesce(1)):
+        assert rows_of(decontaminate.decontaminate(d, shuffled, limit=10)) == want
+
+
 def test_pipeline(spark, tiny):
     import corpus_pipeline
 
