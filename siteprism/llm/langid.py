@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import pieces, table
+from siteprism.llm.common import materialise, pieces, table
 
-#: Characters in an n-gram; n-grams of all languages in a model (beyond it the rarest go, by a count cutoff).
-ORDER, MODEL_GRAMS = 4, 1_000_000
+#: Characters in an n-gram.
+ORDER = 4
 #: Training rows on which rejection is calibrated, about; deviations beyond which a text is none of the languages.
 CALIBRATION_ROWS, REJECT = 20_000, 12.0
 #: Characters beyond which more text doesn't sharpen the score.
@@ -281,33 +281,38 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return out, np.bincount(at, n, len(out)).astype(np.int64)
 
 
+def _packed(counted: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """The counts on the driver as language, keys and counts, fetched part by part as plain bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("lang").dictionary_encode()
+            which, key, n = coded.indices.to_numpy(), batch.column("key").to_numpy(), batch.column("n").to_numpy()
+            own = [np.flatnonzero(which == i) for i in range(len(coded.dictionary))]
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary, pa.array([key[i].tobytes() for i in own], pa.binary()), pa.array([n[i].tobytes() for i in own], pa.binary())], ["lang", "key", "n"]
+            )
+
+    # written first, so that fetching one part after the other doesn't count anew
+    rows = materialise(counted, "grams").mapInArrow(run, "lang string, key binary, n binary").toLocalIterator()
+    return [(r.lang, np.frombuffer(r.key, np.uint64), np.frombuffer(r.n, np.int64)) for r in rows]
+
+
 def train(labelled: DataFrame) -> Model | None:
     """A model of every language of ``labelled`` (lang, text, doc_id); None where it has no text with a letter.
 
-    N-grams are counted over all rows. What comes to the driver is the model: at most MODEL_GRAMS n-grams, and
-    the sums of about CALIBRATION_ROWS rows' cross-entropies.
+    N-grams are counted over all rows and all of them are in the model, which comes to the driver with the
+    sums of about CALIBRATION_ROWS rows' cross-entropies.
     """
     labelled = labelled.where("lang is not null and text is not null")
-    counted = _counted(labelled).where(F.col("key") != 32).persist()
-    try:
-        by_count = sorted(counted.groupBy("n").agg(F.count("*").alias("k")).where(F.col("n") <= 1_000_000).toLocalIterator(), reverse=True)
-        total, cut = 0, 1
-        for n, k in by_count:
-            total += k
-            if total > MODEL_GRAMS:
-                cut = n + 1
-                break
-        got = counted.where(F.col("n") >= cut).toArrow()
-    finally:
-        counted.unpersist()
-    if not got.num_rows:
+    parts = _packed(_counted(labelled).where(F.col("key") != 32))
+    if not parts:
         return None
-    names = got.column("lang").to_pylist()
-    langs = sorted(set(names), key=str.encode)
+    langs = sorted({x for x, _, _ in parts}, key=str.encode)
     number = {x: i for i, x in enumerate(langs)}
-    lang = np.array([number[x] for x in names])
-    key = got.column("key").to_numpy().view(np.uint64)
-    count = got.column("n").to_numpy()
+    lang = np.repeat([number[x] for x, _, _ in parts], [len(k) for _, k, _ in parts])
+    key = np.concatenate([k for _, k, _ in parts])
+    count = np.concatenate([n for _, _, n in parts])
     order = np.lexsort((key, lang))
     model = fit(langs, lang[order], key[order], count[order])
     rows = labelled.count()

@@ -151,6 +151,16 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.label_languages(d, None).collect()} == {"und"}
 
 
+def test_language_keeps_every_gram(spark):
+    """A language of over a million n-grams takes none from one of a few rows."""
+    letters = np.random.default_rng(20).integers(0x4E00, 0x9F00, (3000, 400))
+    rows = [(i, "".join(map(chr, x)), "zh") for i, x in enumerate(letters)] + [(5000, "quick brown fox jumps", "en"), (5001, "lazy dog", "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d)
+    assert model.langs == ["en", "zh"] and len(model.keys[-1].order) > 1_190_000
+    assert langid.predict(model, ["the quick dog"])[0] == ["en"]
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
