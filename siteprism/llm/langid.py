@@ -16,8 +16,8 @@ from siteprism.llm.common import materialise, pieces, table
 
 #: Characters in an n-gram.
 ORDER = 4
-#: Training rows on which rejection is calibrated, about; deviations beyond which a text is none of the languages.
-CALIBRATION_ROWS, REJECT = 20_000, 12.0
+#: Deviations beyond which a text is none of the languages; texts that the languages' pooled variance counts as in each one's own.
+REJECT, POOLED = 12.0, 8
 #: Characters beyond which more text doesn't sharpen the score.
 SCORE_CHARS = 40
 
@@ -302,7 +302,7 @@ def train(labelled: DataFrame) -> Model | None:
     """A model of every language of ``labelled`` (lang, text, doc_id); None where it has no text with a letter.
 
     N-grams are counted over all rows and all of them are in the model, which comes to the driver with the
-    sums of about CALIBRATION_ROWS rows' cross-entropies.
+    sums of all rows' cross-entropies.
     """
     labelled = labelled.where("lang is not null and text is not null")
     parts = _packed(_counted(labelled).where(F.col("key") != 32))
@@ -315,9 +315,6 @@ def train(labelled: DataFrame) -> Model | None:
     count = np.concatenate([n for _, _, n in parts])
     order = np.lexsort((key, lang))
     model = fit(langs, lang[order], key[order], count[order])
-    rows = labelled.count()
-    every = max(1, rows // CALIBRATION_ROWS)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     held = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,12 +329,15 @@ def train(labelled: DataFrame) -> Model | None:
                 [pa.array(own), pa.array(n), pa.array(mean), pa.array(squares[ok, own] / n - mean**2)], ["own", "n", "h", "v"]
             )
 
-    fitted = sample.select("lang", "text").mapInArrow(run, "own long, n long, h double, v double").groupBy("own").agg(
-        F.avg("h").alias("h"), F.coalesce(F.var_samp("h"), F.lit(0.0)).alias("s"), F.avg("v").alias("v")
-    )
+    # copies of a text say nothing of the variance between texts
+    each = labelled.select("lang", "text").mapInArrow(run, "own long, n long, h double, v double").groupBy("own", "n", F.round("h", 9).alias("h")).agg(F.first("v").alias("v"))
+    fitted = each.groupBy("own").agg(F.count("*").alias("k"), F.avg("h").alias("h"), F.coalesce(F.var_samp("h"), F.lit(0.0)).alias("s"), F.avg("v").alias("v")).collect()
+    free = sum(r.k - 1 for r in fitted)
+    pooled = sum((r.k - 1) * r.s for r in fitted) / free if free else 1.0
     model.calibration = np.tile([3.0, 1.0, 4.0], (len(langs), 1))
-    for r in fitted.toLocalIterator():
-        model.calibration[r.own] = r.h, max(r.s, 1e-4), max(r.v, 1e-2)
+    for r in fitted:
+        between = ((r.k - 1) * r.s + POOLED * pooled) / (r.k - 1 + POOLED)
+        model.calibration[r.own] = r.h, max(between, 1e-4), max(r.v, 1e-2)
     return model
 
 

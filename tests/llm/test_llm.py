@@ -161,6 +161,21 @@ def test_language_keeps_every_gram(spark):
     assert langid.predict(model, ["the quick dog"])[0] == ["en"]
 
 
+def test_language_calibrates_on_all_rows(spark):
+    """Over 40,000 rows of one language, one text and copies of one of two others: all are used, and copies give no certainty."""
+    rng = random.Random(21)
+    some = [prose(rng, 12, "aeiostr") for _ in range(300)]
+    rows = [(i, some[i % 300], "it") for i in range(41_000)] + [(50_000, prose(rng, 40, "öäüknch"), "de")] + [(50_001 + i, "qwxy vbqx yvw", "xx") for i in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    it = model.calibration[model.langs.index("it")]
+    for x in ("de", "xx"):
+        mean, between, _ = model.calibration[model.langs.index(x)]
+        assert mean != 3.0 and np.isclose(between, it[1])
+    _, sums, _ = langid._entropies(model, some)
+    n, own = langid._entropies(model, some)[0], model.langs.index("it")
+    assert np.isclose(it[0], np.mean(-sums[:, own] / n)) and np.isclose(it[1], np.var(-sums[:, own] / n, ddof=1))
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
