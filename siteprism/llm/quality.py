@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from siteprism.llm.common import pieces, table, utf8
 
-#: Labelled rows in training, about, and lines of each (a longer text trains with its first and counts whole in scoring).
-LABELLED_ROWS, LABELLED_LINES = 6_000, 400
+#: Labelled rows in training, about, and their lines together, beyond which fewer rows are taken (each with all its lines).
+LABELLED_ROWS, LABELLED_LINES = 6_000, 2_400_000
 #: Score from which a document is predicted good.
 THRESHOLD = 0.7
 
@@ -211,21 +211,31 @@ def fit(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, s
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, quality), on a bounded sample of labelled rows.
 
-    The sample takes rows by a hash of doc_id; a document labelled twice counts as the lower label. Where no
-    labels of one kind or none are left, everything scores 0.5.
+    The sample takes rows by a hash of doc_id, whole texts always; while they have over LABELLED_LINES lines it
+    is halved, unless that would leave labels of one kind only. A document labelled twice counts as the lower
+    label. Where no labels of one kind or none are left, everything scores 0.5.
     """
     labels = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     n = labels.count()
     every = max(1, -(-n // LABELLED_ROWS))
-    sample = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(every)) == 0)
+    place = F.xxhash64("doc_id", F.lit(1))
+    sample = labels.where(F.pmod(place, F.lit(every)) == 0)
     # the sample is bounded by LABELLED_ROWS, whatever the input, so it can be broadcast
     held = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    lines = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]", "")) + 1
+    sizes = held.select(place.alias("place"), "quality", lines.alias("lines")).collect()
+    while sum(r.lines for r in sizes) > LABELLED_LINES:
+        half = [r for r in sizes if r.place % (2 * every) == 0]
+        if len({r.quality for r in half}) < 2:
+            break
+        every, sizes = 2 * every, half
+    held = held.where(F.pmod(place, F.lit(every)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             x, size, first = line_features(*utf8(batch.column("text")))
             for i, (doc, q) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist())):
-                rows = slice(first[i], min(first[i + 1], first[i] + LABELLED_LINES))
+                rows = slice(first[i], first[i + 1])
                 yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([q], pa.int32()), pa.array([x[rows].tobytes()]), pa.array([size[rows].tobytes()])], ["doc_id", "quality", "x", "size"])
 
     rows = sorted(held.mapInArrow(run, "doc_id long, quality int, x binary, size binary").toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.x)))

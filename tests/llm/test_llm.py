@@ -99,6 +99,19 @@ def test_quality(spark):
     assert {r.score for r in quality.score_documents(d.select("doc_id", "text"), nothing).collect()} == {0.5}
 
 
+def test_quality_trains_on_whole_texts(spark, monkeypatch):
+    """Bad lines after the first 500 tell good texts from bad; with a bound on lines fewer rows are taken, whole ones."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, size, first, label: seen.append((np.diff(first).tolist(), label.tolist())))
+    d = docs(spark, ["fine line.\n" * 500 + "!! BAD\n" * (i % 2) * 50 for i in range(24)])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(24)], "doc_id long, quality int")
+    quality.train(d, labels)
+    assert sorted(zip(*seen[0])) == sorted([(501, 1), (551, 0)] * 12)
+    monkeypatch.setattr(quality, "LABELLED_LINES", 9_000)
+    quality.train(d, labels)
+    assert len(seen[1][0]) < 24 and set(zip(*seen[1])) == {(501, 1), (551, 0)}
+
+
 def test_forward_backward():
     rng = np.random.default_rng(4)
     first, t = np.array([0, 4, 5]), rng.normal(size=(2, 2))
