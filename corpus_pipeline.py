@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from siteprism.llm import decontaminate, langid, mixing, repeats, simhash
 from siteprism.llm.common import materialise, table
 
-#: Bytes of a passage that counts as repeated in the pipeline: fifty words of five letters come to 300.
-PASSAGE = 240
+#: Bytes of a passage that counts as repeated in the pipeline (fifty words of five letters come to 300), and words of one that does so even if shorter.
+PASSAGE, PASSAGE_WORDS = 240, 51
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without passages that occur more than once."""
-    return repeats.remove_repeats(docs, PASSAGE)
+    return repeats.remove_repeats(docs, PASSAGE, PASSAGE_WORDS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

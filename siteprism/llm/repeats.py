@@ -19,6 +19,7 @@ LENGTH, DEPTH, GRAM = 400, 4, 32
 #: Bytes of text in a shard, and different fragments of one anchor that go to one task at most, about.
 SHARD_BYTES, GROUP = 1 << 20, 256
 
+_SPACES = np.frombuffer(b" \t\n\v\f\r", np.uint8)
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, 256).astype(np.uint64)
 
@@ -443,10 +444,41 @@ def _merged(starts: list[int], counts: list[int], length: int) -> list[tuple[int
     return out
 
 
-def _with_runs(docs: DataFrame, length: int) -> DataFrame:
+def _short_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
+    """doc_id, th, start, n: passages of ``words`` words in under ``length`` bytes that stand elsewhere too.
+
+    Longer ones are strings of ``length`` bytes already. Such a passage of k bytes is a run of k - length + 1
+    starts (none or less), which spans its k bytes like any other run.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            row, start, size, high, low = [], [], [], [], []
+            for i, text in enumerate(raw(batch.column("text"))):
+                inside = np.concatenate([[False], ~np.isin(np.frombuffer(text, np.uint8), _SPACES), [False]])
+                first, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+                n = len(first) - words + 1
+                for j in np.flatnonzero(end[words - 1 :] - first[:n] < length).tolist() if n > 0 else ():
+                    a, b = int(first[j]), int(end[j + words - 1])
+                    h = xxhash.xxh3_128_intdigest(text[a:b])
+                    row.append(i), start.append(a), size.append(b - a), high.append(h >> 64), low.append(h & (1 << 64) - 1)
+            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (high, low)]
+            n = pa.array(np.array(size, np.int64) - length + 1)
+            own = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(start, pa.int64()), n, *hashes], ["doc_id", "th", "start", "n", "high", "low"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    seen = materialise(docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th long, start long, n long, high long, low long"), "short")
+    often = seen.groupBy("high", "low").agg(F.count("*").alias("k")).where("k > 1").select("high", "low")
+    return seen.join(often, ["high", "low"]).select("doc_id", "th", "start", "n")
+
+
+def _with_runs(docs: DataFrame, length: int, words: int | None = None) -> DataFrame:
     """The documents (null text as empty) with th and the runs found in them, null where none."""
     keyed = _keyed(docs)
     runs = repeated_runs(keyed.select("doc_id", "th", "text"), length)
+    if words:
+        runs = runs.unionByName(_short_passages(keyed, length, words))
     by_doc = runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("runs")).withColumnsRenamed({"doc_id": "d", "th": "t"})
     return keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").drop("d", "t")
 
@@ -477,16 +509,17 @@ def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """The documents, in their own columns, without what ``removal_digests`` counts as removed.
 
+    With ``words``, passages of so many words that stand elsewhere too go as well, however short their words.
     A character stays whole unless all its bytes go. Documents of which nothing but white space is left go
     altogether if they had more; documents without repeats stay as they are, null texts too.
     """
     names = docs.columns
     rest = [c for c in names if c not in ("doc_id", "text")]
     own = docs.select("doc_id", "text", F.col("text").isNull().alias("no_text"), *(F.col(c).alias(f"own_{c}") for c in rest))
-    met = _with_runs(own, length)
+    met = _with_runs(own, length, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 4 << 20):

@@ -331,6 +331,17 @@ def test_remove_repeats(spark):
     assert repeats.remove_repeats(d, 80).columns == d.columns
 
 
+def test_remove_short_words(spark):
+    rng = random.Random(22)
+    short = " ".join(rng.choice(("a", "bé", "to")) for _ in range(51))
+    almost = " ".join(rng.choice(("x", "yo", "zu")) for _ in range(50))
+    own = [prose(rng, 30) for _ in range(4)]
+    d = docs(spark, [f"{own[0]} {short} {own[1]}", f"{own[2]} {short}", f"{own[3]} {almost} q", f"{almost} r", None])
+    got = {r.doc_id: r.text for r in repeats.remove_repeats(d, 240, 51).collect()}
+    assert len(short.encode()) < 240
+    assert got == {0: f"{own[0]}  {own[1]}", 1: f"{own[2]} ", 2: f"{own[3]} {almost} q", 3: f"{almost} r", 4: None}
+
+
 def test_main_text(spark):
     page = (
         "<html><body class='comments-open'><header><p>The best site of all the sites.</p></header><nav><a href=/>Home</a></nav><div class=cookie-notice><p>We use cookies. Do you agree with that?</p></div>"
