@@ -151,9 +151,9 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[int, bytes]]]:
+def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[int | None, bytes]]]:
     """Items in blocks of at most ``limit`` words (a longer item is a block alone), fetched one after the other."""
-    rows = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("binary").alias("text"))
+    rows = benchmark.where("text is not null").select("item_id", F.col("text").cast("binary").alias("text"))
     out, size = [[]], 0
     for r in rows.toLocalIterator():
         n = len(words(bytes(r.text)))
@@ -184,7 +184,7 @@ def _scan(docs: DataFrame, block: list[tuple[int, bytes]], window: int, clean: b
                 hit, own = auto.scan(ws)
                 n.append(len(ws))
                 spans.append([{"a": a, "b": b} for a, b in hit])
-                items.append(sorted(own))
+                items.append(sorted(own, key=lambda k: (k is None, k or 0)))
                 texts.append(_cut(text, hit).decode("utf-8", "replace") if clean and hit else None)
             cols = [batch.column(c) for c in batch.schema.names if c != "text" or clean]
             names = [c for c in batch.schema.names if c != "text" or clean]
@@ -200,7 +200,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit
     The automaton of all items is broadcast as their bare texts and built in each worker; ``limit`` bounds
     its words. More items make several automata: a pass each over the documents, whose spans and items are
     then merged by document. Null text has no words; a null item counts as none; items with the same id
-    count once; identical rows give identical results, one each; an empty benchmark hits nothing.
+    count once, those without an id as one item; identical rows give identical results, one each; an empty benchmark hits nothing.
     """
     docs = docs.select("doc_id", "text")
     blocks = _blocks(benchmark, limit) or [[]]

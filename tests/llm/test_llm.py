@@ -393,6 +393,16 @@ def test_decontaminate(spark, limit):
     assert decontaminate.find_hits(d.limit(0), bench).count() == 0 and decontaminate.find_hits(d, bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("limit", [300_000, 10])
+def test_decontaminate_null_id(spark, limit):
+    items = [(None, "one two three"), (None, "four five"), (7, "six"), (10, "six")]
+    d = docs(spark, ["a one two three b four five c", "six four five", "none"])
+    got = {r.doc_id: r for r in decontaminate.digest(decontaminate.find_hits(d, spark.createDataFrame(items, "item_id long, text string"), limit=limit)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    # as the SQL: items without an id count as one, which has no place in the list
+    assert [(got[i].n_hit, got[i].n_items, got[i].items_sha256) for i in range(3)] == [(5, 1, sha("")), (3, 3, sha("10,7")), (0, 0, sha(""))]
+
+
 def test_decontaminate_blocks(spark):
     """A small automaton limit, by which each item is a block alone, gives what one automaton gives."""
     rng = random.Random(19)
