@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import pieces, raw, table
+from siteprism.llm.common import arrow_map, pieces, raw, table
 
 #: Words in a window; a shorter item counts whole.
 WINDOW = 10
@@ -176,7 +176,7 @@ def _scan(docs: DataFrame, block: list[tuple[int, bytes]], window: int, clean: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = None
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             auto = auto or _automaton(token, held.value, window)
             n, spans, items, texts = [], [], [], []
             for text in raw(batch.column("text")):
@@ -191,7 +191,7 @@ def _scan(docs: DataFrame, block: list[tuple[int, bytes]], window: int, clean: b
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(spans, _TYPE), pa.array(items, pa.list_(pa.int64())), pa.array(texts, pa.string())], [*names, "n_words", "spans", "items", "clean"])
 
     kept = docs if clean else docs.drop("text")
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [SCHEMA]))
+    return docs.transform(arrow_map, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [SCHEMA]))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_WORDS) -> DataFrame:
@@ -259,14 +259,14 @@ def _cut_by_all(docs: DataFrame, blocks: list[list[tuple[int, bytes]]], window:
     met = docs.withColumn("own", own).join(hits, "own", "left").select(*docs.columns, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             n, texts = [], []
             for text, spans in zip(raw(batch.column("text")), batch.column("spans").to_pylist()):
                 n.append(len(words(text)))
                 texts.append(_cut(text, [(s["a"], s["b"]) for s in spans]).decode("utf-8", "replace") if spans else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(texts, pa.string())], [*batch.schema.names, "n_words", "clean"])
 
-    out = met.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema] + ["n_words long, clean string"]))
+    out = met.transform(arrow_map, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema] + ["n_words long, clean string"]))
     return out.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<a:int,b:int>>)")))
 
 

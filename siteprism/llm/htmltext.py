@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import pieces, table
+from siteprism.llm.common import arrow_map, pieces, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -307,7 +307,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    out = pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
+    out = pages.select("page_id", "url", "html").transform(arrow_map, run, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import materialise, pieces, table
+from siteprism.llm.common import arrow_map, materialise, pieces, table
 
 #: Characters in an n-gram.
 ORDER = 4
@@ -271,7 +271,7 @@ def _counted(labelled: DataFrame) -> DataFrame:
                 size = 0
         yield from merged()
 
-    rows = labelled.select("lang", "text").mapInArrow(run, "lang string, key long, n long")
+    rows = labelled.select("lang", "text").transform(arrow_map, run, "lang string, key long, n long")
     return rows.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
@@ -294,7 +294,7 @@ def _packed(counted: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
             )
 
     # written first, so that fetching one part after the other doesn't count anew
-    rows = materialise(counted, "grams").mapInArrow(run, "lang string, key binary, n binary").toLocalIterator()
+    rows = materialise(counted, "grams").transform(arrow_map, run, "lang string, key binary, n binary").toLocalIterator()
     return [(r.lang, np.frombuffer(r.key, np.uint64), np.frombuffer(r.n, np.int64)) for r in rows]
 
 
@@ -330,7 +330,7 @@ def train(labelled: DataFrame) -> Model | None:
             )
 
     # copies of a text say nothing of the variance between texts
-    each = labelled.select("lang", "text").mapInArrow(run, "own long, n long, h double, v double").groupBy("own", "n", F.round("h", 9).alias("h")).agg(F.first("v").alias("v"))
+    each = labelled.select("lang", "text").transform(arrow_map, run, "own long, n long, h double, v double").groupBy("own", "n", F.round("h", 9).alias("h")).agg(F.first("v").alias("v"))
     fitted = each.groupBy("own").agg(F.count("*").alias("k"), F.avg("h").alias("h"), F.coalesce(F.var_samp("h"), F.lit(0.0)).alias("s"), F.avg("v").alias("v")).collect()
     free = sum(r.k - 1 for r in fitted)
     pooled = sum((r.k - 1) * r.s for r in fitted) / free if free else 1.0
@@ -355,7 +355,7 @@ def label_languages(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, score, off = predict(held.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score), pa.array(off)], [*batch.schema.names, "lang_pred", "score", "deviation"])
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string, score double, deviation double"]))
+    return docs.transform(arrow_map, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string, score double, deviation double"]))
 
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import materialise, table
+from siteprism.llm.common import arrow_map, materialise, table
 
 #: Words in a block, slots in an output shard, and stretches into which each source's documents are dealt for packing.
 BLOCK, SHARD_SLOTS, STRETCHES = 128, 4096, 1024
@@ -124,7 +124,7 @@ def _slots(plan: DataFrame, block: int, seed: int) -> DataFrame:
                 counts = np.random.default_rng([seed, k]).multinomial(SHARD_SLOTS, share)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), k)), pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts.astype(np.int64))], ["shard", "sid", "n"])
 
-    drawn = spark.range(shards).mapInArrow(draw, "shard long, sid int, n long")
+    drawn = spark.range(shards).transform(arrow_map, draw, "shard long, sid int, n long")
     # Prefix sums over shards, by stretches of 1024 shards first.
     part = F.floor(F.col("shard") / 1024)
     sums = drawn.groupBy("sid", part.alias("part")).agg(F.sum("n").alias("t"))
@@ -148,7 +148,7 @@ def _slots(plan: DataFrame, block: int, seed: int) -> DataFrame:
                 at, taken = _taken(slot, size, blocks, words, block, seed * 1_000_003 + r["sid"])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), r["shard"])), pa.array(np.full(len(slot), r["sid"], np.int32)), pa.array(slot), pa.array(at), pa.array(taken.astype(np.int32))], ["shard", "sid", "slot", "block", "words"])
 
-    return runs.mapInArrow(fill, "shard long, sid int, slot long, block long, words int")
+    return runs.transform(arrow_map, fill, "shard long, sid int, slot long, block long, words int")
 
 
 def _quota(words: int, size: int, blocks: int, block: int) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import materialise, table
+from siteprism.llm.common import arrow_map, materialise, table
 
 #: Neighbours of a query; hash tables; buckets probed in each at least, and candidates reached in each at least.
 K, TABLES, PROBES, CANDIDATES = 20, 4, 48, 2000
@@ -96,7 +96,7 @@ def _hashed(vectors: DataFrame, dims: int, longest: float) -> DataFrame:
                 home = np.stack([axis_scores(unit, t).argmax(axis=1) for t in range(TABLES)], axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(blobs, pa.binary()), pa.array(home.tolist(), pa.list_(pa.int32()))], ["vec_id", "vec", "home"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, vec binary, home array<int>")
+    return vectors.select("vec_id", "embedding").transform(arrow_map, run, "vec_id long, vec binary, home array<int>")
 
 
 def probe_order(x: np.ndarray, dims: int, counts: np.ndarray) -> list[list[np.ndarray]]:
@@ -126,7 +126,7 @@ def _probes(queries: DataFrame, dims: int, counts: np.ndarray) -> DataFrame:
                 b = np.concatenate([x for f in found for x in f])
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("vec").take(pa.array(at)), pa.array(t.astype(np.int32)), pa.array(b.astype(np.int32))], ["vec_id", "vec", "t", "b"])
 
-    return queries.select("vec_id", "vec").mapInArrow(run, "vec_id long, vec binary, t int, b int")
+    return queries.select("vec_id", "vec").transform(arrow_map, run, "vec_id long, vec binary, t int, b int")
 
 
 def nearest_in(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +195,7 @@ def _met(both: DataFrame, dims: int, k: int) -> DataFrame:
                         size = 0
         yield from emit()
 
-    return both.mapInArrow(run, "query_id long, vec_id long, score double")
+    return both.transform(arrow_map, run, "query_id long, vec_id long, score double")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, list[bytes]]]:
@@ -254,7 +254,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     homes = held.select("vec_id", "vec", F.posexplode("home").alias("t", "b"))
     counts = _table_of(homes.groupBy("t", "b").agg(F.count("*").alias("n")), width)
     asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = asked.mapInArrow(_blobs, "vec_id long, vec binary")
+    asked = asked.transform(arrow_map, _blobs, "vec_id long, vec binary")
     probes = _probes(asked, dims, counts)
     load = _table_of(probes.groupBy("t", "b").agg(F.count("*").alias("n")), width)
     blocks = spark.createDataFrame(

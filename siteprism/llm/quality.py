@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import pieces, table, utf8
+from siteprism.llm.common import arrow_map, pieces, table, utf8
 
 #: Labelled rows in training, about, and their lines together, beyond which fewer rows are taken (each with all its lines).
 LABELLED_ROWS, LABELLED_LINES = 6_000, 2_400_000
@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 rows = slice(first[i], first[i + 1])
                 yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([q], pa.int32()), pa.array([x[rows].tobytes()]), pa.array([size[rows].tobytes()])], ["doc_id", "quality", "x", "size"])
 
-    rows = sorted(held.mapInArrow(run, "doc_id long, quality int, x binary, size binary").toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.x)))
+    rows = sorted(held.transform(arrow_map, run, "doc_id long, quality int, x binary, size binary").toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.x)))
     if len({r.quality for r in rows}) < 2:
         return Model(np.zeros(3 * OWN), np.zeros((2, 2)), (0.0, 0.0))
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, OWN) for r in rows])
@@ -255,7 +255,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             parts = [line_features(*utf8(p.column("text"))) for p in pieces([batch], "text")]
             first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, _, f in parts]))])
             score = held.value.scores(np.concatenate([x for x, _, _ in parts]), np.concatenate([s for _, s, _ in parts]), first)
@@ -263,7 +263,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*rest, "score", "predicted"])
 
     kept = docs.drop("text")
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["score double, predicted int"]))
+    return docs.transform(arrow_map, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["score double, predicted int"]))
 
 
 def held_out(docs: DataFrame) -> F.Column:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import materialise, pieces, raw, table, utf8
+from siteprism.llm.common import arrow_map, materialise, pieces, raw, table, utf8
 
 #: Bytes of a string that counts as repeated; symbols that spell it; bytes of the grams among which anchors are chosen.
 LENGTH, DEPTH, GRAM = 400, 4, 32
@@ -101,7 +101,7 @@ def _occurrences(docs: DataFrame, length: int, block: int = 1 << 20) -> DataFram
                 start = first - ends[text] + a
                 yield pa.RecordBatch.from_arrays([doc.take(pa.array(text)), pa.array(th[text]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(frag)], ["doc_id", "th", "start", "n", "anchor", "frag"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, start long, n int, anchor long, frag long")
+    return docs.transform(arrow_map, run, "doc_id long, th long, start long, n int, anchor long, frag long")
 
 
 def _fragments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _fragments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 ["doc_id", "th", "start", "n", "anchor", "frag", "copies", "kinds", "bits"],
             )
 
-    return met.mapInArrow(run, "doc_id long, th long, start long, n int, anchor long, frag long, copies long, kinds long, bits binary")
+    return met.transform(arrow_map, run, "doc_id long, th long, start long, n int, anchor long, frag long, copies long, kinds long, bits binary")
 
 
 # The merge. A text is read as words of ``step`` bytes, at each of its ``step`` phases, so that DEPTH symbols spell
@@ -311,7 +311,7 @@ def _resolved(fragments: DataFrame, length: int) -> DataFrame:
         if held:
             yield _told(held, length)
 
-    return fragments.select("key", "copies", "doc_id", "th", "start", "n", "bits").mapInArrow(run, _FOUND)
+    return fragments.select("key", "copies", "doc_id", "th", "start", "n", "bits").transform(arrow_map, run, _FOUND)
 
 
 def _told(held: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
@@ -359,7 +359,7 @@ def _halves(fragments: DataFrame, length: int, width: int) -> DataFrame:
                 ["key", "frag", "copies", "doc_id", "th", "start", "n", "lo", "at", "bits"],
             )
 
-    return fragments.mapInArrow(run, _PART)
+    return fragments.transform(arrow_map, run, _PART)
 
 
 def _placed(fragments: DataFrame, length: int) -> DataFrame:
@@ -371,7 +371,7 @@ def _placed(fragments: DataFrame, length: int) -> DataFrame:
             yield batch.append_column("at", pa.array(at, pa.int32()))
 
     rows = fragments.select("key", "frag", "copies", "doc_id", "th", "start", "n", F.lit(0).alias("lo"), "bits")
-    return rows.mapInArrow(run, "key long, frag long, copies long, doc_id long, th long, start long, n int, lo int, bits binary, at int")
+    return rows.transform(arrow_map, run, "key long, frag long, copies long, doc_id long, th long, start long, n int, lo int, bits binary, at int")
 
 
 def _uncrowded(crowd: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -468,7 +468,7 @@ def _short_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(start, pa.int64()), n, *hashes], ["doc_id", "th", "start", "n", "high", "low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = materialise(docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th long, start long, n long, high long, low long"), "short")
+    seen = materialise(docs.select("doc_id", "th", "text").transform(arrow_map, run, f"doc_id {kind}, th long, start long, n long, high long, low long"), "short")
     often = seen.groupBy("high", "low").agg(F.count("*").alias("k")).where("k > 1").select("high", "low")
     return seen.join(often, ["high", "low"]).select("doc_id", "th", "start", "n")
 
@@ -506,7 +506,7 @@ def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return met.transform(arrow_map, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
@@ -540,7 +540,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = No
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "runs"), pa.array(texts, pa.string())], [*(c for c in batch.schema.names if c != "runs"), "left"])
 
     kept = met.drop("runs")
-    out = met.select(*kept.columns, "runs").mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["left string"]))
+    out = met.select(*kept.columns, "runs").transform(arrow_map, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["left string"]))
     out = out.where(F.col("left").isNull() | (F.trim("left") != ""))
     text = F.coalesce("left", F.when(~F.col("no_text"), F.col("text")))
     columns = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"own_{c}") for c in rest}

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import materialise, pieces, raw, table
+from siteprism.llm.common import arrow_map, materialise, pieces, raw, table
 from siteprism.llm.components import connected_components
 
 #: Words in a shingle, and differing bits up to which fingerprints link.
@@ -54,12 +54,12 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rest = docs.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             fp = np.array([fingerprint(shingle_hashes(t, size)) for t in raw(batch.column("text"))], np.uint64)
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["fp long"]))
+    return docs.transform(arrow_map, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["fp long"]))
 
 
 # The anchors: codewords of three binary Golay codes side by side. 64 bits are blocks of 22, 21 and 21, each
@@ -161,7 +161,7 @@ def _replicas(fps: DataFrame, threshold: int) -> DataFrame:
                 row, anchor = anchors_near(fp[i : i + 2048], threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[i : i + 2048][row])], ["anchor", "fp"])
 
-    return fps.mapInArrow(run, "anchor long, fp long")
+    return fps.transform(arrow_map, run, "anchor long, fp long")
 
 
 def _homes(fps: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _homes(fps: DataFrame) -> DataFrame:
             fp = batch.column("fp").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(home_anchor(fp)), batch.column("fp")], ["anchor", "home"])
 
-    return fps.mapInArrow(run, "anchor long, home long")
+    return fps.transform(arrow_map, run, "anchor long, home long")
 
 
 def _by_midpoint(fps: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     rest = docs.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             fp, n, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
             for i, t in enumerate(raw(batch.column("text"))):
                 fp[i] = fingerprint(shingle_hashes(t))
@@ -239,7 +239,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             added = [pa.array(fp.view(np.int64)), pa.array(n), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], [*names, "fp", "n", "keys"])
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["fp long", "n long", "keys array<long>"]))
+    return docs.transform(arrow_map, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["fp long", "n long", "keys array<long>"]))
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
             sets = [np.unique(shingle_hashes(t, WORDS).astype(np.uint32)).view(np.int32) for t in raw(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(sets, pa.list_(pa.int32()))], ["th", "shingles"])
 
-    return texts.select("th", "text").mapInArrow(run, "th long, shingles array<int>")
+    return texts.select("th", "text").transform(arrow_map, run, "th long, shingles array<int>")
 
 
 def _candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:

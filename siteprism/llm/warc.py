@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import fresh_path, pieces, raw, table
+from siteprism.llm.common import arrow_map, fresh_path, pieces, raw, table
 
 #: Bytes of a record's block beyond which it goes on in continuation records; bytes of a transfer chunk.
 SEGMENT, CHUNK = 64 << 10, 8 << 10
@@ -113,7 +113,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
             out = [r for page, url, sha, refers, number, html in rows for r in _records(page, url or "", html, sha, refers, number, segment)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
-    lines = told.mapInArrow(run, "value string")
+    lines = told.transform(arrow_map, run, "value string")
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -166,7 +166,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield _rows(rows)
 
-    return files.mapInArrow(run, _ROW)
+    return files.transform(arrow_map, run, _ROW)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -216,7 +216,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             cols = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    return whole.unionByName(many).mapInArrow(run, _OUT)
+    return whole.unionByName(many).transform(arrow_map, run, _OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
