@@ -102,42 +102,66 @@ def _packed(sized: DataFrame, block: int) -> DataFrame:
     return cut.select("sid", "block", "uid", "doc_id", first.alias("first"), (end - first).alias("n"), F.greatest(F.col("block") * block - F.col("at"), F.lit(0)).alias("doc_word"))
 
 
-def _slots(plan: DataFrame, block: int, seed: int) -> DataFrame:
-    """shard, sid, slot, block, words: one row for each slot of the mix.
+def _before(rows: DataFrame, value: str) -> DataFrame:
+    """The rows (shard, sid, ...) with ``before``: the sum of ``value`` over the source's earlier shards.
 
-    Each output shard draws the counts of its slots' sources from a multinomial over the targets' shares, by a
-    generator seeded with the shard's number. A source's slots are numbered through the shards; those past its
-    quota stay out, and those short of it go to a last shard, so that totals meet the targets.
+    By stretches of 1024 shards first, so that no task reads all shards of a source.
+    """
+    rows = rows.withColumn("part", F.floor(F.col("shard") / 1024))
+    earlier = lambda c, by, order: F.coalesce(F.sum(c).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = rows.groupBy("sid", "part").agg(F.sum(value).alias("t")).select("sid", "part", earlier("t", ["sid"], "part").alias("base"))
+    return rows.withColumn("own", earlier(value, ["sid", "part"], "shard")).join(sums, ["sid", "part"]).withColumn("before", F.col("own") + F.col("base")).drop("own", "base", "part")
+
+
+def _counts(spark: SparkSession, quota: list[int], seed: int) -> DataFrame:
+    """shard, sid, n: how many slots of each output shard a source fills.
+
+    Each shard of SHARD_SLOTS slots (the last has the rest) draws its sources' counts from a multinomial over the
+    targets' shares, by a generator seeded with the shard's number. What a source has drawn above its quota in all
+    goes, spread over its shards in proportion to what each drew, to sources below theirs, within the same
+    shards: so every shard stays as long as it is, and totals meet the targets.
     """
-    rows = sorted(plan.toLocalIterator(), key=lambda r: r.sid)
-    quota = [_quota(r.words, r.source_size, r.n_blocks, block) for r in rows]
     total = sum(quota)
-    if not total:
-        return plan.sparkSession.createDataFrame([], "shard long, sid int, slot long, block long, words int")
     share = np.array(quota) / total
-    shards = total // SHARD_SLOTS
-    spark = plan.sparkSession
+    shards = -(-total // SHARD_SLOTS)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column("id").to_pylist():
-                counts = np.random.default_rng([seed, k]).multinomial(SHARD_SLOTS, share)
+                counts = np.random.default_rng([seed, k]).multinomial(min(SHARD_SLOTS, total - k * SHARD_SLOTS), share)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), k)), pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts.astype(np.int64))], ["shard", "sid", "n"])
 
     drawn = spark.range(shards).transform(arrow_map, draw, "shard long, sid int, n long")
-    # Prefix sums over shards, by stretches of 1024 shards first.
-    part = F.floor(F.col("shard") / 1024)
-    sums = drawn.groupBy("sid", part.alias("part")).agg(F.sum("n").alias("t"))
-    sums = sums.select("sid", "part", F.coalesce(F.sum("t").over(W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = F.coalesce(F.sum("n").over(W.partitionBy("sid", "part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    begun = drawn.withColumn("part", part).withColumn("own", own).join(sums, ["sid", "part"]).select("shard", "sid", "n", (F.col("own") + F.col("base")).alias("start"))
-    quotas = spark.createDataFrame([(i, q) for i, q in enumerate(quota)], "sid int, quota long")
-    reached = begun.groupBy("sid").agg(F.sum("n").alias("got"))
-    short = quotas.join(reached, "sid", "left").select(F.lit(shards).alias("shard"), "sid", (F.col("quota") - F.coalesce("got", F.lit(0))).alias("n"), F.coalesce("got", F.lit(0)).alias("start")).where("n > 0")
-    # A shard's rows are cut into runs of slots, so that the last shard's don't lie in a few long arrays.
-    runs = begun.unionByName(short).join(quotas, "sid").withColumn("end", F.least(F.col("start") + F.col("n"), F.col("quota"))).where("end > start")
-    runs = runs.select("shard", "sid", "start", "end", F.explode(F.sequence(F.lit(0), F.floor((F.col("end") - F.col("start") - 1) / SHARD_SLOTS))).alias("k"))
-    runs = runs.select("shard", "sid", (F.col("start") + F.col("k") * SHARD_SLOTS).alias("start"), F.least("end", F.col("start") + (F.col("k") + 1) * SHARD_SLOTS).alias("end"))
+    # a row for each source comes to the driver
+    got = {r.sid: r.n for r in drawn.groupBy("sid").agg(F.sum("n").alias("n")).toLocalIterator()}
+    over = [(i, got.get(i, 0), got.get(i, 0) - q) for i, q in enumerate(quota) if got.get(i, 0) > q]
+    if not over:
+        return drawn.where("n > 0")
+    bases = np.concatenate([[0], np.cumsum([e for _, _, e in over])]).tolist()
+    under, at = [], 0
+    for i, q in enumerate(quota):
+        if (lack := q - got.get(i, 0)) > 0:
+            under.append((i, at, at + lack))
+            at += lack
+    excess = spark.createDataFrame([(i, d, e, b) for (i, d, e), b in zip(over, bases)], "sid int, drawn long, excess long, base long")
+    rows = _before(drawn, "n").join(excess, "sid", "left")
+    given = lambda c: F.expr(f"coalesce(({c}) * excess div drawn, 0)")
+    rows = rows.withColumn("first", given("before")).withColumn("give", given("before + n") - F.col("first"))
+    # what is given is numbered through all sources above their quota, and what is lacking through all below
+    need = F.array(*[F.struct(F.lit(i).alias("to"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, a, b in under])
+    moved = rows.where("give > 0").select("shard", (F.col("base") + F.col("first")).alias("x"), (F.col("base") + F.col("first") + F.col("give")).alias("y"), F.explode(need).alias("u"))
+    moved = moved.select("shard", F.col("u.to").alias("sid"), (F.least("y", "u.b") - F.greatest("x", "u.a")).alias("n")).where("n > 0")
+    return rows.select("shard", "sid", (F.col("n") - F.col("give")).alias("n")).unionByName(moved).groupBy("shard", "sid").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def _slots(plan: DataFrame, block: int, seed: int) -> DataFrame:
+    """shard, sid, slot, block, words: one row for each slot of the mix; a source's slots are numbered through the shards."""
+    rows = sorted(plan.toLocalIterator(), key=lambda r: r.sid)
+    quota = [_quota(r.words, r.source_size, r.n_blocks, block) for r in rows]
+    spark = plan.sparkSession
+    if not sum(quota):
+        return spark.createDataFrame([], "shard long, sid int, slot long, block long, words int")
+    runs = _before(materialise(_counts(spark, quota, seed), "counts"), "n").select("shard", "sid", F.col("before").alias("start"), (F.col("before") + F.col("n")).alias("end"))
     sizes = [(r.source_size, r.n_blocks, r.words) for r in rows]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +172,8 @@ def _slots(plan: DataFrame, block: int, seed: int) -> DataFrame:
                 at, taken = _taken(slot, size, blocks, words, block, seed * 1_000_003 + r["sid"])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), r["shard"])), pa.array(np.full(len(slot), r["sid"], np.int32)), pa.array(slot), pa.array(at), pa.array(taken.astype(np.int32))], ["shard", "sid", "slot", "block", "words"])
 
-    return runs.transform(arrow_map, fill, "shard long, sid int, slot long, block long, words int")
+    # a shard's slots are made from a few numbers each: dealt anew, as these come in few partitions
+    return runs.repartition(F.col("shard")).transform(arrow_map, fill, "shard long, sid int, slot long, block long, words int")
 
 
 def _quota(words: int, size: int, blocks: int, block: int) -> int:
@@ -218,21 +243,28 @@ def mixed_blocks(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: flo
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """Per document row: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
+    """Per document row: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), slots, first_shard.
 
     A source's words are packed into blocks of ``block``; every pass over them follows a pseudorandom index
     permutation, so a word is taken at most ``most`` times (rounded up), and each source's taken words are its
-    target rounded down. Null text has no words; null is a source of its own, last; sources without words get
-    a target of 0; empty input gives an empty result; equal rows are packed one after the other. Reruns agree.
+    target rounded down. The multinomial draws decide which shards a document's words go to: ``slots`` counts the
+    slots that hold some of them, ``first_shard`` is the first such shard (null where nothing is taken).
+
+    Null text has no words; null is a source of its own, last; sources without words get a target of 0; empty
+    input gives an empty result; equal rows, null ids too, are packed one after the other. Reruns agree.
     """
     sized = _sized(docs)
     plan = plan_sources(sized, weights, share, most, block)
     known = _with_plan(sized, plan)
-    used = _slots(plan, block, seed).where("words > 0").groupBy("sid", "block").agg(F.sort_array(F.collect_list("words")).alias("takes"))
+    used = _slots(plan, block, seed).where("words > 0").groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("words", "shard"))).alias("takes"))
     pieces = _packed(known, block).join(used, ["sid", "block"])
-    got = F.aggregate("takes", F.lit(0).cast("long"), lambda acc, w: acc + F.greatest(F.lit(0), F.least(w.cast("long") - F.col("first"), F.col("n"))))
-    taken = pieces.select("uid", got.alias("got")).groupBy("uid").agg(F.sum("got").alias("taken"))
-    return known.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    here = F.filter("takes", lambda t: t["words"] > F.col("first"))
+    got = F.aggregate("here", F.lit(0).cast("long"), lambda acc, t: acc + F.least(t["words"].cast("long") - F.col("first"), F.col("n")))
+    told = pieces.select("uid", "first", "n", here.alias("here")).where(F.size("here") > 0)
+    told = told.select("uid", got.alias("got"), F.size("here").alias("slots"), F.array_min(F.transform("here", lambda t: t["shard"])).alias("shard"))
+    taken = told.groupBy("uid").agg(F.sum("got").alias("taken"), F.sum("slots").alias("slots"), F.min("shard").alias("first_shard"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return known.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", count("taken"), count("slots"), "first_shard")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

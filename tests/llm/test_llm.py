@@ -82,10 +82,43 @@ def test_mixing(spark):
     for n in (1, 2, 7, 100):
         p = mixing.permuted(np.arange(n), n, 9)
         assert sorted(p) == list(range(n)) and all(p[mixing._place_of(v, n, 9)] == v for v in range(n))
-    assert mixing.mixed_blocks(d, block=16).count() > 0
     assert mixing.mix_documents(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_mixing_draw(spark, monkeypatch):
+    """The draw shapes the shards: their composition differs as multinomials do, and totals are met all the same."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    rng = random.Random(23)
+    d = docs(spark, [prose(rng, rng.randint(1, 400)) for _ in range(150)] + [None, "", "one"], sources=("a", "b", None))
+    d = d.unionByName(d.where("doc_id in (3, 4)")).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
+    blocks = {seed: mixing.mixed_blocks(d, block=16, seed=seed).collect() for seed in (1, 2)}
+    shards = {seed: collections.Counter((r.shard, r.source) for r in rows) for seed, rows in blocks.items()}
+    assert shards[1] != shards[2]
+    for rows, by in ((blocks[s], shards[s]) for s in blocks):
+        full = sorted({k for k, _ in by})[:-1]
+        assert full == list(range(len(full))) and all(sum(n for (k, _), n in by.items() if k == f) == 64 for f in full)
+        for x in ("a", "b", None):  # as varied as drawn, and the mean as aimed at
+            n = [by[f, x] for f in full]
+            p = sum(1 for r in rows if r.source == x) / len(rows)
+            assert abs(np.mean(n) / 64 - p) < 0.02 and 0.3 < np.var(n) / (64 * p * (1 - p)) < 2.5
+    got = mixing.mix_documents(d, block=16, seed=1).collect()
+    # brute force: walk the mix's slots and count each document's words in them
+    taken, slots, first, copies = collections.Counter(), collections.Counter(), {}, collections.Counter(r.doc_id for r in got)
+    for r in blocks[1]:
+        for s in r.spans:
+            n = min(s.n, r.words - s.first)
+            if n > 0:
+                taken[s.doc_id] += n
+                slots[s.doc_id] += 1
+                first[s.doc_id] = min(first.get(s.doc_id, r.shard), r.shard)
+    for k in copies:
+        own = [r for r in got if r.doc_id == k]
+        assert (sum(r.taken for r in own), sum(r.slots for r in own)) == (taken[k], slots[k])
+        assert min((r.first_shard for r in own if r.first_shard is not None), default=None) == first.get(k)
+    other = {r.doc_id: r.first_shard for r in mixing.mix_documents(d, block=16, seed=2).collect()}
+    assert any(other[r.doc_id] != r.first_shard for r in got)
+
+
 def test_quality(spark):
     rng = random.Random(3)
     good = ["\n".join(prose(rng, 12).capitalize() + "." for _ in range(rng.randint(1, 6))) for _ in range(60)]
@@ -148,6 +181,40 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), df).count() == 0
 
 
+def test_neighbours_select(spark):
+    """Where hashing selects: the share of pairs scored falls with the number of vectors, and recall holds."""
+    shares = []
+    for n in (2_000, 16_000):
+        rng = np.random.default_rng(24)
+        x = rng.normal(size=(n, 24)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4).cache()
+        asked = df.where("vec_id < 100")
+        got = collections.defaultdict(set)
+        for r in neighbours.search(df, asked).collect():
+            got[r.query_id].add(r.vec_id)
+        s = x[:100].astype(float) @ x.T.astype(float)
+        s[np.arange(100), np.arange(100)] = -9
+        want = np.argsort(-s, axis=1)[:, :20]
+        assert sum(len(got[q] & set(want[q].tolist())) for q in range(100)) >= 0.9 * 2000
+        index = neighbours.Index(24, 1.0, "<f4", tuple(neighbours.functions(n, 32)))
+        held = neighbours._hashed(neighbours._blobs(df, "<f4"), index).cache()
+        reach = neighbours._reach(held, neighbours._blobs(asked, "<f4"), index, 20)
+        rows = held.collect()
+        scored = 0
+        for t in range(neighbours.TABLES):
+            cells = collections.defaultdict(list)
+            for r in rows:
+                cells[r.home[t]].append(r.fine[t])
+            filled = np.zeros((neighbours.TABLES, 2 * index.axes[0]), bool)
+            filled[t, list(cells)] = True
+            for _, _, b, rest, codes, gap in neighbours.probes(x[:100], index, reach, filled):
+                for i, cell in enumerate(b.tolist()):
+                    scored += len(neighbours.selected(index, rest[i : i + 1], [codes[i].as_py()], [gap[i].as_py()], cells[cell])[0])
+        shares.append(scored / 100 / n)
+    assert shares[1] < 0.75 * shares[0] and shares[1] < 0.25, shares
+
+
 def test_language(spark):
     rng = random.Random(6)
     d = docs(spark, [prose(rng, 30, "aeiostr") if i % 2 else prose(rng, 30, "öäüknch") for i in range(200)] + [None, "", "123 !!", "z" * 200_000], langs=("de", "it"))
