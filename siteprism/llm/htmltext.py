@@ -6,9 +6,10 @@ import html
 import math
 import re
 from collections import deque
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,28 +53,41 @@ _SPLIT_NAME = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 #: Elements whose class names say something of the page rather than of the element.
 _WHOLE = frozenset(("html", "body"))
 
-#: Capacities: certain, and a unit of evidence.
-CERTAIN, UNIT = 100_000, 100
-#: Smoothness of neighbours in page order, and of blocks with the same parent, by steps in the tree between them.
-ADJACENT, PROXIMITY = 60, 40
+#: Capacity of a unit of log-odds. Smoothness, in such units by steps through the tree: of neighbours in page order, of
+#: blocks with one parent; and the steps that entering or leaving what stands apart adds.
+UNIT = 100
+ADJACENT, PROXIMITY, BOUNDARY = 3.0, 3.0, 6
+#: Pages whose blocks fit the classifier, about; the weight of all of them against the prior, and the prior's inverse variance.
+PAGES, WEIGHT, TIED = 2000, 200.0, 4.0
+#: Features of a block and the log-odds of content that each gives before any page is seen. The last three tell how the
+#: training labels come about, so training leaves them as they are.
+PRIOR = {
+    "always": -3.4, "words": 1.2, "links": -6.0, "sentence": 1.5, "commas": 0.3, "prose": 2.0, "heading": 2.5, "list": -0.5, "loose": 3.0, "copyright": -2.0,
+    "main_name": 1.5, "article": 2.5, "apart": -10.0,
+}
+HELD = 3
 
 
 @dataclass
 class Block:
+    """A text block: its element and that one's parent by number, how far it lies from the block before, and what it is in."""
+
     text: str
     words: int
     linked: int
     tag: str
+    holder: int
     parent: int
     depth: int
-    apart: bool
-    inside: bool
-    path: tuple[int, ...] = field(default=(), repr=False)
+    steps: int
+    apart: int  # the number of the outermost element that stands apart from the article, or 0
+    article: bool
+    named: bool
 
 
-def _about(attrs: str, tag: str) -> tuple[bool, bool]:
-    """Whether an element's attributes set it apart from the article, and whether they mark the article."""
-    apart = main = False
+def _about(attrs: str, tag: str) -> tuple[bool, bool, bool]:
+    """Whether an element's attributes set it apart, name it like an article, and mark it as one by role."""
+    apart = named = marked = False
     for name, *values in _NAMES.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
@@ -81,43 +95,81 @@ def _about(attrs: str, tag: str) -> tuple[bool, bool]:
                 continue
             found = {w.lower() for w in _SPLIT_NAME.split(value) if w}
             apart |= bool(found & _APART_WORDS)
-            main |= bool(found & _MAIN_WORDS)
+            named |= bool(found & _MAIN_WORDS)
         elif name == "role":
             apart |= value.lower() in _APART_ROLES
-            main |= value.lower() in ("main", "article")
+            marked |= value.lower() in ("main", "article")
         elif name == "hidden":
             apart = True
         elif name == "style":
             apart |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif name == "aria-hidden":
             apart |= value.lower() == "true"
-    return apart, main and not apart
+    return apart, named and not apart, marked and not apart
+
+
+@dataclass
+class _Open:
+    tag: str
+    number: int
+    apart: int
+    article: bool
+    named: bool
+    link: bool
+
+
+class _Stack:
+    """Open elements, with the places of each tag's, of block-level and of scoping ones, so that no tag scans them all."""
+
+    def __init__(self) -> None:
+        self.all = [_Open("", 0, 0, False, False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.solid, self.scope = [0], [0]
+        self.low = 0  # the least depth of block-level elements since the last block
+
+    def push(self, e: _Open) -> None:
+        k = len(self.all)
+        self.all.append(e)
+        self.places.setdefault(e.tag, []).append(k)
+        if e.tag not in _INLINE:
+            self.solid.append(k)
+        if e.tag in _SCOPE:
+            self.scope.append(k)
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag, or 0."""
+        own = self.places.get(tag)
+        return own[-1] if own else 0
+
+    def pop_to(self, k: int) -> None:
+        while len(self.all) > k:
+            e = self.all.pop()
+            self.places[e.tag].pop()
+            for own in (self.solid, self.scope):
+                if own[-1] == len(self.all):
+                    own.pop()
+        self.low = min(self.low, len(self.solid))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: what stands between two block-level tags, white space made single."""
     out: list[Block] = []
-    # element: tag, number, set apart, inside the article, is a link
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
-    number, at, parts, linked = 0, 0, [], 0
-    open_tags: dict[str, int] = {}
+    stack = _Stack()
+    number, at, parts, linked, before = 0, 0, [], 0, 1
 
     def flush() -> None:
-        nonlocal parts, linked
+        nonlocal parts, linked, before
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                holder = next(e for e in reversed(stack) if e[0] not in _INLINE)
-                k = stack.index(holder)
+                holder, top, depth = stack.all[stack.solid[-1]], stack.all[-1], len(stack.solid)
+                parent = stack.all[stack.solid[-2]].number if depth > 1 else 0
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(linked, words), holder[0], stack[k - 1][1] if k else 0, k, stack[-1][2], stack[-1][3], tuple(e[1] for e in stack[: k + 1])))
+                low = min(stack.low, depth)
+                out.append(Block(text, words, min(linked, words), holder.tag, holder.number, parent, depth - 1, before + depth - 2 * low, top.apart, top.article, top.named))
+                stack.low = before = depth
             parts, linked = [], 0
 
-    def pop_to(k: int) -> None:
-        for e in stack[k:]:
-            open_tags[e[0]] -= 1
-        del stack[k:]
-
     while m := _TOKEN.match(page, at):
         at = m.end()
         text = m["text"]
@@ -125,7 +177,7 @@ def blocks(page: str) -> list[Block]:
             if "&" in text:
                 text = html.unescape(text)
             parts.append(text)
-            if stack[-1][4]:
+            if stack.all[-1].link:
                 linked += len(text.split())
             continue
         tag = m["tag"] or m["tag2"]
@@ -133,13 +185,12 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m["close"] or m["close2"]:
-            if open_tags.get(tag):
-                k = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag)
+            if k := stack.last(tag):
                 if tag not in _INLINE:
                     flush()
-                elif any(e[0] not in _INLINE for e in stack[k + 1 :]):
+                elif stack.solid[-1] > k:
                     continue  # a misnested inline end leaves the blocks inside it open
-                pop_to(k)
+                stack.pop_to(k)
             elif tag not in _INLINE:
                 flush()
             continue
@@ -160,51 +211,61 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in _INLINE:
             flush()
-            if open_tags.get("p"):
-                k = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p")
-                if not any(e[0] in _SCOPE for e in stack[k + 1 :]):
-                    pop_to(k)
-            for ended in _ENDS.get(tag, ()):
-                if open_tags.get(ended):
-                    k = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == ended)
-                    if not any(e[0] in _SCOPE for e in stack[k + 1 :]):
-                        pop_to(k)
+            for ended in ("p", *_ENDS.get(tag, ())):
+                if (k := stack.last(ended)) and stack.scope[-1] <= k:
+                    stack.pop_to(k)
         attrs = m["attrs"] if m["tag"] else m["attrs2"]
-        if attrs and attrs.endswith("/") and tag not in _INLINE and tag in ("svg", "path"):
+        if attrs and attrs.endswith("/") and tag in ("svg", "path"):
             continue
-        apart, main = _about(attrs, tag) if attrs else (False, False)
-        _, _, out_of, inside, link = stack[-1]
-        if tag in _APART or tag == "header" and not inside:
+        apart, named, marked = _about(attrs, tag) if attrs else (False, False, False)
+        here = stack.all[-1]
+        if tag in _APART or tag == "header" and not (here.article or here.named):
             apart = True
         if tag in ("article", "main") and not apart:
-            main = True
+            marked = True
         number += 1
-        stack.append((tag, number, out_of or apart, inside or main, link or tag == "a"))
-        open_tags[tag] = open_tags.get(tag, 0) + 1
+        stack.push(_Open(tag, number, here.apart or (number if apart else 0), here.article or marked, here.named or named, here.link or tag == "a"))
     flush()
     return out
 
 
-def costs(b: Block) -> tuple[int, int]:
-    """Capacities to the content and to the boilerplate terminal: what the other label would cost.
-
-    A linear classifier over the block's words, links, tag, punctuation and surroundings.
-    """
-    if b.apart:
-        return 0, CERTAIN
+def features(b: Block) -> list[float]:
+    """In the order of PRIOR."""
     density = b.linked / b.words
-    score = 1.2 * math.log2(1 + b.words) - 3.4 - 6 * density
-    score += 1.5 * (b.text[-1] in ".!?:;\"”»…)" or ". " in b.text)
-    score += 12 * b.inside
-    if b.tag in ("p", "blockquote", "pre"):
-        score += 2
-    elif b.tag in ("h1", "h2", "h3"):
-        score += 2.5 * (density < 0.5)
-    elif b.tag in ("li", "td", "dt", "dd", "th"):
-        score -= 0.5
-    elif b.depth == 0:
-        score += 3
-    net = round(score * UNIT)
+    return [
+        1.0, min(math.log2(1 + b.words), 5.0), density, float(b.text[-1] in ".!?:;\"”»…)" or ". " in b.text), float("," in b.text),
+        float(b.tag in ("p", "blockquote", "pre")), float(b.tag in ("h1", "h2", "h3", "h4") and density < 0.5), float(b.tag in ("li", "td", "dt", "dd", "th")),
+        float(b.depth == 0), float("©" in b.text or "copyright" in b.text.lower()), float(b.named), float(b.article), float(b.apart > 0),
+    ]
+
+
+def label(b: Block) -> int | None:
+    """What the page's own markup says of a block: 1 in an article, 0 in what stands apart, else nothing."""
+    return 0 if b.apart else 1 if b.article else None
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights of a logistic regression tied to PRIOR; both labels weigh alike. Newton's method, as the features are few."""
+    prior = np.array(list(PRIOR.values()))
+    w, free = prior.copy(), len(prior) - HELD
+    if not len(y) or len(set(y.tolist())) < 2:
+        return w
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * WEIGHT
+    own = x[:, :free]
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-own @ w[:free]))
+        slope = own.T @ (share * (y - p)) - TIED * (w[:free] - prior[:free])
+        bend = (own * (share * p * (1 - p))[:, None]).T @ own + TIED * np.eye(free)
+        step = np.linalg.solve(bend, slope)
+        w[:free] += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return np.round(w, 6)
+
+
+def costs(b: Block, weights: Sequence[float]) -> tuple[int, int]:
+    """Capacities to the content and to the boilerplate terminal: what the other label would cost, by the classifier's log-odds."""
+    net = round(UNIT * sum(w * x for w, x in zip(weights, features(b))))
     return max(net, 0), max(-net, 0)
 
 
@@ -216,15 +277,11 @@ def edges(bs: list[Block]) -> dict[tuple[int, int], int]:
     out: dict[tuple[int, int], int] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(bs):
-        for j, weight in ((i - 1, ADJACENT), (last.get(b.parent, -1), PROXIMITY)):
-            if j >= 0:
-                shared = 0
-                for x, y in zip(b.path, bs[j].path):
-                    if x != y:
-                        break
-                    shared += 1
-                steps = len(b.path) + len(bs[j].path) - 2 * shared
-                out[j, i] = out.get((j, i), 0) + weight // (1 + steps)
+        near = [(i - 1, ADJACENT, b.steps)] if i else []
+        if (j := last.get(b.parent, -1)) >= 0:
+            near.append((j, PROXIMITY, 2 if bs[j].holder != b.holder else 0))
+        for j, weight, steps in near:
+            out[j, i] = out.get((j, i), 0) + round(UNIT * weight / (1 + steps + BOUNDARY * (b.apart != bs[j].apart)))
         last[b.parent] = i
     return out
 
@@ -285,26 +342,52 @@ def min_cut(source: list[int], sink: list[int], smooth: dict[tuple[int, int], in
     return [bool(x) for x in side]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: Sequence[float] = tuple(PRIOR.values())) -> str:
     """The page's main text: its content blocks in page order, one to a line; null or empty gives empty."""
     bs = blocks(page or "")
     if not bs:
         return ""
-    both = [costs(b) for b in bs]
+    both = [costs(b, weights) for b in bs]
     kept = min_cut([s for s, _ in both], [t for _, t in both], edges(bs))
     return "\n".join(b.text for b, k in zip(bs, kept) if k)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def train(pages: DataFrame) -> list[float]:
+    """The classifier's weights, fitted on a bounded sample of about PAGES pages (by a hash of page_id), whole ones.
+
+    The labels come from the markup of pages that use it (``label``); blocks without such are left out, and
+    where no page uses it the weights are PRIOR's. Blocks come to the driver summed by their features.
+    """
+    names = list(PRIOR)
+    n = pages.count()
+    every = max(1, n // PAGES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "html", 4 << 20):
+            rows = [([round(v, 1) for v in features(b)], y) for page in batch.column("html").to_pylist() for b in blocks(page or "") if (y := label(b)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.list_(pa.float64())), pa.array([y for _, y in rows], pa.int32())], ["x", "y"])
+
+    sample = pages.select("page_id", "html").where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0)
+    # features in tenths, so there are few kinds of blocks
+    kinds = sample.transform(arrow_map, run, "x array<double>, y int").groupBy("x", "y").agg(F.count("*").alias("n")).collect()
+    kinds.sort(key=lambda r: (list(r.x), r.y))
+    x = np.array([r.x for r in kinds]).reshape(-1, len(names))
+    return fit(np.repeat(x, [min(r.n, 50) for r in kinds], axis=0), np.repeat([r.y for r in kinds], [min(r.n, 50) for r in kinds])).tolist()
+
+
+def extract(pages: DataFrame, weights: Sequence[float] = tuple(PRIOR.values())) -> DataFrame:
     """page_id, url, text, n_chars of every page row, from its whole html.
 
-    A page is worked on alone: null and empty html give empty text, long pages take memory in proportion, and
-    equal rows give equal results.
+    Blocks are the nodes of a flow network: the classifier's log-odds are the capacities to the two terminals,
+    order and DOM proximity those between blocks; a minimum cut tells content from the rest. A page is worked on
+    alone: null and empty html give empty text, long and deeply nested pages take time and memory in proportion,
+    equal rows give equal results, null ids and urls are kept.
     """
+    held = list(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", 4 << 20):
-            texts = [main_text(x) for x in batch.column("html").to_pylist()]
+            texts = [main_text(x, held) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     out = pages.select("page_id", "url", "html").transform(arrow_map, run, "page_id long, url string, text string")
@@ -312,4 +395,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, train(pages))
