@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import hashlib
 import itertools
 import random
@@ -345,7 +346,7 @@ def test_simhash_crowd(spark, homes):
 def test_warc(spark, tmp_path):
     rng = random.Random(9)
     big = prose(rng, 40_000, "abé ß")
-    pages = [(1, "u", "x" * 2000), (2, "u", "x" * 2000), (3, None, "x" * 999), (4, "u", "x" * 999), (5, "u", None), (6, "u", big), (7, "u\r\nX: y", "WARC/1.1\r\n\r\nLength"), (8, "u", big)]
+    pages = [(1, "u", "x" * 2000), (2, "u", "x" * 2000), (3, None, "x" * 999), (4, "u", "x" * 999), (5, "u", None), (6, "u", big), (7, "u\r\nX: y", "WARC/1.1\r\n\r\nLength"), (8, "u", big), (None, "u", "x" * 2000), (9, "u", "y" * 1500), (9, "u", "y" * 1500)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     path = str(tmp_path / "w")
     warc.write_archives(df, path, segment=10_000)
@@ -354,6 +355,7 @@ def test_warc(spark, tmp_path):
     for k, _, html in pages:
         data = (html or "").encode()
         refers = {1: 2, 6: 8}.get(k)
+        assert got[k].record_type == ("revisit" if refers else "response")
         assert (got[k].payload_bytes, got[k].payload_digest, got[k].refers_to) == (len(data), hashlib.sha1(data).hexdigest(), refers)
         assert got[k].payload is None if refers else bytes(got[k].payload) == data
     for body in (b"", b"a" * 100_000):
@@ -362,6 +364,40 @@ def test_warc(spark, tmp_path):
         warc.unchunked(b"5\r\nabc")
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_of_others(spark, tmp_path, packed):
+    """A standard archive: UUIDs, a member for each record, other kinds of records, no digests or other ones, segments of a skipped record."""
+    body = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: Chunked\r\n\r\n6;x=1\r\n<p>hel\r\n6\r\nlo</p>\r\n0\r\nTrailer: t\r\n\r\n"
+    uid = lambda i: f"<urn:uuid:00000000-0000-0000-0000-{i:012d}>"
+    plain = b"HTTP/1.0 200 OK\r\n\r\n" + body
+    records = [
+        ("1.0", "warcinfo", 1, {"Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+        ("1.1", "request", 2, {"Content-Type": "application/http;msgtype=request"}, b"GET / HTTP/1.1\r\n\r\n"),
+        ("1.1", "response", 3, {"WARC-Target-URI": "<http://a.example/>", "content-type": "application/http; msgtype=response"}, http),
+        ("1.0", "response", 4, {"WARC-Target-URI": "http://b.example/", "Content-Type": "application/http", "WARC-Payload-Digest": "sha256:" + hashlib.sha256(body).hexdigest()}, plain),
+        ("1.0", "revisit", 5, {"WARC-Target-URI": "http://c.example/", "Content-Type": "application/http", "WARC-Refers-To": uid(4)}, b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        ("1.0", "response", 6, {"WARC-Target-URI": "dns:x", "Content-Type": "text/dns"}, b"x. 1 IN A 1.2.3.4"),
+        ("1.0", "metadata", 7, {"WARC-Segment-Number": "1"}, b"a"),
+        ("1.0", "continuation", 8, {"WARC-Segment-Origin-ID": uid(7), "WARC-Segment-Number": "2", "WARC-Segment-Total-Length": "2"}, b"b"),
+        ("1.0", "response", 9, {"WARC-Target-URI": "http://d.example/", "Content-Type": "application/http", "WARC-Segment-Number": "1"}, plain[:9]),
+        ("1.0", "continuation", 10, {"WARC-Segment-Origin-ID": uid(9), "WARC-Segment-Number": "2", "WARC-Segment-Total-Length": str(len(plain))}, plain[9:]),
+    ]
+    made = [f"WARC/{v}\r\nWARC-Type: {t}\r\nWARC-Record-ID: {uid(i)}\r\n".encode() + "".join(f"{k}: {x}\r\n" for k, x in h.items()).encode() + b"Content-Length: %d\r\n\r\n" % len(b) + b + b"\r\n\r\n" for v, t, i, h, b in records]
+    path = tmp_path / ("a.warc.gz" if packed else "a.warc")
+    path.write_bytes(b"".join(gzip.compress(m) if packed else m for m in made))
+    got = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    sha = hashlib.sha1(body).hexdigest()
+    assert set(got) == {uid(i) for i in (3, 4, 5, 6, 9)} and all(r.page_id is None and r.refers_to is None for r in got.values())
+    assert all((got[uid(i)].payload_bytes, got[uid(i)].payload_digest, bytes(got[uid(i)].payload)) == (len(body), sha, body) for i in (3, 4, 9))
+    assert (got[uid(5)].payload_bytes, got[uid(5)].payload_digest, got[uid(5)].refers_to_id, got[uid(5)].payload) == (None, None, uid(4), None)
+    assert got[uid(3)].url == "http://a.example/" and bytes(got[uid(6)].payload) == b"x. 1 IN A 1.2.3.4"
+    with pytest.raises(ValueError):
+        warc.decoded(plain, "response", "sha1:" + "0" * 40, True)
+    with pytest.raises(ValueError):
+        list(warc._parse(warc._inflated(b"".join(made)[:-20])))
+
+
 def brute_repeats(rows, length):
     texts = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
