@@ -39,6 +39,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt over as many partitions as shuffles have: for small rows that much work is done on."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def give_back() -> None:
     """Return memory that this Python worker holds but doesn't use to the system."""
     gc.collect()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import arrow_map, materialise, table
+from siteprism.llm.common import arrow_map, materialise, spread, table
 
 #: Words in a block, slots in an output shard, and stretches into which each source's documents are dealt for packing.
 BLOCK, SHARD_SLOTS, STRETCHES = 128, 4096, 1024
@@ -173,7 +173,7 @@ def _slots(plan: DataFrame, block: int, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), r["shard"])), pa.array(np.full(len(slot), r["sid"], np.int32)), pa.array(slot), pa.array(at), pa.array(taken.astype(np.int32))], ["shard", "sid", "slot", "block", "words"])
 
     # a shard's slots are made from a few numbers each: dealt anew, as these come in few partitions
-    return runs.repartition(F.col("shard")).transform(arrow_map, fill, "shard long, sid int, slot long, block long, words int")
+    return spread(runs, "shard", "sid").transform(arrow_map, fill, "shard long, sid int, slot long, block long, words int")
 
 
 def _quota(words: int, size: int, blocks: int, block: int) -> int:
