@@ -409,14 +409,17 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     seen = materialise(_occurrences(docs, length), "runs")
     often = seen.groupBy("anchor").agg(F.count("*").alias("k"), F.min("frag").alias("low"), F.max("frag").alias("high")).where("k > 1")
-    kept = materialise(seen.join(often.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchor"), "repeated")
+    # written first: a join of two plain shuffles is one in which adaptive execution splits a crowded anchor's rows
+    often = materialise(often.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchors")
+    kept = materialise(seen.join(often, "anchor"), "repeated")
     whole = kept.where("same").select("doc_id", "th", "start", "n")
     mixed = kept.where(~F.col("same"))
     place = F.struct("doc_id", "th", "start", "n")
     frags = materialise(mixed.groupBy("anchor", "frag").agg(F.count("*").alias("copies"), F.min(place).alias("at")), "fragments")
     copied = mixed.join(frags.where("copies > 1").select("anchor", "frag"), ["anchor", "frag"], "left_semi").select("doc_id", "th", "start", "n")
     kinds = frags.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("least = 1")
-    wanted = frags.join(kinds.select("anchor", "kinds"), "anchor").select("anchor", "frag", "copies", "kinds", "at.*")
+    kinds = materialise(kinds.select("anchor", "kinds"), "kinds")
+    wanted = frags.join(kinds, "anchor").select("anchor", "frag", "copies", "kinds", "at.*")
     bits = materialise(_fragments(docs, wanted, length).withColumnRenamed("anchor", "key"), "bits")
     told, small = _uncrowded(bits.where(F.col("kinds") > GROUP), length)
     out = whole.unionByName(copied)
