@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import arrow_map, materialise, pieces, raw, table
+from siteprism.llm.common import arrow_map, materialise, pieces, raw, spread, table
 from siteprism.llm.components import connected_components
 
 #: Words in a shingle, and differing bits up to which fingerprints link.
@@ -195,6 +195,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, homes: int = HOMES) -> Dat
     """
     if threshold != 2 and homes < 1 << 40:
         raise ValueError("crowded anchors are linked by midpoints, which fit a threshold of 2")
+    fps = spread(fps, "fp")
     home = _homes(fps)
     crowd = home.groupBy("anchor").agg(F.count("*").alias("n"))
     few = home.join(crowd.where(F.col("n") <= homes), "anchor").select("anchor", "home")
@@ -262,7 +263,8 @@ def _candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     texts = sketches.where("n > 0").select("th", "fp", "n", "keys").dropDuplicates(["th"])
     at = materialise(texts.select("th", "fp", "n", F.explode("keys").alias("key")), "bands")
-    size = at.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # written first: a join of two plain shuffles is one in which adaptive execution splits a crowded band's rows
+    size = materialise(at.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     shared = materialise(at.join(size, "key"), "shared")
     few = shared.where(F.col("size") <= CROWD)
     many = shared.where(F.col("size") > CROWD)
@@ -361,7 +363,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Near duplicates have fingerprints within 2 bits, or five-word shingle sets 0.8 alike or more; groups are
     what such links connect. Null and empty texts are one group. Of rows that share doc_id and text one stays,
-    whichever. Empty input gives an empty result.
+    whichever. Empty input gives an empty result. Extra columns of any name are carried along.
     """
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     fp = materialise(_sketches(keyed), "fingerprints")
@@ -369,8 +371,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     by_fp = fp.groupBy("fp").agg(F.min(order).alias("first")).join(components(fp, similar(docs, fp)), "fp")
     first = by_fp.groupBy("root").agg(F.min("first").alias("first")).select(*_row_key(F.col("first.doc_id"), F.col("first.th")))
     # plain equalities, so that rows stay dealt by the join's keys and no second shuffle of the texts follows
-    met = docs.select("*", *_row_key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))).join(first, ["_d", "_n", "_t"])
-    return met.dropDuplicates(["_d", "_n", "_t"]).select(*docs.columns)
+    own = [F.col(c).alias(f"own_{c}") for c in docs.columns]
+    met = docs.select(*own, *_row_key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))).join(first, ["_d", "_n", "_t"])
+    return met.dropDuplicates(["_d", "_n", "_t"]).select(*[F.col(f"own_{c}").alias(c) for c in docs.columns])
 
 
 def _row_key(doc_id: Column, text_hash: Column) -> list[Column]:
