@@ -276,17 +276,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     Every hit span (``window`` words or a whole short item, and whatever longer matches join up) is cut from
     the text; a document with over ``max_coverage`` of its words hit goes altogether. Documents without a hit
     stay byte for byte, null texts too. Several automata (``limit``) all judge the text as given, and it is cut once.
+    Extra columns of any name are carried along; n_chars follows the text. Repeated rows stay.
     """
     names = docs.columns
     blocks = _blocks(benchmark, limit)
     if not blocks:
         return docs
+    docs = docs.select("text", *[F.col(c).alias(f"own_{c}") for c in names if c != "text"])
     got = _scan(docs, blocks[0], window, True) if len(blocks) == 1 else _cut_by_all(docs, blocks, window)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["b"] - s["a"]).cast("long"))
     out = got.where(n_hit <= max_coverage * F.col("n_words")).withColumn("text", F.coalesce("clean", "text"))
+    kept = {c: F.col(f"own_{c}") for c in names} | {"text": F.col("text")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("clean").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*names)
+        kept["n_chars"] = F.when(F.col("clean").isNull(), kept["n_chars"]).otherwise(F.length("text"))
+    return out.select(*[kept[c].alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

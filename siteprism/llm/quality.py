@@ -250,8 +250,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and what else ``docs`` has besides its text, with score and predicted.
 
-    Whole texts are scored; null counts as empty, which is one empty line. Equal texts score alike.
+    Whole texts are scored; null counts as empty, which is one empty line. Equal texts score alike, and repeated
+    rows stay. Existing columns named score and predicted are replaced.
     """
+    docs = docs.drop("score", "predicted")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

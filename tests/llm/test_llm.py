@@ -607,6 +607,45 @@ def test_decontaminate_blocks(spark):
         assert rows_of(decontaminate.decontaminate(d, shuffled, limit=10)) == want
 
 
+CLASHING = ("clean", "spans", "items", "n_words", "own", "_d", "_n", "_t", "fp", "th", "keys", "root", "score", "predicted", "runs", "left", "size", "uid", "deviation", "lang_pred")
+
+
+def test_clashing_columns(spark):
+    """Columns by names that the operators use themselves are carried along; nulls, repeated and empty rows too."""
+    rng = random.Random(25)
+    passage = prose(rng, 80)
+    d = docs(spark, [prose(rng, 60) + " " + passage, passage + " " + prose(rng, 60), "one two three", "one two three", None, ""])
+    d = d.unionByName(d.where("doc_id = 2")).withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    model = langid.train(d)
+    labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")
+    for out in (decontaminate.decontaminate(d, bench, max_coverage=1.0), decontaminate.decontaminate(d, bench.unionByName(bench), limit=1), simhash.keep_one(d), repeats.remove_repeats(d, 80, 51), langid.keep_known(d, model)):
+        assert out.columns == d.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+    assert decontaminate.find_hits(d, bench).count() == repeats.removal_digests(d, 80).count() == mixing.mix_documents(d).count() == simhash.near_duplicates(d).count() == 7
+    scored = quality.score_documents(d, quality.train(d, labels))
+    assert scored.columns.count("score") == 1 and scored.count() == 7
+
+
+def test_pipeline_on_edge_cases(spark, tmp_path):
+    """All stages over nulls, repeated rows, ties and an extra column, and over an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(26)
+    texts = [prose(rng, 50, "aeiostr") for _ in range(20)]
+    rows = [(i, t, "en", ("a", "b", None)[i % 3], len(t or ""), "x") for i, t in enumerate([*texts, texts[0], None, "", "  \n "])]
+    rows += [(5, texts[5], "en", "c", 9, None), (None, texts[6] + " more", "en", None, None, "y"), (5, texts[5], "en", "c", 9, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, clean string")
+    for name, frame in (("some", d), ("none", d.limit(0))):
+        path = str(tmp_path / name)
+        frame.write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, None), (None, "x y z")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, path).collect()
+        assert len(out) == (20 if name == "some" else 0), [r.doc_id for r in out]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "some")).collect()} == set(range(20))
+
+
 def test_pipeline(spark, tiny):
     import corpus_pipeline
 
