@@ -451,7 +451,8 @@ def _short_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
     """doc_id, th, start, n: passages of ``words`` words in under ``length`` bytes that stand elsewhere too.
 
     Longer ones are strings of ``length`` bytes already. Such a passage of k bytes is a run of k - length + 1
-    starts (none or less), which spans its k bytes like any other run.
+    starts (none or less), which spans its k bytes like any other run. One that a text itself repeats is told at
+    once, and stands for all its places there when texts are compared: a row for each different one of a text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,19 +462,30 @@ def _short_passages(docs: DataFrame, length: int, words: int) -> DataFrame:
                 inside = np.concatenate([[False], ~np.isin(np.frombuffer(text, np.uint8), _SPACES), [False]])
                 first, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
                 n = len(first) - words + 1
+                seen: dict[int, list[tuple[int, int]]] = {}
                 for j in np.flatnonzero(end[words - 1 :] - first[:n] < length).tolist() if n > 0 else ():
                     a, b = int(first[j]), int(end[j + words - 1])
-                    h = xxhash.xxh3_128_intdigest(text[a:b])
-                    row.append(i), start.append(a), size.append(b - a), high.append(h >> 64), low.append(h & (1 << 64) - 1)
-            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (high, low)]
+                    seen.setdefault(xxhash.xxh3_128_intdigest(text[a:b]), []).append((a, b))
+                twice: list[tuple[int, int]] = []
+                for a, b in sorted(x for own in seen.values() if len(own) > 1 for x in own):
+                    if twice and a <= twice[-1][1]:
+                        twice[-1] = (twice[-1][0], max(b, twice[-1][1]))
+                    else:
+                        twice.append((a, b))
+                told = [(a, b, None) for a, b in twice] + [(*own[0], h) for h, own in seen.items()]
+                for a, b, h in told:
+                    row.append(i), start.append(a), size.append(b - a), high.append(h and h >> 64), low.append(h and h & (1 << 64) - 1)
+            signed = lambda x: pa.array([None if v is None else v - (1 << 64) if v >> 63 else v for v in x], pa.int64())
             n = pa.array(np.array(size, np.int64) - length + 1)
             own = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(start, pa.int64()), n, *hashes], ["doc_id", "th", "start", "n", "high", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(start, pa.int64()), n, signed(high), signed(low)], ["doc_id", "th", "start", "n", "high", "low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = materialise(docs.select("doc_id", "th", "text").transform(arrow_map, run, f"doc_id {kind}, th long, start long, n long, high long, low long"), "short")
-    often = seen.groupBy("high", "low").agg(F.count("*").alias("k")).where("k > 1").select("high", "low")
-    return seen.join(often, ["high", "low"]).select("doc_id", "th", "start", "n")
+    # by texts, so that of a text's own repeats only those that others hold as well meet again
+    often = materialise(seen.where("high is not null").groupBy("high", "low").agg(F.count("*").alias("k")).where("k > 1").select("high", "low"), "shared")
+    told = seen.where("high is null").unionByName(seen.join(often, ["high", "low"], "left_semi").select(*seen.columns))
+    return told.select("doc_id", "th", "start", "n")
 
 
 def _with_runs(docs: DataFrame, length: int, words: int | None = None) -> DataFrame:
