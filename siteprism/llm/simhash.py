@@ -25,6 +25,8 @@ WORDS, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 12, 3
 #: Texts that share a band up to which each is compared with each; beyond it see ``_crowded``.
 CROWD = 16
+#: Texts of crowded bands that hold a shingle up to which they meet by it; shingles in more are common, see ``_by_common_part``.
+COMMON = 16
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -288,12 +290,12 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _crowded(many: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
-    """a, fp_a, b, fp_b: all further pairs of texts of crowded bands that could be alike, by an exact prefix join.
+    """a, fp_a, b, fp_b: further pairs of texts of crowded bands that could be alike, which connect all that are.
 
-    A band whose texts ``known`` links all connect needs no more. The texts of the others are dealt by their
-    rarest shingles: of two texts alike enough each holds one of the other's n - ceil(0.8 n) + 1 rarest among its
-    own, in one order for all. Pairs within one component are left out, and so are those that can't reach the
-    limit even if all after their last common rare shingle were common.
+    A band whose texts ``known`` links all connect needs no more. For the texts of the others, shingles are put in
+    one order, rarest first. The first shingle that two texts alike enough share is among the n - ceil(0.8 n) + 1
+    first of either (its prefix). Where that shingle is in COMMON texts at most, the two meet by it. Where it is in
+    more, they share nothing but such common shingles, and ``_by_common_part`` finds links without pairing all.
     """
     found = connected_components(known)
     rooted = many.join(found, many.fp == found.node, "left").select("key", "th", "fp", F.coalesce("root", "fp").alias("root"))
@@ -305,17 +307,61 @@ def _crowded(many: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
     low, high = SIMILARITY
     # shingles of one text alone come first in the order, so the others' places begin after them
     by_text = Window.partitionBy("th").orderBy("df", "s")
-    placed = held.join(often, "s").withColumns({"at": F.row_number().over(by_text), "k": F.count("*").over(Window.partitionBy("th"))})
+    each = Window.partitionBy("th")
+    placed = held.join(materialise(often, "often"), "s").withColumns({"at": F.row_number().over(by_text), "k": F.count("*").over(each), "f": F.count_if(F.col("df") > COMMON).over(each)})
     placed = placed.withColumn("at", F.col("n") - F.col("k") + F.col("at"))
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(low) / F.lit(high)) + 1
-    placed = materialise(placed.where((F.col("at") <= prefix) & (F.col("low") < F.col("high"))).select("s", "th", "fp", "root", "n", "at"), "prefixes")
-    other = placed.select("s", *(F.col(c).alias(f"{c}_b") for c in ("th", "fp", "root", "n", "at")))
+    placed = materialise(placed.select("s", "th", "fp", "root", "n", "f", "at", "df", ((F.col("at") <= prefix) & (F.col("low") < F.col("high"))).alias("first")), "placed")
     fits = F.least("n", "n_b") * high >= F.greatest("n", "n_b") * low
-    met = placed.join(other, "s").where((F.col("th") > F.col("th_b")) & (F.col("root") != F.col("root_b")) & fits)
+    start = placed.where(F.col("first") & (F.col("df") <= COMMON)).select("s", "th", "fp", "root", "n", "at")
+    other = start.select("s", *(F.col(c).alias(f"{c}_b") for c in ("th", "fp", "root", "n", "at")))
+    met = start.join(other, "s").where((F.col("th") > F.col("th_b")) & (F.col("root") != F.col("root_b")) & fits)
     ends = met.groupBy("th", "fp", "n", "th_b", "fp_b", "n_b").agg(F.count("*").alias("common"), F.max("at").alias("at"), F.max("at_b").alias("at_b"))
+    # those go that can't reach the limit even if all after their last common rare shingle were common
     most = F.col("common") + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
     ends = ends.where(most * (low + high) >= (F.col("n") + F.col("n_b")) * low)
-    return ends.select(F.col("th").alias("a"), F.col("fp").alias("fp_a"), F.col("th_b").alias("b"), F.col("fp_b"))
+    by_rare = ends.select(F.col("th").alias("a"), F.col("fp").alias("fp_a"), F.col("th_b").alias("b"), F.col("fp_b"))
+    return by_rare.unionByName(_by_common_part(placed)).distinct()
+
+
+def _by_common_part(placed: DataFrame) -> DataFrame:
+    """a, fp_a, b, fp_b: pairs that connect all texts alike enough that share common shingles alone.
+
+    Whether such texts x and y are alike depends on their common parts and their sizes only: n_x + n_y may be 9/4
+    of what they share. So among texts with one common part the smallest, its head, is alike to each that is alike
+    to any of them; and where x and y of different parts are alike, so are the heads of the two parts, and each of
+    x and y is alike to its own head or to the other's, the smaller one. Texts are therefore compared with the
+    head of their part, and heads, and texts too large for theirs, with smaller heads of parts whose prefix they
+    share: a passage that thousands of texts consist of gives a pair for each of them. Before that, texts go whose
+    common part lies within that of a text no larger and of the same component, as edited copies' do within their
+    original's: what is alike to them is alike to it.
+    """
+    low, high = SIMILARITY
+    enough = F.col("f") * high >= F.col("n") * low
+    common = placed.where((F.col("df") > COMMON) & enough)
+    tops = common.groupBy("root").agg(F.max(F.struct("f", -F.col("n"), -F.col("th").cast("decimal(20,0)"), "th", "n")).alias("top"))
+    tops = materialise(tops.select(F.col("top.th").alias("t_th"), F.col("top.n").alias("t_n"), F.col("root").alias("t_root")), "tops")
+    held = materialise(common.join(tops, common.th == tops.t_th).select("t_root", "t_n", "t_th", F.col("s").alias("t_s")), "top-parts")
+    within = common.join(held, (F.col("root") == F.col("t_root")) & (F.col("s") == F.col("t_s"))).where((F.col("th") != F.col("t_th")) & (F.col("t_n") <= F.col("n")))
+    within = within.groupBy("th", "f").agg(F.count("*").alias("shared")).where("shared = f").select("th")
+    common = materialise(common.join(materialise(within, "within"), "th", "left_anti"), "common")
+    part = common.groupBy("th", "fp", "root", "n", "f").agg(F.sum(F.xxhash64("s").cast("decimal(38,0)")).alias("p1"), F.bit_xor(F.xxhash64("s", F.lit(1))).alias("p2"))
+    part = materialise(part, "parts")
+    heads = part.groupBy("p1", "p2").agg(F.min(F.struct("n", "th", "fp", "root")).alias("head"))
+    heads = materialise(heads, "heads")
+    own = part.join(heads, ["p1", "p2"]).where(F.col("th") != F.col("head.th"))
+    near = (F.col("n") + F.col("head.n")) * low <= F.col("f") * (low + high)
+    star = own.where(near & (F.col("root") != F.col("head.root"))).select(F.col("th").alias("a"), F.col("fp").alias("fp_a"), F.col("head.th").alias("b"), F.col("head.fp").alias("fp_b"))
+    # heads, and texts too large for theirs with the size of that head, which a smaller one must be below
+    asking = heads.select("head.th", F.lit(None).cast("long").alias("limit")).unionByName(own.where(~near).select("th", F.col("head.n").cast("long").alias("limit")))
+    first = common.where("first").select("s", "th", "fp", "root", "n", "f", "at")
+    left = first.join(asking, "th")
+    right = first.join(heads.select("head.th"), "th", "left_semi").select("s", *(F.col(c).alias(f"{c}_b") for c in ("th", "fp", "root", "n", "f", "at")))
+    # what a pair's first common shingle leaves after it in the order must be enough; later ones may fail this
+    left_over = (F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) + 1) * (low + high) >= (F.col("n") + F.col("n_b")) * low
+    fits = left_over & ((F.col("n") + F.col("n_b")) * low <= F.least("f", "f_b") * (low + high)) & ((F.col("n_b") < F.col("n")) | (F.col("n_b") == F.col("n")) & (F.col("th_b") < F.col("th"))) & (F.col("limit").isNull() | (F.col("n_b") < F.col("limit")))
+    cross = left.join(right, "s").where((F.col("root") != F.col("root_b")) & fits)
+    return star.unionByName(cross.select(F.col("th").alias("a"), F.col("fp").alias("fp_a"), F.col("th_b").alias("b"), F.col("fp_b")).distinct())
 
 
 def similar(docs: DataFrame, sketches: DataFrame) -> DataFrame:

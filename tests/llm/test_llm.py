@@ -306,7 +306,9 @@ def test_five_word_similarity(spark):
     assert len(simhash.band_keys(np.zeros(0, np.uint64))) == 0
 
 
-def test_five_word_similarity_crowd(spark):
+@pytest.mark.parametrize("common_from", [16, 2])
+def test_five_word_similarity_crowd(spark, common_from, monkeypatch):
+    monkeypatch.setattr(simhash, "COMMON", common_from)
     rng = random.Random(18)
     common, tail = prose(rng, 160), lambda n: prose(rng, n, "klmnopqrst")
     pairs = []
@@ -319,7 +321,16 @@ def test_five_word_similarity_crowd(spark):
     for i in range(40):
         words[160 + 3 * i] = tail(1)
         drift.append(" ".join(words))
-    texts = pairs + drift
+    # texts of which the passage is 80 to 92%, of many sizes: the smaller ones are alike by it alone, the larger only if more is shared
+    parts = [common + " " + tail(rng.randint(14, 42)) for _ in range(60)]
+    # a family of edited copies in which those of few edits are alike to all, and those of many to none or some
+    family = []
+    for _ in range(80):
+        own = (tail(40) if not family else family[0][0]).split() + common.split()[:110]
+        for i in rng.sample(range(150), rng.choice((0, 1, 2, 3, 4, 5)) if family else 0):
+            own[i] = tail(1)
+        family.append((" ".join(own[:40]) if not family else family[0][0], " ".join(own)))
+    texts = pairs + drift + parts + [t for _, t in family]
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
     alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     assert all(alike(i, i + 1) for i in range(0, 120, 2)) and not alike(0, 2) and not alike(120, 159)
@@ -328,6 +339,28 @@ def test_five_word_similarity_crowd(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()) == sorted(set(want.values()))
 
 
+def test_five_word_similarity_template(spark):
+    """An original, copies that are not quite alike to it, and a copy of each of these that is alike to its own."""
+    rng = random.Random(27)
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(6))
+    original = [word() for _ in range(200)]
+
+    def edited(ws, edits):
+        ws = list(ws)
+        for i in rng.sample(range(5, 195), edits):
+            ws[i] = word()
+        return ws
+
+    copies = [edited(original, 7) for _ in range(150)]
+    texts = [" ".join(w) for w in [original, *copies, *(edited(c, 4) for c in copies)]]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    fp = [brute_fingerprint(t) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (fp[a] ^ fp[b]).bit_count() <= 2
+    want = set(groups(range(len(texts)), alike).values())
+    assert len(want) > 100
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()} == want
+
+
 @pytest.mark.parametrize("homes", [16, 0])
 def test_simhash_crowd(spark, homes):
     rng = random.Random(8)
@@ -445,6 +478,16 @@ def test_remove_short_words(spark):
     assert got == {0: f"{own[0]}  {own[1]}", 1: f"{own[2]} ", 2: f"{own[3]} {almost} q", 3: f"{almost} r", 4: None}
 
 
+def test_remove_short_words_repeated_within(spark):
+    """A text's own repeats go too, and what others have of them."""
+    rng = random.Random(28)
+    short = [" ".join(rng.choice(("a", "b", "to", "of")) for _ in range(51)) for _ in range(2)]
+    own = [prose(rng, 30) for _ in range(6)]
+    d = docs(spark, [f"{own[0]} {short[0]} {own[1]} {short[0]} {own[2]}", f"{own[3]} {short[0]}", f"{own[4]} {short[1]} {own[5]}", f"{own[5][:9]} {'ab cd ' * 60}end"])
+    got = {r.doc_id: r.text for r in repeats.remove_repeats(d, 240, 51).collect()}
+    assert got == {0: f"{own[0]}  {own[1]}  {own[2]}", 1: f"{own[3]} ", 2: f"{own[4]} {short[1]} {own[5]}", 3: f"{own[5][:9]}end"}  # the last one's spaces go by the byte rule
+
+
 def test_main_text(spark):
     page = (
         "<html><body class='comments-open'><header><p>The best site of all the sites.</p></header><nav><a href=/>Home</a></nav><div class=cookie-notice><p>We use cookies. Do you agree with that?</p></div>"
