@@ -15,6 +15,7 @@ from siteprism.functions import text as T
 from siteprism.functions import urls
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_HIDING = frozenset(("head", "script", "style", "noscript", "title"))
 #: Where an address is looked for after <address>, in this order.
 ADDRESS_PLACES = ("footer", ".footer", "#footer", ".contact", "#contact", ".contact-us", ".location", ".locations", ".address", "[itemprop=address]")
 
@@ -51,7 +52,11 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, list[list[str]]]] = []
+        #: Open elements with how many sinks each adds; the sinks now open; open elements by tag, and those that hide text.
+        self.open: list[tuple[str, int]] = []
+        self.sinks: list[list[str]] = []
+        self.count: dict[str, int] = {}
+        self.hidden = 0
         self.title: list[str] | None = None
         self.words: list[str] = []
         self.anchors: list[tuple[str, list[str]]] = []
@@ -104,22 +109,26 @@ class _Page(HTMLParser):
             self.places[place].append([])
             sinks.append(self.places[place][-1])
         if tag not in _VOID:
-            self.open.append((tag, sinks))
+            self.open.append((tag, len(sinks)))
+            self.sinks += sinks
+            self.count[tag] = self.count.get(tag, 0) + 1
+            self.hidden += tag in _HIDING
             if tag == "body":
                 self.body_seen = True
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+        while self.count.get(tag):
+            name, sinks = self.open.pop()
+            del self.sinks[len(self.sinks) - sinks :]
+            self.count[name] -= 1
+            self.hidden -= name in _HIDING
+            if name == tag:
                 return
 
     def handle_data(self, data: str) -> None:
-        within = {t for t, _ in self.open}
-        for _, sinks in self.open:
-            for s in sinks:
-                s.append(data)
-        if not within & {"head", "script", "style", "noscript", "title"}:
+        for s in self.sinks:
+            s.append(data)
+        if not self.hidden:
             self.words.append(data)
 
 

@@ -15,8 +15,6 @@ from siteprism.functions.urls import pick_url
 #: The order of sources in a lead's detections, and headers that stand in for DNS records.
 ORDER = ("script_src", "html", "css", "headers", "cookies", "meta", "url", "robots", "text", "dns_header")
 DNS_HEADERS = ("via", "server", "x-powered-by", "x-served-by")
-#: Patterns up to which one expression is generated for each; larger catalogs are matched in Arrow batches.
-GENERATED = 300
 
 HAYSTACKS = "lead, source, qualifier, field, text"
 
@@ -43,25 +41,27 @@ def header_haystacks(leads: DataFrame) -> DataFrame:
     Header names fold case; cookie names don't, and a cookie's value ends at its first semicolon. The DNS
     stand-ins are the headers of those names.
     """
-    h = leads.select(F.col("id").alias("lead"), F.posexplode("response_headers").alias("pos", "h")).select("lead", "pos", F.col("h.key").alias("key"), F.col("h.value").alias("value"))
-    h = h.where("key is not null and value is not null").withColumn("name", F.lower("key"))
-    cookies = h.where("name = 'set-cookie'")
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(c).alias("v")))), lambda x: x["v"]), "\n")
-    by_name = h.groupBy("lead", "name").agg(joined("value").alias("text"))
-    named = by_name.select("lead", F.lit("headers").alias("source"), F.col("name").alias("qualifier"), F.concat(F.lit("response_headers["), "name", F.lit("]")).alias("field"), "text")
-    dns = by_name.where(F.col("name").isin(*DNS_HEADERS)).select("lead", F.lit("dns_header").alias("source"), F.col("name").alias("qualifier"), F.concat(F.lit("dns_header["), "name", F.lit("]")).alias("field"), "text")
-    whole = h.withColumn("line", F.concat_ws(": ", "key", "value")).groupBy("lead").agg(joined("line").alias("text"))
-    all_headers = whole.select("lead", F.lit("headers").alias("source"), F.lit(None).cast("string").alias("qualifier"), F.lit("response_headers[*]").alias("field"), "text")
-    line = cookies.select("lead", "pos", F.explode(F.split("value", "\n")).alias("line"))
-    own = line.select("lead", "pos", F.regexp_extract("line", r"^\s*([^=]*)=", 1).alias("name"), F.regexp_extract("line", r"^\s*[^=]*=([^;]*)", 1).alias("value")).where("name <> ''")
-    cookie = own.groupBy("lead", "name").agg(joined("value").alias("text"))
-    named_cookies = cookie.select("lead", F.lit("cookies").alias("source"), F.col("name").alias("qualifier"), F.concat(F.lit("set_cookie["), "name", F.lit("]")).alias("field"), "text")
-    every = cookies.groupBy("lead").agg(joined("value").alias("text"))
-    all_cookies = every.select("lead", F.lit("cookies").alias("source"), F.lit(None).cast("string").alias("qualifier"), F.lit("set_cookie[*]").alias("field"), "text")
-    out = named
-    for part in (dns, all_headers, named_cookies, all_cookies):
-        out = out.unionByName(part)
-    return out.where("text <> ''")
+    # a lead's headers are one array already, so all of it is array work within the row: no shuffle
+    sent = F.filter(F.transform("response_headers", lambda h: F.struct(h["key"].alias("key"), F.lower(h["key"]).alias("name"), h["value"].alias("value"))), lambda h: h["key"].isNotNull() & h["value"].isNotNull())
+    rows = leads.select(F.col("id").alias("lead"), sent.alias("h"))
+    values = lambda items, name: F.array_join(F.transform(F.filter(items, lambda h: h["name"] == name), lambda h: h["value"]), "\n")
+    cookie = lambda line: F.struct(F.regexp_extract(line, r"^\s*([^=]*)=", 1).alias("name"), F.regexp_extract(line, r"^\s*[^=]*=([^;]*)", 1).alias("value"))
+    lines = F.flatten(F.transform(F.filter("h", lambda h: h["name"] == "set-cookie"), lambda h: F.split(h["value"], "\n")))
+    rows = rows.select("lead", "h", F.filter(F.transform(lines, cookie), lambda c: c["name"] != "").alias("c"))
+    names = lambda items: F.array_distinct(F.transform(items, lambda x: x["name"]))
+    stack = lambda source, qualifier, field, text: F.struct(F.lit(source).alias("source"), qualifier.alias("qualifier"), field.alias("field"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    by = lambda source, prefix, items, keys: F.transform(keys, lambda n: stack(source, n, F.concat(F.lit(prefix + "["), n, F.lit("]")), values(F.col(items), n)))
+    told = F.concat(
+        by("headers", "response_headers", "h", names(F.col("h"))),
+        by("dns_header", "dns_header", "h", F.filter(names(F.col("h")), lambda n: n.isin(*DNS_HEADERS))),
+        by("cookies", "set_cookie", "c", names(F.col("c"))),
+        F.array(
+            stack("headers", none, F.lit("response_headers[*]"), F.array_join(F.transform("h", lambda h: F.concat_ws(": ", h["key"], h["value"])), "\n")),
+            stack("cookies", none, F.lit("set_cookie[*]"), values(F.col("h"), F.lit("set-cookie"))),
+        ),
+    )
+    return rows.select("lead", F.inline(told)).where("text <> ''")
 
 
 def meta_haystacks(leads: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def version_of(text: Column, regex: str, template: str | None) -> Column:
 
 
 def match_generated(stacks: DataFrame, patterns: list[dict]) -> DataFrame:
-    """J1 for small catalogs: one expression for each pattern, constants that compile once and stay in codegen.
+    """J1 for a few patterns of Java's dialect: an expression for each, constants that compile once and stay in codegen.
 
     A row of text meets only the patterns of its source (and name): a CASE by source keeps the others from
     being tried.
@@ -137,14 +137,24 @@ def match_joined(stacks: DataFrame, pattern: DataFrame) -> DataFrame:
     return _finished(met.select("lead", "source", "field", "name", "pack", "idx", "confidence", F.lit(None).cast("string").alias("version"), value.alias("matched_value")))
 
 
-_HIT = "lead string, source string, field string, name string, pack string, idx int, confidence int, version string, matched_value string"
+_HIT = "lead string, source string, field string, name string, pack string, idx int, confidence int, version string, matched_value string, failed boolean"
 
 
 def match_batched(stacks: DataFrame, patterns: list[dict], timeout: float = 0.1) -> DataFrame:
-    """J1, D7 for large catalogs: Arrow batches, each pattern compiled once in a worker, literals tried before regexes.
+    """The matcher's form for packs: Arrow batches, each pattern compiled once in a worker, literals tried first.
 
-    Uses the ``regex`` module's timeout where it is installed, so that no pattern runs away; one that does is no hit.
+    Patterns are Python's, whatever their number. The ``regex`` module's timeout, where it is installed, keeps any
+    from running away; one that does is no hit, and ``failures`` counts it.
     """
+    return _batched(stacks, patterns, timeout).where(~F.col("failed")).drop("failed")
+
+
+def failures(stacks: DataFrame, patterns: list[dict], timeout: float = 0.1) -> DataFrame:
+    """Lead, failed: how many of a lead's patterns ran out of time, where any did."""
+    return _batched(stacks, patterns, timeout).where("failed").groupBy("lead").agg(F.count("*").cast("int").alias("failed"))
+
+
+def _batched(stacks: DataFrame, patterns: list[dict], timeout: float) -> DataFrame:
     held = stacks.sparkSession.sparkContext.broadcast(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,16 +185,17 @@ def match_batched(stacks: DataFrame, patterns: list[dict], timeout: float = 0.1)
                     try:
                         m = compiled.search(r["text"], **limit)
                     except TimeoutError:
+                        out.append({"lead": r["lead"], "source": r["source"], "field": r["field"], "version": None, "matched_value": None, "failed": True} | {k: p[k] for k in ("name", "pack", "idx", "confidence")})
                         continue
                     if m:
                         value = m[0] if len(m[0]) <= 200 else m[0][:197] + "..."
-                        out.append({"lead": r["lead"], "source": r["source"], "field": r["field"], "version": _filled(p["version"], m.groups()), "matched_value": value} | {k: p[k] for k in ("name", "pack", "idx", "confidence")})
+                        out.append({"lead": r["lead"], "source": r["source"], "field": r["field"], "version": _filled(p["version"], m.groups()), "matched_value": value, "failed": False} | {k: p[k] for k in ("name", "pack", "idx", "confidence")})
             yield pa.RecordBatch.from_pylist(out, schema=_HIT_TYPE)
 
     return _finished(stacks.select("lead", "source", "qualifier", "field", "text").mapInArrow(run, _HIT))
 
 
-_HIT_TYPE = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in (x.split() for x in _HIT.split(", "))])
+_HIT_TYPE = pa.schema([(n, {"int": pa.int32(), "boolean": pa.bool_()}.get(t, pa.string())) for n, t in (x.split() for x in _HIT.split(", "))])
 
 
 def _literal(pattern: str) -> str:
@@ -216,13 +227,16 @@ def detections(leads: DataFrame, patterns: list[dict], tech: DataFrame) -> DataF
     from pyspark.sql import Window as W
 
     stacks = haystacks(leads)
-    found = match_generated(stacks, patterns) if len(patterns) <= GENERATED else match_batched(stacks, patterns)
+    found = match_batched(stacks, patterns)
     seq = F.row_number().over(W.partitionBy("lead").orderBy("source_ord", "name", "pack", "idx", "field"))
     return found.withColumn("seq", seq).join(tech.select("name", "pack", "categories"), ["name", "pack"])
 
 
 def match_leads(leads: DataFrame, pack, block=None) -> DataFrame:
-    """Resolved detections of every lead; ``block`` (a Blocklist) is applied where given."""
+    """Resolved detections of every lead; ``block`` (a Blocklist) is applied where given.
+
+    What a lead's text does to one pattern (a timeout) costs that pattern alone: see ``failures``.
+    """
     from siteprism.operators import resolve as R
     from siteprism.sources.packs import tables
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,18 +72,27 @@ def context(config: Config) -> Column:
 RECORD = "stage string, status string, model string, prompt_version string, payload_version string, error string, output string"
 
 
-def call_tier(leads: DataFrame, stage: str, call: Callable[[dict], dict], config: Config) -> DataFrame:
-    """Id and the stage record of ``call`` on each lead's context (column context); one failure stays one lead's.
+def call_tier(leads: DataFrame, stage: str, call: Callable[[dict], dict], config: Config, attempts: int = 1, per_minute: float | None = None) -> DataFrame:
+    """Id and the stage record of ``call`` on each lead's context (column context); one failure stays one lead's.
 
-    Tier 1 fails open (a pass, as a fallback); tier 2 fails to ``tier2_failed``. ``call`` is shipped to the
-    workers: it takes and returns a dictionary.
+    Tier 1 fails open (a pass, as a fallback); tier 2 fails to ``tier2_failed``, each after so many ``attempts``.
+    ``call`` is shipped to the workers: it takes and returns a dictionary. A task begins at most ``per_minute``
+    calls a minute: with ``stream.call_in_parallel`` that is a limit's share of each task.
     """
     model = config.tier1_model if stage == "tier1" else config.tier2_model
     fallback = {"verdict": "pass", "confidence": 0.0, "is_real_local_business": True, "is_niche_match": True, "business_type_guess": "unknown"}
 
     def one(text: str) -> tuple[str, str | None, dict | None]:
         try:
-            got = call(json.loads(text))
+            for left in reversed(range(attempts)):
+                if per_minute:
+                    time.sleep(60 / per_minute)
+                try:
+                    got = call(json.loads(text))
+                    break
+                except Exception:
+                    if not left:
+                        raise
         except Exception as e:  # whatever a caller's function raises
             return ("tier1_failed_fallback", str(e), fallback | {"rationale_short": str(e)}) if stage == "tier1" else ("tier2_failed", str(e), None)
         if stage == "tier2":

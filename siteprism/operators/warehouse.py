@@ -82,7 +82,7 @@ def with_technologies(leads: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def search_leads(leads: DataFrame, text: str = "", status: str | None = None, limit: int = 50) -> DataFrame:
-    """The console's search over host, company and industry; blank text finds all."""
+    """The console's search over host, company and industry, newest first; blank text finds all."""
     from siteprism.functions.urls import console_host
 
     q = text.strip().lower()
@@ -90,7 +90,7 @@ def search_leads(leads: DataFrame, text: str = "", status: str | None = None, li
     if q:
         low = lambda c: F.coalesce(F.lower(c).contains(q), F.lit(False))
         rows = rows.where(low(console_host("source_url")) | low(F.col("company_name")) | low(F.col("target_industry")))
-    return rows.limit(limit)
+    return newest(rows, limit, 200)
 
 
 def status_counts(leads: DataFrame) -> DataFrame:
@@ -134,8 +134,11 @@ def append(leads: DataFrame, path: str) -> None:
 
 
 def latest(versions: DataFrame, key: str = "id", at: str = "updated_at") -> DataFrame:
-    """Parquet rows aren't changed; a change is a new version, and this is the view of the last ones."""
-    order = W.partitionBy(key).orderBy(F.desc(at))
+    """Parquet rows aren't changed; a change is a new version, and this is the view of the last ones.
+
+    Of versions of one time the greatest by their other columns stands, so that reruns agree.
+    """
+    order = W.partitionBy(key).orderBy(F.desc(at), F.desc(F.to_json(F.struct(*versions.columns))))
     return versions.withColumn("_v", F.row_number().over(order)).where("_v = 1").drop("_v")
 
 
@@ -158,6 +161,18 @@ def run_status(exit_code: int | None) -> str:
     return "running" if exit_code is None else "completed" if exit_code == 0 else "failed"
 
 
+def with_status(runs: DataFrame, exits: DataFrame) -> DataFrame:
+    """Runs with the status that their process' exit code (run_id, exit_code; null while it runs) gives; others as they are."""
+    told = F.when(F.col("exit_code").isNull(), "running").when(F.col("exit_code") == 0, "completed").otherwise("failed")
+    return updated(runs, exits.select(F.col("run_id").alias("id"), told.alias("status")), ("status",))
+
+
+def leads_by_run(leads: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each run with how many leads it has, none included."""
+    counts = leads.groupBy("run_id").agg(F.count("*").alias("leads"))
+    return runs.select(F.col("id").alias("run_id")).join(counts, "run_id", "left").withColumn("leads", F.coalesce("leads", F.lit(0)))
+
+
 def health() -> dict[str, str]:
     """GET /metrics."""
     return {"status": "ok"}

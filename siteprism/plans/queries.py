@@ -332,13 +332,18 @@ def fetch_gate(spark, sf_dir):
 
 
 def leads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lead for each page; what a page lacks comes from arithmetic on page_id. ``LEADS`` is the same in SQL."""
+    """A lead for each page."""
+    return leads_from_pages(table(spark, sf_dir, "pages"))
+
+
+def leads_from_pages(pages: DataFrame) -> DataFrame:
+    """Pages, a table or a stream, as leads; what they lack comes from arithmetic on page_id. ``LEADS`` is the same in SQL."""
     k = F.col("page_id")
     link = lambda u: F.array(F.struct(u.alias("url"), F.lit(False).alias("is_internal"), F.lit("").alias("label")))
     none = F.expr("cast(array() as array<struct<url:string,is_internal:boolean,label:string>>)")
     anchor = F.when(k % 4 == 0, link(F.lit("https://www.facebook.com/x"))).when(k % 4 == 1, link(F.lit("https://a.example/privacy"))).otherwise(none)
     script = F.when(k % 31 == 0, link(F.lit("https://static1.SQUARESPACE.com/a.js"))).when(k % 31 == 1, link(F.lit("/wp-content/a.js"))).when(k % 31 == 2, link(F.lit("https://code.jquery.com/jquery-3.6.0.min.js"))).otherwise(none)
-    return table(spark, sf_dir, "pages").select(
+    return pages.select(
         k.cast("string").alias("id"), k, F.concat(F.lit("run"), (k % 5).cast("string")).alias("run_id"), F.when(k % 37 == 0, F.lit("https://www.yelp.com/biz/x")).otherwise(F.col("url")).alias("source_url"),
         F.col("url").alias("final_url"), F.lit("search").alias("discovery_source"), F.lit("hvac").alias("target_industry"), F.when(k % 41 == 0, F.lit("  ")).otherwise(html.title_of("html")).alias("page_title"),
         text.word_count(html.visible_text("html")).alias("word_count"), (k % 2 == 0).alias("has_viewport"), (k % 3 == 0).alias("has_form"), (k % 8 == 0).alias("has_tel_link"), (k % 9 == 0).alias("has_mailto_link"),
@@ -516,27 +521,13 @@ def cost_by_run(spark, sf_dir):
     return warehouse.cost_by_run(o)
 
 
-@query("SELECT r.n_nationkey AS run_id, count(c_custkey) AS leads FROM nation r JOIN customer ON c_nationkey = r.n_nationkey WHERE r.n_nationkey % 2 = 0 GROUP BY 1")
-def run_leads_join(spark, sf_dir):
-    """J13, A14."""
-    runs = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("run_id"))
-    return table(spark, sf_dir, "customer").join(runs, F.col("c_nationkey") == F.col("run_id")).groupBy("run_id").agg(F.count("*").alias("leads"))
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 = 0")
 def json_prop_filter(spark, sf_dir):
-    """F25, P2, X21."""
+    """P2, X21."""
     e = table(spark, sf_dir, "events").withColumn("m", landed.json_object("props"))
     return e.select("event_id", F.col("m")["k"].cast("int").alias("k")).where("k % 3 = 0")
 
 
-@query("SELECT s_suppkey, lower(s_name) LIKE '%1%' OR lower(n_name) LIKE '%1%' AS found FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0")
-def console_search(spark, sf_dir):
-    """F24."""
-    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("s_acctbal > 0")
-    return s.select("s_suppkey", (F.lower("s_name").contains("1") | F.lower("n_name").contains("1")).alias("found"))
-
-
 _STATES = "('tier1_skipped'), ('tier1_passed'), ('tier2_complete'), ('tier1_rejected'), ('tier2_failed'), ('tier2_queued'), ('tier2_running'), (''), ('other')"
 
 
@@ -611,30 +602,30 @@ def _sig(spark: SparkSession, stacks: DataFrame, patterns: list[tuple]) -> DataF
 
 
 @query(
-    """SELECT o_orderkey AS id, 'Shield' AS name, NULL AS version, 'cloudflare' AS matched_value, 'response_headers[server]' AS field FROM orders WHERE o_orderkey % 3 = 0
-    UNION ALL SELECT o_orderkey, 'Script', '7.' || o_orderkey % 10, 'PHP/7.' || o_orderkey % 10, 'response_headers[x-powered-by]' FROM orders UNION ALL SELECT o_orderkey, 'Any', NULL, 'Via: 1', 'response_headers[*]' FROM orders
+    """SELECT o_orderkey AS id, 'Cloudflare' AS name, NULL AS version, 'cloudflare' AS matched_value, 'response_headers[server]' AS field FROM orders WHERE o_orderkey % 3 = 0
+    UNION ALL SELECT o_orderkey, 'PHP', '7.' || o_orderkey % 10, 'PHP/7.' || o_orderkey % 10, 'response_headers[x-powered-by]' FROM orders UNION ALL SELECT o_orderkey, 'Any', NULL, 'Via: 1', 'response_headers[*]' FROM orders
     UNION ALL SELECT o_orderkey, 'Box', NULL, 'proxybox', 'dns_header[via]' FROM orders"""
 )
 def sig_headers(spark, sf_dir):
     """J2, J5, A5, X15."""
     stacks = match.header_haystacks(_requests(spark, sf_dir))
-    return _sig(spark, stacks, [("Shield", "headers", "SERVER", "cloudflare", None), ("Script", "headers", "X-Powered-By", r"php/?([\d.]+)?", "\\1"), ("Any", "headers", None, r"via: \d", None), ("Box", "dns_header", "Via", "proxybox", None), ("No", "dns_header", "Location", ".*", None)])
+    return _sig(spark, stacks, [("Cloudflare", "headers", "SERVER", "cloudflare", None), ("PHP", "headers", "X-Powered-By", r"php/?([\d.]+)?", "\\1"), ("Any", "headers", None, r"via: \d", None), ("Box", "dns_header", "Via", "proxybox", None), ("No", "dns_header", "Location", ".*", None)])
 
 
 @query(
-    """SELECT o_orderkey AS id, 'Meter' AS name, NULL AS version, 'GA' || o_orderkey AS matched_value, 'set_cookie[_ga]' AS field FROM orders
-    UNION ALL SELECT o_orderkey, 'Bot', NULL, '2', 'set_cookie[__cf_bm]' FROM orders WHERE o_orderkey % 2 = 1"""
+    """SELECT o_orderkey AS id, 'Google Analytics' AS name, NULL AS version, 'GA' || o_orderkey AS matched_value, 'set_cookie[_ga]' AS field FROM orders
+    UNION ALL SELECT o_orderkey, 'Cloudflare Bot Management', NULL, '2', 'set_cookie[__cf_bm]' FROM orders WHERE o_orderkey % 2 = 1"""
 )
 def sig_cookies(spark, sf_dir):
     """J3."""
     stacks = match.header_haystacks(_requests(spark, sf_dir))
-    return _sig(spark, stacks, [("Meter", "cookies", "_ga", "ga.*", None), ("Bot", "cookies", "__cf_bm", ".*", None)])
+    return _sig(spark, stacks, [("Google Analytics", "cookies", "_ga", "ga.*", None), ("Cloudflare Bot Management", "cookies", "__cf_bm", ".*", None)])
 
 
-@query("SELECT o_orderkey AS id, 'Press' AS name, '6.' || o_orderkey % 10 AS version, 'WordPress 6.' || o_orderkey % 10 AS matched_value, 'meta[generator]' AS field FROM orders")
+@query("SELECT o_orderkey AS id, 'WordPress' AS name, '6.' || o_orderkey % 10 AS version, 'WordPress 6.' || o_orderkey % 10 AS matched_value, 'meta[generator]' AS field FROM orders")
 def sig_meta(spark, sf_dir):
     """J4."""
-    return _sig(spark, match.meta_haystacks(_requests(spark, sf_dir)), [("Press", "meta", "generator", r"^WordPress ?([\d.]+)?", "\\1"), ("Not", "meta", "GENERATOR", ".*", None)])
+    return _sig(spark, match.meta_haystacks(_requests(spark, sf_dir)), [("WordPress", "meta", "generator", r"^WordPress ?([\d.]+)?", "\\1"), ("Not", "meta", "GENERATOR", ".*", None)])
 
 
 _FOUND_ROWS = "n AS name"
@@ -740,16 +731,6 @@ def match_leads(spark, sf_dir):
 # Packs.
 
 
-@query("SELECT p_name AS name, p_brand AS pack, count(*) OVER (PARTITION BY p_name) AS versions FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_brand DESC, p_partkey DESC) = 1")
-def pack_override(spark, sf_dir):
-    """U3 as a table operation: of several packs' rows of one name the last pack's stands."""
-    from pyspark.sql import Window as W
-
-    own = W.partitionBy("p_name")
-    p = table(spark, sf_dir, "part").withColumn("n", F.row_number().over(own.orderBy(F.desc("p_brand"), F.desc("p_partkey")))).withColumn("versions", F.count("*").over(own))
-    return p.where("n = 1").select(F.col("p_name").alias("name"), F.col("p_brand").alias("pack"), "versions")
-
-
 @query("WITH e AS (SELECT p_brand AS file, p_size % 20 AS category FROM part) SELECT file, count(*) AS n_in, count(*) FILTER (WHERE category IN (1, 6, 11)) AS n_out FROM e GROUP BY ROLLUP (file)")
 def pack_stats(spark, sf_dir):
     """A11, A12, S21, J15, U6."""
@@ -765,17 +746,6 @@ def pack_except(spark, sf_dir):
     return packs.unknown_categories(keep, table(spark, sf_dir, "part").select((F.col("p_size") % 20).alias("category")))
 
 
-# Streaming.
-
-
-@query()
-def stream_evaluate(spark, sf_dir):
-    """Pages as a file stream through the gate, stored batch by batch and read back."""
-    from siteprism.streaming.stream import run_pages
-
-    return run_pages(spark, sf_dir)
-
-
 # Beyond parity.
 
 

@@ -124,8 +124,8 @@ def _json_files(folder: Path, skip: tuple[str, ...] = ("categories", "groups"))
             yield path.name, value
 
 
-def fingerprint_pack(folder: Path = HERE / "fingerprints", label: str = "fingerprints") -> Pack:
-    """A folder of fingerprint files; ``label`` names the pack."""
+def fingerprint_pack(folder: Path = HERE / "fingerprints", label: str = "wappalyzer") -> Pack:
+    """A folder of fingerprint files; ``label`` names the pack. The small pack here is replaced by a full one's folder."""
     pack, stats = Pack(), Stats(label)
     for _, entries in _json_files(folder):
         for name, entry in entries.items():
@@ -134,7 +134,7 @@ def fingerprint_pack(folder: Path = HERE / "fingerprints", label: str = "fingerp
     return pack
 
 
-def library_pack(path: Path = HERE / "libraries.json", label: str = "libraries") -> Pack:
+def library_pack(path: Path = HERE / "libraries.json", label: str = "retirejs") -> Pack:
     """A file of vulnerable libraries; URI and file name extractors match scripts, contents match html."""
     pack, stats = Pack(), Stats(label)
     try:
@@ -178,7 +178,7 @@ def tables(spark: SparkSession, pack: Pack) -> tuple[DataFrame, DataFrame, DataF
 
 def default_pack(root: Path = HERE) -> Pack:
     """Fingerprints, then vulnerable libraries, then the local pack."""
-    return overridden(fingerprint_pack(root / "fingerprints"), library_pack(root / "libraries.json"), fingerprint_pack(root / "local", "local"))
+    return overridden(fingerprint_pack(root / "fingerprints"), library_pack(root / "libraries.json"), fingerprint_pack(root / "local", "local_biz"))
 
 
 @dataclass

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset, a temporary folder on a local session, else the warehouse."""
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder on a local session. ValueError on a cluster without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
-        base = os.path.join(tempfile.gettempdir(), "siteprism") if master.startswith("local") and "cluster" not in master else spark.conf.get("spark.sql.warehouse.dir")
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "siteprism")
     return base.rstrip("/")

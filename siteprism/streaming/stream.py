@@ -39,24 +39,3 @@ def call_in_parallel(calls: int, f: Callable[[DataFrame], DataFrame]) -> Callabl
 def queued(leads: DataFrame) -> DataFrame:
     """The queue of tier 2 is the stored rows of that status, so that a crash loses none."""
     return leads.where(F.col("pipeline_status") == "tier2_queued")
-
-
-def run_pages(spark, sf_dir: str) -> DataFrame:
-    """The pages table as a stream of files: gated by words, stored in the shared folder, and read back as a table."""
-    import uuid
-
-    from siteprism.functions import html, text
-    from siteprism.sources.shared import shared_dir
-
-    batch = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    at = f"{shared_dir(spark)}/siteprism/stream-{uuid.uuid4().hex}"
-    pages = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 100).parquet(_folder(sf_dir, "pages.parquet"))
-    words = text.word_count(html.visible_text("html"))
-    rows = pages.select("page_id", F.when(words < Config().min_words, "rejected_heuristic_low_word_count").otherwise("pending_tier_1").alias("pipeline_status"), words.alias("word_count"))
-    store(rows, f"{at}/rows", f"{at}/state").awaitTermination()
-    return spark.read.parquet(f"{at}/rows").drop("batch")
-
-
-def _folder(sf_dir: str, name: str) -> str:
-    """A glob that a file stream takes, whether the table is one file or a folder of them."""
-    return f"{sf_dir}/{name[:-8]}*{name[-8:]}"

@@ -34,23 +34,55 @@ def test_resolver(spark):
 
 def test_blocklist(spark, tmp_path):
     block = packs.blocklist()
-    rows = spark.createDataFrame([("l", 0, "Edge Shield", "fingerprints", [], 100, None, "headers", "x"), ("m", 0, "Hyper Query", "fingerprints", [], 100, None, "html", "x"), ("n", 0, "Edge Shield", "fingerprints", [], 100, None, "cookies", "x"), ("n", 1, "Hyper Query", "fingerprints", [], 20, None, "html", "x")], FOUND)
+    rows = spark.createDataFrame([("l", 0, "Cloudflare", "wappalyzer", [], 100, None, "headers", "x"), ("m", 0, "jQuery", "wappalyzer", [], 100, None, "html", "x"), ("n", 0, "Cloudflare", "wappalyzer", [], 100, None, "cookies", "x"), ("n", 1, "jQuery", "wappalyzer", [], 20, None, "html", "x")], FOUND)
     got = {(r.lead, r.name): r.confidence for r in resolve.apply_blocklist(rows, *block.frames(spark)).collect()}
-    assert got == {("l", "Edge Shield"): 30, ("n", "Edge Shield"): 100, ("n", "Hyper Query"): 20}
+    assert got == {("l", "Cloudflare"): 30, ("n", "Cloudflare"): 100, ("n", "jQuery"): 20}
     assert packs.blocklist(tmp_path / "none.yaml").rules == []
 
 
 def test_matcher_forms_agree(spark):
     pack = packs.default_pack()
-    text = "track(12) jquery-3.6.0.min.js <link rel=x href=/wp-content/y> &middot; bootstrap"
+    text = "jquery-3.6.0.min.js <link rel=x href=/wp-content/y> begin mailchimp signup form"
     stacks = spark.createDataFrame([("l", "html", None, "raw_html", text), ("l", "meta", "generator", "meta[generator]", "WordPress 6.1"), ("l", "script_src", None, "s", "https://c.com/jquery-3.6.0.min.js")], "lead string, source string, qualifier string, field string, text string")
     key = lambda df: sorted((r.name, r.source, r.pattern_id, r.version or "", r.matched_value) for r in df.collect())
     a, b = key(match.match_generated(stacks, pack.pattern)), key(match.match_batched(stacks, pack.pattern))
     assert a == b
-    assert ("Hyper Query", "script_src", "fingerprints:Hyper Query:script_src#0", "3.6.0", "jquery-3.6.0.min.js") in a
+    assert ("jQuery", "script_src", "wappalyzer:jQuery:script_src#0", "3.6.0", "jquery-3.6.0.min.js") in a
     assert sorted(x[:3] for x in key(match.match_joined(stacks, packs.tables(spark, pack)[1]))) == sorted(x[:3] for x in a)
 
 
+NO_LEAD = {"id": "", "final_url": "https://a.example/", "source_url": "https://a.example/", "raw_html": "<p>x</p>", "text_content": "x", "script_srcs": [], "stylesheet_hrefs": [], "response_headers": [("Server", "nginx")], "meta_lines": [], "robots_txt": (True, "User-agent: *")}
+LEAD = "id string, final_url string, source_url string, raw_html string, text_content string, script_srcs array<struct<url:string>>, stylesheet_hrefs array<struct<url:string>>, response_headers array<struct<key:string,value:string>>, meta_lines array<string>, robots_txt struct<exists:boolean,body:string>"
+#: What a site sends, and the technologies that must be told from it; the last three are sites of which nothing must be told.
+SITES = {
+    "wordpress": ({"script_srcs": [("/wp-content/plugins/contact-form-7/i.js",)], "response_headers": [("X-Powered-By", "PHP/8.1"), ("X-Pingback", "https://a.example/xmlrpc.php")]}, {"WordPress", "Contact Form 7", "PHP", "MySQL"}),
+    "squarespace": ({"response_headers": [("Server", "Squarespace")], "script_srcs": [("https://static1.squarespace.com/universal/scripts-compressed/commerce-1.js",)]}, {"Squarespace", "Squarespace Commerce"}),
+    "shopify": ({"script_srcs": [("https://cdn.shopify.com/s/a.js",)], "response_headers": [("X-ShopId", "1"), ("Set-Cookie", "_shopify_y=a; Path=/")]}, {"Shopify"}),
+    "wix": ({"script_srcs": [("https://static.parastorage.com/a.js",)], "meta_lines": ["generator=Wix.com Website Builder"]}, {"Wix", "React"}),
+    "hubspot": ({"response_headers": [("x-hs-hub-id", "1")], "script_srcs": [("https://js.hs-analytics.net/a.js",)]}, {"HubSpot", "HubSpot CMS Hub", "HubSpot Analytics"}),
+    "calendly": ({"script_srcs": [("https://assets.calendly.com/w.js",)]}, {"Calendly"}),
+    "mailchimp": ({"raw_html": "<!-- Begin MailChimp Signup Form --><form></form>"}, {"MailChimp"}),
+    "stripe": ({"script_srcs": [("https://js.stripe.com/v3/",)], "response_headers": [("Set-Cookie", "__stripe_mid=a; Path=/")]}, {"Stripe"}),
+    "all": ({"script_srcs": [("/wp-includes/a.js",), ("https://www.googletagmanager.com/gtm.js?id=1",), ("https://code.jquery.com/jquery-3.6.0.min.js",)], "stylesheet_hrefs": [("/bootstrap.min.css",)], "response_headers": [("CF-Ray", "1")]}, {"WordPress", "PHP", "MySQL", "Google Tag Manager", "jQuery", "Bootstrap", "Cloudflare"}),
+    "plain": ({}, set()), "parked": ({"raw_html": "<h1>This domain is for sale</h1>"}, set()), "alone": ({"script_srcs": [("/jquery-1.2.min.js",)]}, set()),
+}
+
+
+def test_sites(spark):
+    rows = [tuple((NO_LEAD | own | {"id": name}).values()) for name, (own, _) in SITES.items()]
+    found = match.match_leads(spark.createDataFrame(rows, LEAD), packs.overridden(packs.fingerprint_pack(), packs.fingerprint_pack(packs.HERE / "local", "local_biz")), packs.blocklist()).collect()
+    assert {name: {r.name for r in found if r.lead == name} for name in SITES} == {name: want for name, (_, want) in SITES.items()}
+    assert all(r.confidence >= 80 for r in found if r.source not in ("implied", "headers") and r.name not in ("jQuery", "Bootstrap")) and {r.confidence for r in found if r.name == "Cloudflare"} == {30}
+
+
+def test_failures(spark):
+    """A pattern that runs out of time is no hit, costs the lead nothing else, and is counted."""
+    stacks = spark.createDataFrame([("l", "html", None, "raw_html", "a" * 40 + "! plain"), ("m", "html", None, "raw_html", "plain")], "lead string, source string, qualifier string, field string, text string")
+    rows = [dict(name=n, pack="p", source="html", qualifier=None, idx=0, regex=r, confidence=100, version=None) for n, r in (("Slow", r"^(a|a|aa)+$"), ("Plain", "plain"))]
+    assert {(r.lead, r.name) for r in match.match_batched(stacks, rows, 0.05).collect()} == {("l", "Plain"), ("m", "Plain")}
+    assert [(r.lead, r.failed) for r in match.failures(stacks, rows, 0.05).collect()] == [("l", 1)]
+
+
 def test_packs(tmp_path):
     assert packs.annotated(r"a\;version:\1\;confidence:50") == ("a", {"version": r"\1", "confidence": "50"})
     assert packs.confidence({"confidence": "500"}) == 100 and packs.confidence({"confidence": "x"}) == 100

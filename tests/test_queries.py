@@ -8,7 +8,10 @@ import pytest
 import __spark_entry__ as entry
 
 #: One of each kind; the whole list is compared by the driver at the next size.
-CASES = ("url_host", "internal_link_top3", "word_gate_counts", "first_nonempty", "doc_phone", "robots_gate", "qualify_status", "final_status", "tier2_enrich", "sig_headers", "resolve_requires", "resolve_implies", "dedup_best", "blocklist_downgrade", "pack_stats")
+CASES = (
+    "url_host", "internal_link_top3", "word_gate_counts", "first_nonempty", "doc_phone", "robots_gate", "qualify_status", "final_status", "tier2_enrich", "sig_headers", "resolve_requires", "resolve_implies", "dedup_best", "blocklist_downgrade", "pack_stats",
+    "read_recent_leads", "read_run_leads", "read_recent_runs", "console_search", "lead_provenance", "technologies_found", "write_path_technologies", "html_signal_flags", "stream_evaluate", "stream_first_in_run", "stream_tier2",
+)
 
 
 def plain(x):
@@ -30,7 +33,3 @@ def test_query(spark, tiny, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_stream(spark, tiny):
-    assert entry.queries()["stream_evaluate"](spark, tiny).count() == spark.read.parquet(f"{tiny}/pages.parquet").count()
