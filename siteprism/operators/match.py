@@ -202,7 +202,7 @@ def _literal(pattern: str) -> str:
     """A text that every match must hold, in lower case, or empty: the longest plain run outside groups and options."""
     if re.search(r"[|(\[{]", pattern):
         return ""
-    runs = re.split(r"\\[a-zA-Z]|.[?*{]|[.^$+]", pattern.replace(r"\.", "\0"))
+    runs = re.split(r"\\[a-zA-Z][?*]?|.[?*{]|[.^$+]", pattern.replace(r"\.", "\0"))
     best = max((x.replace("\0", ".") for x in runs), key=len, default="")
     return best.lower() if best.isascii() and "\\" not in best and len(best) > 2 else ""
 
@@ -239,7 +239,9 @@ def match_leads(leads: DataFrame, pack, block=None) -> DataFrame:
     """
     from siteprism.operators import resolve as R
     from siteprism.sources.packs import tables
+    from siteprism.sources.shared import written
 
     tech, _, edge = tables(leads.sparkSession, pack)
-    found = R.resolve(detections(leads, pack.pattern, tech), tech, edge)
+    # resolving refers to the detections many times; the patterns are tried once
+    found = R.resolve(written(detections(leads, pack.pattern, tech), "detections"), tech, edge)
     return R.apply_blocklist(found, *block.frames(leads.sparkSession)) if block else found

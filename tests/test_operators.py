@@ -75,6 +75,13 @@ def test_sites(spark):
     assert all(r.confidence >= 80 for r in found if r.source not in ("implied", "headers") and r.name not in ("jQuery", "Bootstrap")) and {r.confidence for r in found if r.name == "Cloudflare"} == {30}
 
 
+def test_literals():
+    """What every match must hold: never more than the pattern asks for."""
+    for pattern, text in ((r"static\d*\.squarespace\.com/", "static.squarespace.com/"), (r"ab?cdef\w+ghi", "acdefxghi"), (r"x\.y+zzz", "x.yyzzz"), (r"\s*plain\s?text", "plaintext"), ("a(b|c)", "ab")):
+        literal = match._literal(pattern)
+        assert literal in text and (literal or "(" in pattern)
+
+
 def test_failures(spark):
     """A pattern that runs out of time is no hit, costs the lead nothing else, and is counted."""
     stacks = spark.createDataFrame([("l", "html", None, "raw_html", "a" * 40 + "! plain"), ("m", "html", None, "raw_html", "plain")], "lead string, source string, qualifier string, field string, text string")
