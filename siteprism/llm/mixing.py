@@ -239,7 +239,7 @@ def mixed_blocks(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: flo
     pieces = _packed(_with_plan(sized, plan), block)
     span = F.struct("first", "doc_id", "doc_word", "n")
     filled = pieces.groupBy("sid", "block").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    return slots.join(filled, ["sid", "block"]).join(plan.select("sid", "source"), "sid").select("shard", "slot", "source", "block", "words", "spans")
+    return slots.hint("merge").join(filled, ["sid", "block"]).join(plan.select("sid", "source"), "sid").select("shard", "slot", "source", "block", "words", "spans")
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -257,7 +257,8 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     plan = plan_sources(sized, weights, share, most, block)
     known = _with_plan(sized, plan)
     used = _slots(plan, block, seed).where("words > 0").groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("words", "shard"))).alias("takes"))
-    pieces = _packed(known, block).join(used, ["sid", "block"])
+    # the slots come from a few numbers each, so their size is estimated far too low to let it decide on a broadcast
+    pieces = _packed(known, block).join(used.hint("merge"), ["sid", "block"])
     here = F.filter("takes", lambda t: t["words"] > F.col("first"))
     got = F.aggregate("here", F.lit(0).cast("long"), lambda acc, t: acc + F.least(t["words"].cast("long") - F.col("first"), F.col("n")))
     told = pieces.select("uid", "first", "n", here.alias("here")).where(F.size("here") > 0)
