@@ -204,7 +204,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, homes: int = HOMES) -> Dat
     # one row stands for a crowded anchor, so that one shuffle of the replicas serves both ways
     at = few.unionByName(crowd.where(F.col("n") > homes).select("anchor", F.lit(None).cast("long").alias("home")))
     near = (F.col("fp") > F.col("home")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("home"))) <= threshold)
-    met = materialise(_replicas(fps, threshold).join(at, "anchor").where(F.col("home").isNull() | near).select("fp", "home"), "met")
+    # there are over a hundred replicas of a fingerprint, which no size estimate knows of, so neither side is broadcast
+    met = materialise(_replicas(fps, threshold).hint("merge").join(at, "anchor").where(F.col("home").isNull() | near).select("fp", "home"), "met")
     plain = met.where("home is not null").select(F.col("fp").alias("a"), F.col("home").alias("b"))
     return plain.unionByName(_by_midpoint(met.where("home is null").select("fp").distinct()))
 
