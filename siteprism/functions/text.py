@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,7 +43,12 @@ def _col(c: Column | str) -> Column:
 
 def has_any(text: Column | str, phrases: tuple[str, ...]) -> Column:
     """The text in ASCII lower case holds one of the phrases."""
-    return F.coalesce(ascii_lower(text).rlike("|".join(re.escape(p) for p in phrases)), F.lit(False))
+    return holds_any(ascii_lower(text), phrases)
+
+
+def holds_any(low: Column | str, phrases: tuple[str, ...]) -> Column:
+    """The same for a text that is in lower case already: plain searches, no regular expression."""
+    return F.coalesce(reduce(Column.__or__, [F.contains(_col(low), F.lit(p)) for p in phrases]), F.lit(False))
 
 
 def squeeze(c: Column | str) -> Column:

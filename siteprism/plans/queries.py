@@ -245,7 +245,9 @@ _LOWTEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstu
 def doc_keyword_flags(spark, sf_dir):
     """H13, H18; and words that the documents have."""
     lists = {"booking": text.BOOKING, "cta": text.CALL_TO_ACTION, "hours": text.HOURS, "reviews": text.REVIEWS, "parked": text.PARKED, "legal": ("license", "reserved")}
-    return table(spark, sf_dir, "documents").select("doc_id", *[text.has_any("text", v).alias(k) for k, v in lists.items()])
+    # a generator's output is computed once, so the text is lower-cased once for all lists
+    low = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(F.struct(urls.ascii_lower("text").alias("low")))))
+    return low.select("doc_id", *[text.holds_any("low", v).alias(k) for k, v in lists.items()])
 
 
 _GROUPS = (("law", ("license", "rights reserved")), ("german", ("schkeit", "ung sch")), ("the", ("thshin", "therha")), ("que", ("queque",)))
