@@ -389,7 +389,8 @@ def _uncrowded(crowd: DataFrame, length: int) -> tuple[list[DataFrame], list[Dat
         width //= 2
         parts = materialise(_halves(crowd, length, width), "halves")
         kinds = parts.groupBy("key", "frag").agg(F.sum("copies").alias("total"))
-        again = kinds.where("total > 1").select("key", "frag")
+        # written first, as the anchors are: so a crowded fragment's rows can be split in the join
+        again = materialise(kinds.where("total > 1").select("key", "frag"), "again")
         told.append(parts.where("copies = 1").join(again, ["key", "frag"], "left_semi").select("doc_id", "th", "start", "n"))
         groups = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("total").alias("least")).where("kinds > 1 and least = 1").select("key", "kinds")
         rest = parts.groupBy("key", "frag").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n", "lo", "at", "bits")).alias("r"))
