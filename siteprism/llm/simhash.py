@@ -28,6 +28,9 @@ CROWD = 16
 #: Texts of crowded bands that hold a shingle up to which they meet by it; shingles in more are common, see ``_by_common_part``.
 COMMON = 16
 
+#: Bits of the map by which ``_shingle_sets`` puts texts aside (8 MiB).
+MARK_BITS = 1 << 26
+
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -246,15 +249,36 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.transform(arrow_map, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["fp long", "n long", "keys array<long>"]))
 
 
-def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """th, shingles (distinct, by 32 bits of their hashes) of rows of th and text."""
+def _marks(hashes: DataFrame) -> np.ndarray:
+    """A map of MARK_BITS bits, set at the hashes (column th) modulo its size; pieces of 4 KiB come to the driver."""
+    place = F.pmod("th", F.lit(MARK_BITS)) + 1
+    out = np.zeros(MARK_BITS // 8, np.uint8)
+    for r in hashes.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toLocalIterator():
+        piece = np.frombuffer(r.bits, np.uint8)
+        out[(r.b - 1) * len(piece) : r.b * len(piece)] = piece[: len(out) - (r.b - 1) * len(piece)]
+    return out
+
+
+def _shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """th, shingles (distinct, by 32 bits of their hashes) of the wanted ones (th) among rows of th and text.
+
+    Texts that aren't wanted are put aside as they are read, by a map of bits of bounded size (some pass it that
+    aren't wanted, more the more there are, and go in the join); so no text is shuffled, and a copy once a task.
+    """
+    marks = texts.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            sets = [np.unique(shingle_hashes(t, WORDS).astype(np.uint32)).view(np.int32) for t in raw(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(sets, pa.list_(pa.int32()))], ["th", "shingles"])
+        seen: set[int] = set()
+        for batch in batches:
+            low = batch.column("th").to_numpy() & (MARK_BITS - 1)
+            for part in pieces([batch.filter(pa.array((marks.value[low >> 3] >> (low & 7) & 1).astype(bool)))], "text"):
+                new = [i for i, h in enumerate(part.column("th").to_pylist()) if not (h in seen or seen.add(h))]
+                part = part.take(pa.array(new, pa.int64()))
+                sets = [np.unique(shingle_hashes(t, WORDS).astype(np.uint32)).view(np.int32) for t in raw(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(sets, pa.list_(pa.int32()))], ["th", "shingles"])
 
-    return texts.select("th", "text").transform(arrow_map, run, "th long, shingles array<int>")
+    sets = texts.select("th", "text").transform(arrow_map, run, "th long, shingles array<int>")
+    return sets.join(wanted, "th", "left_semi").dropDuplicates(["th"])
 
 
 def _candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -376,7 +400,7 @@ def similar(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     pairs, many = materialise(pairs, "pairs"), materialise(many, "many")
     wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).unionByName(many.select("th")).distinct()
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    sets = materialise(_shingle_sets(keyed.join(wanted, "th", "left_semi")).dropDuplicates(["th"]), "sets")
+    sets = materialise(_shingle_sets(keyed, materialise(wanted, "wanted")), "sets")
     known = materialise(_alike(pairs, sets), "alike")
     if many.isEmpty():
         return known

@@ -361,6 +361,21 @@ def test_five_word_similarity_template(spark):
     assert {r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()} == want
 
 
+def test_shingle_sets(spark, monkeypatch):
+    """Only the wanted texts' sets, each once, also where the map of bits is so small that it lets others pass."""
+    rng = random.Random(29)
+    texts = [prose(rng, 12) for _ in range(40)] + [None, ""]
+    keyed = docs(spark, texts + texts).repartition(3).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    wanted = docs(spark, texts[:10]).select(F.xxhash64("text").alias("th"))
+    want = sorted(sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + 5]), 42) % (1 << 32) for i in range(len(w) - 4)}) for w in (t.split() for t in texts[:10]))
+    for bits in (1 << 26, 1 << 15):
+        monkeypatch.setattr(simhash, "MARK_BITS", bits)
+        marks = simhash._marks(wanted)
+        low = [r.th % bits for r in wanted.collect()]
+        assert np.unpackbits(marks, bitorder="little").sum() == len(set(low)) and all(marks[x >> 3] >> (x & 7) & 1 for x in low)
+    assert sorted(sorted(x % (1 << 32) for x in r.shingles) for r in simhash._shingle_sets(keyed, wanted).collect()) == want
+
+
 @pytest.mark.parametrize("homes", [16, 0])
 def test_simhash_crowd(spark, homes):
     rng = random.Random(8)
