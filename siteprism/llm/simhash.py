@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations, repeat
 
@@ -23,12 +23,12 @@ HOMES = 16
 WORDS, SIMILARITY = 5, (4, 5)
 #: Bands of minimum hashes that find its candidates, and hashes in each: 0.8 alike share one with probability 0.9998.
 BANDS, ROWS = 12, 3
-#: Texts that share a band up to which each is compared with each; beyond it see ``_crowded``.
+#: Texts that share a band up to which each is compared with each; beyond it see ``crowded``.
 CROWD = 16
 #: Texts of crowded bands that hold a shingle up to which they meet by it; shingles in more are common, see ``_by_common_part``.
 COMMON = 16
 
-#: Bits of the map by which ``_shingle_sets`` puts texts aside (8 MiB).
+#: Bits of the map by which ``shingle_sets`` puts texts aside (8 MiB).
 MARK_BITS = 1 << 26
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -259,8 +259,8 @@ def _marks(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """th, shingles (distinct, by 32 bits of their hashes) of the wanted ones (th) among rows of th and text.
+def shingle_sets(texts: DataFrame, wanted: DataFrame, size: int = WORDS, wide: bool = False) -> DataFrame:
+    """th, shingles (distinct, by 32 bits of their hashes, or by all 64 if ``wide``) of the wanted ones (th) among rows of th and text.
 
     Texts that aren't wanted are put aside as they are read, by a map of bits of bounded size (some pass it that
     aren't wanted, more the more there are, and go in the join); so no text is shuffled, and a copy once a task.
@@ -274,19 +274,20 @@ def _shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for part in pieces([batch.filter(pa.array((marks.value[low >> 3] >> (low & 7) & 1).astype(bool)))], "text"):
                 new = [i for i, h in enumerate(part.column("th").to_pylist()) if not (h in seen or seen.add(h))]
                 part = part.take(pa.array(new, pa.int64()))
-                sets = [np.unique(shingle_hashes(t, WORDS).astype(np.uint32)).view(np.int32) for t in raw(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(sets, pa.list_(pa.int32()))], ["th", "shingles"])
+                sets = [np.unique(shingle_hashes(t, size).astype(kept)).view(signed) for t in raw(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(sets, pa.list_(pa.from_numpy_dtype(signed)))], ["th", "shingles"])
 
-    sets = texts.select("th", "text").transform(arrow_map, run, "th long, shingles array<int>")
+    kept, signed = (np.uint64, np.int64) if wide else (np.uint32, np.int32)
+    sets = texts.select("th", "text").transform(arrow_map, run, f"th long, shingles array<{'long' if wide else 'int'}>")
     return sets.join(wanted, "th", "left_semi").dropDuplicates(["th"])
 
 
-def _candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts that share a band and could be alike by their numbers of shingles, and the rows of crowded bands.
 
     The first has a, fp_a, b, fp_b. In bands of up to ``CROWD`` texts all meet. In larger ones every text meets
     the one that shares its bands with most others (an original is shared by all its copies), which joins most
-    of a family without a pair for each two; the rest is left to ``_crowded``.
+    of a family without a pair for each two; the rest is left to ``crowded``.
     """
     texts = sketches.where("n > 0").select("th", "fp", "n", "keys").dropDuplicates(["th"])
     at = materialise(texts.select("th", "fp", "n", F.explode("keys").alias("key")), "bands")
@@ -305,7 +306,7 @@ def _candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met.select(F.col("th").alias("a"), F.col("fp").alias("fp_a"), F.col("th_b").alias("b"), F.col("fp_b")).distinct(), many.select("key", "th", "fp")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: the fingerprints of those pairs whose shingle sets are alike enough."""
     first, second = sets.select(F.col("th").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("th").alias("b"), F.col("shingles").alias("y"))
     low, high = SIMILARITY
@@ -314,7 +315,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return alike.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
 
-def _crowded(many: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
+def crowded(many: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
     """a, fp_a, b, fp_b: further pairs of texts of crowded bands that could be alike, which connect all that are.
 
     A band whose texts ``known`` links all connect needs no more. For the texts of the others, shingles are put in
@@ -389,22 +390,23 @@ def _by_common_part(placed: DataFrame) -> DataFrame:
     return star.unionByName(cross.select(F.col("th").alias("a"), F.col("fp").alias("fp_a"), F.col("th_b").alias("b"), F.col("fp_b")).distinct())
 
 
-def similar(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+def similar(docs: DataFrame, sketches: DataFrame, likely: Callable[[DataFrame], DataFrame] | None = None, size: int = WORDS, wide: bool = False) -> DataFrame:
     """a, b: links between fingerprints that connect texts whose five-word shingle sets are 0.8 alike or more.
 
     A fingerprint of 64 bits can't find these: some such pairs differ in over 10 bits, and at that distance
     unrelated texts link as well. Bands of minimum hashes find candidates, crowded ones by way of the rarest
-    shingles, and whole sets decide exactly.
+    shingles, and whole sets decide exactly. ``likely`` may put pairs aside before their sets are made; shingles
+    may be of another ``size``, and ``wide``.
     """
-    pairs, many = _candidates(sketches)
-    pairs, many = materialise(pairs, "pairs"), materialise(many, "many")
+    pairs, many = candidates(sketches)
+    pairs, many = materialise(pairs if likely is None else likely(pairs), "pairs"), materialise(many, "many")
     wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).unionByName(many.select("th")).distinct()
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    sets = materialise(_shingle_sets(keyed, materialise(wanted, "wanted")), "sets")
-    known = materialise(_alike(pairs, sets), "alike")
+    sets = materialise(shingle_sets(keyed, materialise(wanted, "wanted"), size, wide), "sets")
+    known = materialise(alike(pairs, sets), "alike")
     if many.isEmpty():
         return known
-    return known.unionByName(_alike(materialise(_crowded(many, sets, known), "rest"), sets))
+    return known.unionByName(alike(materialise(crowded(many, sets, known), "rest"), sets))
 
 
 def components(fp: DataFrame, more: DataFrame | None = None) -> DataFrame:

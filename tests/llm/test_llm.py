@@ -373,7 +373,7 @@ def test_shingle_sets(spark, monkeypatch):
         marks = simhash._marks(wanted)
         low = [r.th % bits for r in wanted.collect()]
         assert np.unpackbits(marks, bitorder="little").sum() == len(set(low)) and all(marks[x >> 3] >> (x & 7) & 1 for x in low)
-    assert sorted(sorted(x % (1 << 32) for x in r.shingles) for r in simhash._shingle_sets(keyed, wanted).collect()) == want
+    assert sorted(sorted(x % (1 << 32) for x in r.shingles) for r in simhash.shingle_sets(keyed, wanted).collect()) == want
 
 
 @pytest.mark.parametrize("homes", [16, 0])
