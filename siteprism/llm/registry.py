@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteprism.llm import chat, decontaminate, fim, htmltext, langid, minhash, mixing, neighbours, quality, repeats, simhash, warc
+from siteprism.llm import chat, decontaminate, fim, htmltext, langid, minhash, mixing, neighbours, phrases, quality, repeats, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_bytes": repeats.query,
     "op9_main_text": htmltext.query,
     "op10_decontamination": decontaminate.query,
+    "op11_phrase_collocations": phrases.query,
     "op12_minhash_near_dedup": minhash.query,
     "op13_fill_in_middle": fim.query,
 }
@@ -27,5 +28,6 @@ SQL: dict[str, str] = {
     "op1_chat_format": chat.SQL,
     "op7_warc": warc.SQL,
     "op10_decontamination": decontaminate.SQL,
+    "op11_phrase_collocations": phrases.SQL,
     "op13_fill_in_middle": fim.SQL,
 }

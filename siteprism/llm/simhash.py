@@ -249,7 +249,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.transform(arrow_map, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["fp long", "n long", "keys array<long>"]))
 
 
-def _marks(hashes: DataFrame) -> np.ndarray:
+def marks(hashes: DataFrame) -> np.ndarray:
     """A map of MARK_BITS bits, set at the hashes (column th) modulo its size; pieces of 4 KiB come to the driver."""
     place = F.pmod("th", F.lit(MARK_BITS)) + 1
     out = np.zeros(MARK_BITS // 8, np.uint8)
@@ -265,13 +265,13 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, size: int = WORDS, wide: b
     Texts that aren't wanted are put aside as they are read, by a map of bits of bounded size (some pass it that
     aren't wanted, more the more there are, and go in the join); so no text is shuffled, and a copy once a task.
     """
-    marks = texts.sparkSession.sparkContext.broadcast(_marks(wanted))
+    held = texts.sparkSession.sparkContext.broadcast(marks(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             low = batch.column("th").to_numpy() & (MARK_BITS - 1)
-            for part in pieces([batch.filter(pa.array((marks.value[low >> 3] >> (low & 7) & 1).astype(bool)))], "text"):
+            for part in pieces([batch.filter(pa.array((held.value[low >> 3] >> (low & 7) & 1).astype(bool)))], "text"):
                 new = [i for i, h in enumerate(part.column("th").to_pylist()) if not (h in seen or seen.add(h))]
                 part = part.take(pa.array(new, pa.int64()))
                 sets = [np.unique(shingle_hashes(t, size).astype(kept)).view(signed) for t in raw(part.column("text"))]

@@ -370,7 +370,7 @@ def test_shingle_sets(spark, monkeypatch):
     want = sorted(sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + 5]), 42) % (1 << 32) for i in range(len(w) - 4)}) for w in (t.split() for t in texts[:10]))
     for bits in (1 << 26, 1 << 15):
         monkeypatch.setattr(simhash, "MARK_BITS", bits)
-        marks = simhash._marks(wanted)
+        marks = simhash.marks(wanted)
         low = [r.th % bits for r in wanted.collect()]
         assert np.unpackbits(marks, bitorder="little").sum() == len(set(low)) and all(marks[x >> 3] >> (x & 7) & 1 for x in low)
     assert sorted(sorted(x % (1 << 32) for x in r.shingles) for r in simhash.shingle_sets(keyed, wanted).collect()) == want
