@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siteprism.functions.text import truncated
 from siteprism.functions.urls import pick_url
+from siteprism.operators.prefilter import Prefilter
 
 #: The order of sources in a lead's detections, and headers that stand in for DNS records.
 ORDER = ("script_src", "html", "css", "headers", "cookies", "meta", "url", "robots", "text", "dns_header")
@@ -141,10 +142,12 @@ _HIT = "lead string, source string, field string, name string, pack string, idx
 
 
 def match_batched(stacks: DataFrame, patterns: list[dict], timeout: float = 0.1) -> DataFrame:
-    """The matcher's form for packs: Arrow batches, each pattern compiled once in a worker, literals tried first.
+    """The matcher's form for packs: Arrow batches, each pattern compiled once in a worker.
 
-    Patterns are Python's, whatever their number. The ``regex`` module's timeout, where it is installed, keeps any
-    from running away; one that does is no hit, and ``failures`` counts it.
+    One automaton over the literals that patterns require tells in one pass which of them a text can match
+    (see ``prefilter``); only these are tried. Patterns are Python's, whatever their number, and run by the
+    ``regex`` module, which must be installed: its timeout keeps any from running away. One that does is no hit,
+    and ``failures`` counts it.
     """
     return _batched(stacks, patterns, timeout).where(~F.col("failed")).drop("failed")
 
@@ -154,42 +157,46 @@ def failures(stacks: DataFrame, patterns: list[dict], timeout: float = 0.1) -> D
     return _batched(stacks, patterns, timeout).where("failed").groupBy("lead").agg(F.count("*").cast("int").alias("failed"))
 
 
+def _folded_name(source: str, qualifier: str | None) -> str | None:
+    return qualifier.lower() if qualifier is not None and source in ("headers", "dns_header") else qualifier
+
+
+class Matcher:
+    """Patterns ready to be tried in a worker: by source and name, each compiled once, behind their prefilter."""
+
+    def __init__(self, patterns: list[dict], timeout: float):
+        import regex
+
+        by: dict[tuple[str, str | None], list[dict]] = {}
+        for p in patterns:
+            q = _folded_name(p["source"], p["qualifier"])
+            if p["source"] != "dns_header" or q in DNS_HEADERS:
+                by.setdefault((p["source"], q), []).append(p)
+        self.by = {k: ([(p, regex.compile(p["regex"], regex.IGNORECASE)) for p in ps], Prefilter([p["regex"] for p in ps])) for k, ps in by.items()}
+        self.timeout = timeout
+
+    def hits(self, source: str, qualifier: str | None, text: str) -> Iterator[dict]:
+        """name, pack, idx, confidence, version, matched_value, failed of every pattern that matches or runs out of time."""
+        patterns, likely = self.by.get((source, _folded_name(source, qualifier)), ((), None))
+        for i in likely.candidates(text) if patterns else ():
+            p, compiled = patterns[i]
+            own = {k: p[k] for k in ("name", "pack", "idx", "confidence")}
+            try:
+                m = compiled.search(text, timeout=self.timeout)
+            except TimeoutError:
+                yield own | {"version": None, "matched_value": None, "failed": True}
+                continue
+            if m:
+                yield own | {"version": _filled(p["version"], m.groups()), "matched_value": m[0] if len(m[0]) <= 200 else m[0][:197] + "...", "failed": False}
+
+
 def _batched(stacks: DataFrame, patterns: list[dict], timeout: float) -> DataFrame:
     held = stacks.sparkSession.sparkContext.broadcast(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            import regex as engine
-
-            limit = {"timeout": timeout}
-        except ImportError:
-            engine, limit = re, {}
-        by: dict[tuple[str, str | None], list[tuple]] = {}
-        for p in held.value:
-            q = p["qualifier"]
-            if p["source"] in ("headers", "dns_header") and q is not None:
-                q = q.lower()
-            if p["source"] == "dns_header" and q not in DNS_HEADERS:
-                continue
-            by.setdefault((p["source"], q), []).append((p, engine.compile(p["regex"], engine.IGNORECASE), _literal(p["regex"])))
+        matcher = Matcher(held.value, timeout)
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                q = r["qualifier"]
-                if r["source"] in ("headers", "dns_header") and q is not None:
-                    q = q.lower()
-                low = r["text"].lower()
-                for p, compiled, literal in by.get((r["source"], q), ()):
-                    if literal and literal not in low:
-                        continue
-                    try:
-                        m = compiled.search(r["text"], **limit)
-                    except TimeoutError:
-                        out.append({"lead": r["lead"], "source": r["source"], "field": r["field"], "version": None, "matched_value": None, "failed": True} | {k: p[k] for k in ("name", "pack", "idx", "confidence")})
-                        continue
-                    if m:
-                        value = m[0] if len(m[0]) <= 200 else m[0][:197] + "..."
-                        out.append({"lead": r["lead"], "source": r["source"], "field": r["field"], "version": _filled(p["version"], m.groups()), "matched_value": value, "failed": False} | {k: p[k] for k in ("name", "pack", "idx", "confidence")})
+            out = [{"lead": r["lead"], "source": r["source"], "field": r["field"]} | hit for r in batch.to_pylist() for hit in matcher.hits(r["source"], r["qualifier"], r["text"])]
             yield pa.RecordBatch.from_pylist(out, schema=_HIT_TYPE)
 
     return _finished(stacks.select("lead", "source", "qualifier", "field", "text").mapInArrow(run, _HIT))
@@ -198,15 +205,6 @@ def _batched(stacks: DataFrame, patterns: list[dict], timeout: float) -> DataFra
 _HIT_TYPE = pa.schema([(n, {"int": pa.int32(), "boolean": pa.bool_()}.get(t, pa.string())) for n, t in (x.split() for x in _HIT.split(", "))])
 
 
-def _literal(pattern: str) -> str:
-    """A text that every match must hold, in lower case, or empty: the longest plain run outside groups and options."""
-    if re.search(r"[|(\[{]", pattern):
-        return ""
-    runs = re.split(r"\\[a-zA-Z][?*]?|.[?*{]|[.^$+]", pattern.replace(r"\.", "\0"))
-    best = max((x.replace("\0", ".") for x in runs), key=len, default="")
-    return best.lower() if best.isascii() and "\\" not in best and len(best) > 2 else ""
-
-
 def _filled(template: str | None, groups: tuple) -> str | None:
     if not template:
         return None

@@ -586,6 +586,20 @@ def sig_match_generated(spark, sf_dir):
     return match.match_generated(p, rows).select(F.col("lead").cast("long").alias("page_id"), "name", "matched_value")
 
 
+@query(
+    """WITH t AS (SELECT o_orderkey AS id, o_orderkey % 5000 AS n, o_orderkey % 10 AS minor FROM orders) SELECT id, 'T' || n AS name, CASE WHEN n % 3 = 1 THEN CAST(minor AS VARCHAR) END AS version,
+    'REF-' || lpad(CAST(n AS VARCHAR), 4, '0') || CASE n % 3 WHEN 0 THEN '-x' WHEN 1 THEN '-x' || minor ELSE '' END AS matched_value FROM t WHERE n < 3000"""
+)
+def sig_prefilter(spark, sf_dir):
+    """Three thousand patterns in Arrow batches, each tried only where its literals occur."""
+    kinds = (lambda i: (f"ref-{i:04d}-x", None), lambda i: (rf"(?:ref|see)-{i:04d}-x(\d+)", "\\1"), lambda i: (rf"\b[rq]ef-{i:04d}\b", None))
+    rows = [dict(zip(("regex", "version"), kinds[i % 3](i))) | {"name": f"T{i}", "pack": "t", "source": "text", "qualifier": None, "idx": 0, "confidence": 100} for i in range(3000)]
+    k = F.col("o_orderkey")
+    said = F.concat(F.lit("please see REF-"), F.lpad((k % 5000).cast("string"), 4, "0"), F.lit("-x"), (k % 10).cast("string"), F.lit(" of "), "o_orderpriority")
+    stacks = table(spark, sf_dir, "orders").select(k.cast("string").alias("lead"), F.lit("text").alias("source"), F.lit(None).cast("string").alias("qualifier"), F.lit("text_content").alias("field"), said.alias("text"))
+    return match.match_batched(stacks, rows).select(F.col("lead").cast("long").alias("id"), "name", "version", "matched_value")
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as leads with headers, cookies and meta lines made from their columns."""
     k = F.col("o_orderkey")

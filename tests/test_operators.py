@@ -1,9 +1,12 @@
 """Resolver, blocklist, matcher, warehouse and packs on inline rows."""
 
+import random
+import re
+
 import pytest
 
 from siteprism.config import Config, RunRequest, campaign_type, listed
-from siteprism.operators import match, resolve, tiers, warehouse
+from siteprism.operators import match, prefilter, resolve, tiers, warehouse
 from siteprism.sources import packs
 
 FOUND = "lead string, seq int, name string, pack string, categories array<int>, confidence int, version string, source string, pattern_id string"
@@ -75,11 +78,45 @@ def test_sites(spark):
     assert all(r.confidence >= 80 for r in found if r.source not in ("implied", "headers") and r.name not in ("jQuery", "Bootstrap")) and {r.confidence for r in found if r.name == "Cloudflare"} == {30}
 
 
-def test_literals():
-    """What every match must hold: never more than the pattern asks for."""
-    for pattern, text in ((r"static\d*\.squarespace\.com/", "static.squarespace.com/"), (r"ab?cdef\w+ghi", "acdefxghi"), (r"x\.y+zzz", "x.yyzzz"), (r"\s*plain\s?text", "plaintext"), ("a(b|c)", "ab")):
-        literal = match._literal(pattern)
-        assert literal in text and (literal or "(" in pattern)
+def test_required_literals():
+    """What every match must hold: never more than the pattern asks for, and as much as its tree tells."""
+    wanted = {
+        r"static\d*\.squarespace\.com/": {".squarespace.com/"}, r"ab?cdef\w+ghi": {"cdef"}, r"x\.y+zzz": {"zzz"}, r"\s*plain\s?text": {"plain"}, "a(b|c)": set(), "(?:jquery|zepto)[.-]min": {"jquery", "zepto"},
+        "(foobar|foobaz)": {"fooba"}, "pre(?:mid)+post": {"premid"}, "(?:abc)?defg": {"defg"}, "(?=abcdef)xyz": {"xyz"}, "[a]bcd": {"abcd"}, r"^abc\b def$": {"abc def"}, "(?:ab|c)defg|hijk": {"defg", "hijk"}, "": set(), "(": set(), "é(?:wörter)": {"rter"},
+        r"(?i)CDN\.Example": {"cdn.example"}, "(?:abc){0}d": set(), "a|bcdef": set(),
+    }
+    assert {p: set(prefilter.required(p)) for p in wanted} == wanted
+
+
+def test_prefilter_never_loses(monkeypatch):
+    """3,000 random patterns over random texts: candidates hold all that match, few else, by both automata."""
+    rng = random.Random(8)
+    word = lambda n=6: "".join(rng.choice("abcdefgkis.-_/") for _ in range(rng.randint(3, n)))
+    words = [word() for _ in range(400)]
+    made = [lambda w: re.escape(w), lambda w: re.escape(w) + r"\d*", lambda w: f"(?:{re.escape(w)}|{re.escape(rng.choice(words))})x?", lambda w: f"^.*{re.escape(w)}\\b", lambda w: f"[{w[0] if w[0].isalpha() else 'a'}x]{re.escape(w)}+", lambda w: f"(?:{re.escape(w)})?{re.escape(word(9))}", lambda w: r"\w{2}"]
+    patterns = [rng.choice(made[:-1] if i % 100 else made[-1:])(rng.choice(words)) for i in range(3000)]
+    texts = [" ".join(rng.choice(words).upper() if rng.random() < 0.3 else rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", "ſKİı" + words[0].replace("s", "ſ").replace("k", "\u212a").replace("i", "ı")]
+    plain = prefilter.Prefilter(patterns)
+    assert isinstance(prefilter.Automaton({}), prefilter.Automaton) and type(plain.automaton) is not prefilter.Automaton
+    monkeypatch.setattr(prefilter, "automaton", prefilter.Automaton)
+    own = prefilter.Prefilter(patterns)
+    compiled = [re.compile(p, re.IGNORECASE) for p in patterns]
+    tried = 0
+    for t in texts:
+        got = plain.candidates(t)
+        assert got == own.candidates(t) and got == sorted(set(got))
+        assert {i for i, c in enumerate(compiled) if c.search(t)} <= set(got)
+        tried += len(got)
+    assert tried < 0.12 * len(texts) * len(patterns)
+
+
+def test_matcher_with_many_patterns(spark):
+    """The batched matcher finds what trying each of 3,000 patterns finds."""
+    rng = random.Random(9)
+    rows = [dict(name=f"T{i}", pack="p", source=rng.choice(["html", "text"]), qualifier=None, idx=i, regex=rng.choice([f"tech{i}x", f"(?:tech|lib){i}x(\\d)?", f"t[e3]ch{i}x"]), confidence=100, version="\\1" if i % 2 else None) for i in range(3000)]
+    stacks = [(str(k), s, None, "f", " ".join(f"{rng.choice(['tech', 'LIB', 't3ch'])}{rng.randrange(4000)}x{rng.randrange(12)}" for _ in range(50))) for k in range(20) for s in ("html", "text")]
+    got = {(r.lead, r.source, r.idx, r.matched_value) for r in match.match_batched(spark.createDataFrame(stacks, "lead string, source string, qualifier string, field string, text string"), rows).collect()}
+    assert got == {(lead, s, p["idx"], m[0]) for lead, s, _, _, text in stacks for p in rows if p["source"] == s and (m := re.search(p["regex"], text, re.IGNORECASE))}
 
 
 def test_failures(spark):
