@@ -244,13 +244,16 @@ def label(b: Block) -> int | None:
     return 0 if b.apart else 1 if b.article else None
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights of a logistic regression tied to PRIOR; both labels weigh alike. Newton's method, as the features are few."""
+def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights of a logistic regression on rows that stand for ``n`` blocks each, tied to PRIOR; both labels weigh alike.
+
+    Newton's method, as the features are few.
+    """
     prior = np.array(list(PRIOR.values()))
     w, free = prior.copy(), len(prior) - HELD
     if not len(y) or len(set(y.tolist())) < 2:
         return w
-    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * WEIGHT
+    share = n * np.where(y == 1, 0.5 / n[y == 1].sum(), 0.5 / n[y == 0].sum()) * WEIGHT
     own = x[:, :free]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-own @ w[:free]))
@@ -291,7 +294,7 @@ def min_cut(source: list[int], sink: list[int], smooth: dict[tuple[int, int], in
 
     Nodes whose terminal outweighs all their edges are settled first (they are on that side of some minimum
     cut, whatever the rest), and their edges become terminal capacities of the others. What is left is a flow
-    network: shortest augmenting paths until none remains, then what the source still reaches.
+    network, for ``_reaching``.
     """
     n = len(source)
     near: list[dict[int, int]] = [{} for _ in range(n)]
@@ -300,48 +303,105 @@ def min_cut(source: list[int], sink: list[int], smooth: dict[tuple[int, int], in
             near[i][j] = near[i].get(j, 0) + w
             near[j][i] = near[j].get(i, 0) + w
     net = [s - t for s, t in zip(source, sink)]
+    around = [sum(x.values()) for x in near]
     side: list[bool | None] = [None] * n
     todo = deque(range(n))
     while todo:
         i = todo.popleft()
-        if side[i] is None and abs(net[i]) >= sum(near[i].values()):
+        if side[i] is None and abs(net[i]) >= around[i]:
             side[i] = net[i] >= 0
             for j, w in near[i].items():
                 net[j] += w if side[i] else -w
+                around[j] -= w
                 del near[j][i]
                 todo.append(j)
             near[i] = {}
     core = [i for i in range(n) if side[i] is None]
     if core:
-        S, T = n, n + 1
-        rest: dict[int, dict[int, int]] = {i: dict(near[i]) for i in core} | {S: {}, T: {}}
-        for i in core:
-            a, b = (S, i) if net[i] > 0 else (i, T)
-            rest[a][b] = abs(net[i])
-            rest[b].setdefault(a, 0)
-        while True:
-            came, queue = {S: S}, deque([S])
-            while queue and T not in came:
-                x = queue.popleft()
-                for y, w in rest[x].items():
-                    if w > 0 and y not in came:
-                        came[y] = x
-                        queue.append(y)
-            if T not in came:
-                break
-            path, x = [], T
-            while x != S:
-                path.append((came[x], x))
-                x = came[x]
-            flow = min(rest[a][b] for a, b in path)
-            for a, b in path:
-                rest[a][b] -= flow
-                rest[b][a] = rest[b].get(a, 0) + flow
-        for i in core:
-            side[i] = i in came
+        place = {i: k for k, i in enumerate(core)}
+        arcs = [(place[i], place[j], w) for i in core for j, w in near[i].items() if i < j]
+        for i, reaches in zip(core, _reaching([max(-net[i], 0) for i in core], [max(net[i], 0) for i in core], arcs)):
+            side[i] = reaches
     return [bool(x) for x in side]
 
 
+def _reaching(excess: list[int], room: list[int], arcs: list[tuple[int, int, int]]) -> list[bool]:
+    """Which nodes can still reach a terminal when all flow that can has gone to it: the terminal's side of a minimum cut.
+
+    Flow starts as ``excess`` at the nodes, the terminal takes up to ``room`` from each, and arcs carry flow either
+    way. Push-relabel: heights are distances to the terminal; a node passes its excess on to lower neighbours and
+    rises where it can't. From time to time heights are set to the true distances, by one search back from the
+    terminal; what is out of reach then stays so. Excess that meets goes on as one, so long chains and lists of
+    undecided blocks take time about in proportion.
+    """
+    n = len(excess)
+    far = n + 2
+    out: list[list[int]] = [[] for _ in range(n)]  # arcs by number; arc a ^ 1 is arc a backwards
+    head, left = [], []
+    for i, j, w in arcs:
+        out[i].append(len(head))
+        out[j].append(len(head) + 1)
+        head += (j, i)
+        left += (w, w)
+    excess, room = list(excess), list(room)
+
+    def distances() -> list[int]:
+        height = [far] * n
+        layer = [i for i in range(n) if room[i]]
+        for i in layer:
+            height[i] = 1
+        d = 1
+        while layer:
+            d += 1
+            nxt = []
+            for i in layer:
+                for a in out[i]:
+                    j = head[a]
+                    if height[j] == far and left[a ^ 1]:
+                        height[j] = d
+                        nxt.append(j)
+            layer = nxt
+        return height
+
+    height = distances()
+    at = [0] * n
+    queue = deque(i for i in range(n) if excess[i] and height[i] < far)
+    work = 0
+    while queue:
+        if work > 6 * (n + len(head)):
+            height, at, work = distances(), [0] * n, 0
+            queue = deque(i for i in range(n) if excess[i] and height[i] < far)
+            continue
+        i = queue.popleft()
+        own = out[i]
+        while excess[i] and height[i] < far:
+            if height[i] == 1 and room[i]:
+                d = min(excess[i], room[i])
+                excess[i] -= d
+                room[i] -= d
+                continue
+            while at[i] < len(own):
+                a = own[at[i]]
+                j = head[a]
+                if left[a] and height[j] == height[i] - 1:
+                    d = min(excess[i], left[a])
+                    left[a] -= d
+                    left[a ^ 1] += d
+                    excess[i] -= d
+                    if not excess[j]:
+                        queue.append(j)
+                    excess[j] += d
+                    if not excess[i]:
+                        break
+                at[i] += 1
+            else:
+                work += len(own) + 1
+                at[i] = 0
+                height[i] = 1 if room[i] else min((height[head[a]] + 1 for a in own if left[a]), default=far)
+        work += 1
+    return [h < far for h in distances()]
+
+
 def main_text(page: str | None, weights: Sequence[float] = tuple(PRIOR.values())) -> str:
     """The page's main text: its content blocks in page order, one to a line; null or empty gives empty."""
     bs = blocks(page or "")
@@ -372,7 +432,7 @@ def train(pages: DataFrame) -> list[float]:
     kinds = sample.transform(arrow_map, run, "x array<double>, y int").groupBy("x", "y").agg(F.count("*").alias("n")).collect()
     kinds.sort(key=lambda r: (list(r.x), r.y))
     x = np.array([r.x for r in kinds]).reshape(-1, len(names))
-    return fit(np.repeat(x, [min(r.n, 50) for r in kinds], axis=0), np.repeat([r.y for r in kinds], [min(r.n, 50) for r in kinds])).tolist()
+    return fit(x, np.array([r.y for r in kinds], int), np.array([r.n for r in kinds], float)).tolist()
 
 
 def extract(pages: DataFrame, weights: Sequence[float] = tuple(PRIOR.values())) -> DataFrame:
@@ -380,8 +440,8 @@ def extract(pages: DataFrame, weights: Sequence[float] = tuple(PRIOR.values()))
 
     Blocks are the nodes of a flow network: the classifier's log-odds are the capacities to the two terminals,
     order and DOM proximity those between blocks; a minimum cut tells content from the rest. A page is worked on
-    alone: null and empty html give empty text, long and deeply nested pages take time and memory in proportion,
-    equal rows give equal results, null ids and urls are kept.
+    alone: null and empty html give empty text, long and deeply nested pages take time and memory about in
+    proportion, also where many blocks are undecided (see ``_reaching``), equal rows give equal results, null ids and urls are kept.
     """
     held = list(weights)
 
