@@ -17,6 +17,8 @@ BLOCK, SHARD_SLOTS, STRETCHES = 128, 4096, 1024
 #: Weights by code point order of the source, repeating; share of all words to take; most times a source is read.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 SEED = 42
+#: The draw decides how much of a source is taken, up to this share of its target more or less.
+TOLERANCE = 0.02
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, most: float = MOST) -> list[float]:
@@ -113,17 +115,14 @@ def _before(rows: DataFrame, value: str) -> DataFrame:
     return rows.withColumn("own", earlier(value, ["sid", "part"], "shard")).join(sums, ["sid", "part"]).withColumn("before", F.col("own") + F.col("base")).drop("own", "base", "part")
 
 
-def _counts(spark: SparkSession, quota: list[int], seed: int) -> DataFrame:
-    """shard, sid, n: how many slots of each output shard a source fills.
+def _drawn(spark: SparkSession, quota: list[int], seed: int) -> DataFrame:
+    """shard, sid, n: what each output shard draws of each source.
 
-    Each shard of SHARD_SLOTS slots (the last has the rest) draws its sources' counts from a multinomial over the
-    targets' shares, by a generator seeded with the shard's number. What a source has drawn above its quota in all
-    goes, spread over its shards in proportion to what each drew, to sources below theirs, within the same
-    shards: so every shard stays as long as it is, and totals meet the targets.
+    A shard of SHARD_SLOTS slots (the last has the rest) draws its sources' counts from a multinomial over the
+    targets' shares, by a generator seeded with the shard's number.
     """
     total = sum(quota)
     share = np.array(quota) / total
-    shards = -(-total // SHARD_SLOTS)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,19 +130,41 @@ def _counts(spark: SparkSession, quota: list[int], seed: int) -> DataFrame:
                 counts = np.random.default_rng([seed, k]).multinomial(min(SHARD_SLOTS, total - k * SHARD_SLOTS), share)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), k)), pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts.astype(np.int64))], ["shard", "sid", "n"])
 
-    drawn = spark.range(shards).transform(arrow_map, draw, "shard long, sid int, n long")
-    # a row for each source comes to the driver
-    got = {r.sid: r.n for r in drawn.groupBy("sid").agg(F.sum("n").alias("n")).toLocalIterator()}
-    over = [(i, got.get(i, 0), got.get(i, 0) - q) for i, q in enumerate(quota) if got.get(i, 0) > q]
+    return spark.range(-(-total // SHARD_SLOTS)).transform(arrow_map, draw, "shard long, sid int, n long")
+
+
+def _settled(quota: list[int], most: list[int], drawn: list[int], tolerance: float) -> list[int]:
+    """Slots of each source: what was drawn, within ``tolerance`` of the quota and never above ``most``.
+
+    What this cuts off or adds goes to or comes from the others, in order, within their bounds; so the sum stays.
+    """
+    low = [q - int(tolerance * q) for q in quota]
+    high = [min(q + int(tolerance * q), m) for q, m in zip(quota, most)]
+    out = [min(max(d, a), b) for d, a, b in zip(drawn, low, high)]
+    rest = sum(quota) - sum(out)
+    for i in range(len(out)):
+        step = min(rest, high[i] - out[i]) if rest > 0 else max(rest, low[i] - out[i])
+        out[i] += step
+        rest -= step
+    return out
+
+
+def _counts(drawn: DataFrame, got: list[int], wanted: list[int]) -> DataFrame:
+    """shard, sid, n: how many slots of each output shard a source fills: as drawn, but for what is above or below ``wanted``.
+
+    What a source has drawn above it in all (``got``) goes, spread over its shards in proportion to what each
+    drew, to sources below theirs, within the same shards: so every shard stays as long as it is.
+    """
+    over = [(i, g, g - w) for i, (g, w) in enumerate(zip(got, wanted)) if g > w]
     if not over:
         return drawn.where("n > 0")
     bases = np.concatenate([[0], np.cumsum([e for _, _, e in over])]).tolist()
     under, at = [], 0
-    for i, q in enumerate(quota):
-        if (lack := q - got.get(i, 0)) > 0:
-            under.append((i, at, at + lack))
-            at += lack
-    excess = spark.createDataFrame([(i, d, e, b) for (i, d, e), b in zip(over, bases)], "sid int, drawn long, excess long, base long")
+    for i, (g, w) in enumerate(zip(got, wanted)):
+        if w > g:
+            under.append((i, at, at + w - g))
+            at += w - g
+    excess = drawn.sparkSession.createDataFrame([(i, d, e, b) for (i, d, e), b in zip(over, bases)], "sid int, drawn long, excess long, base long")
     rows = _before(drawn, "n").join(excess, "sid", "left")
     given = lambda c: F.expr(f"coalesce(({c}) * excess div drawn, 0)")
     rows = rows.withColumn("first", given("before")).withColumn("give", given("before + n") - F.col("first"))
@@ -154,15 +175,21 @@ def _counts(spark: SparkSession, quota: list[int], seed: int) -> DataFrame:
     return rows.select("shard", "sid", (F.col("n") - F.col("give")).alias("n")).unionByName(moved).groupBy("shard", "sid").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def _slots(plan: DataFrame, block: int, seed: int) -> DataFrame:
+def _slots(plan: DataFrame, block: int, seed: int, draw: int, most: float) -> DataFrame:
     """shard, sid, slot, block, words: one row for each slot of the mix; a source's slots are numbered through the shards."""
     rows = sorted(plan.toLocalIterator(), key=lambda r: r.sid)
     quota = [_quota(r.words, r.source_size, r.n_blocks, block) for r in rows]
     spark = plan.sparkSession
     if not sum(quota):
         return spark.createDataFrame([], "shard long, sid int, slot long, block long, words int")
-    runs = _before(materialise(_counts(spark, quota, seed), "counts"), "n").select("shard", "sid", F.col("before").alias("start"), (F.col("before") + F.col("n")).alias("end"))
-    sizes = [(r.source_size, r.n_blocks, r.words) for r in rows]
+    drawn = _drawn(spark, quota, draw)
+    # a row for each source comes to the driver
+    totals = {r.sid: r.n for r in drawn.groupBy("sid").agg(F.sum("n").alias("n")).toLocalIterator()}
+    got = [totals.get(i, 0) for i in range(len(rows))]
+    wanted = _settled(quota, [_quota(int(most * r.source_size), r.source_size, r.n_blocks, block) for r in rows], got, TOLERANCE)
+    due = [_due(r.words, w - q, w, int(most * r.source_size), r.source_size, r.n_blocks, block) for r, q, w in zip(rows, quota, wanted)]
+    runs = _before(materialise(_counts(drawn, got, wanted), "counts"), "n").select("shard", "sid", F.col("before").alias("start"), (F.col("before") + F.col("n")).alias("end"))
+    sizes = [(r.source_size, r.n_blocks, d) for r, d in zip(rows, due)]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,6 +211,14 @@ def _quota(words: int, size: int, blocks: int, block: int) -> int:
     return passes * blocks + (min(blocks, rest // block + 2) if rest else 0)
 
 
+def _due(words: int, more: int, slots: int, most: int, size: int, blocks: int, block: int) -> int:
+    """Words that a source gives with ``more`` slots than its ``words`` need, ``slots`` in all: as many as these hold, at most ``most``."""
+    out = max(0, min(words + more * block, most))
+    while out and _quota(out, size, blocks, block) > slots:
+        out = max(0, out - block)
+    return out
+
+
 def _taken(slot: np.ndarray, size: int, blocks: int, words: int, block: int, key: int) -> tuple[np.ndarray, np.ndarray]:
     """Block of each slot, and how many of its words (from its first on) the mix takes.
 
@@ -231,24 +266,26 @@ def _with_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return sized.join(plan.select(F.col("source").alias("s"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
-def mixed_blocks(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def mixed_blocks(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED, draw: int | None = None) -> DataFrame:
     """The mix itself: shard, slot, source, block, and the spans (doc_id, first word, words) that fill the block."""
     sized = _sized(docs)
     plan = plan_sources(sized, weights, share, most, block)
-    slots = _slots(plan, block, seed)
+    slots = _slots(plan, block, seed, seed if draw is None else draw, most)
     pieces = _packed(_with_plan(sized, plan), block)
     span = F.struct("first", "doc_id", "doc_word", "n")
     filled = pieces.groupBy("sid", "block").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     return slots.hint("merge").join(filled, ["sid", "block"]).join(plan.select("sid", "source"), "sid").select("shard", "slot", "source", "block", "words", "spans")
 
 
-def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED, draw: int | None = None) -> DataFrame:
     """Per document row: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), slots, first_shard.
 
     A source's words are packed into blocks of ``block``; every pass over them follows a pseudorandom index
-    permutation, so a word is taken at most ``most`` times (rounded up), and each source's taken words are its
-    target rounded down. The multinomial draws decide which shards a document's words go to: ``slots`` counts the
-    slots that hold some of them, ``first_shard`` is the first such shard (null where nothing is taken).
+    permutation, so a word is taken at most ``most`` times (rounded up). The multinomial draws (seeded by ``draw``,
+    else by ``seed``) decide how many slots a source has in each shard, and so how many of its words are taken:
+    its target, give or take TOLERANCE of it and two blocks, and never more than ``most`` times its size. The
+    more slots, the nearer the draws come by themselves. ``slots`` counts the slots that hold some of a document's
+    words, ``first_shard`` is the first such shard (null where nothing is taken).
 
     Null text has no words; null is a source of its own, last; sources without words get a target of 0; empty
     input gives an empty result; equal rows, null ids too, are packed one after the other. Reruns agree.
@@ -256,7 +293,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     sized = _sized(docs)
     plan = plan_sources(sized, weights, share, most, block)
     known = _with_plan(sized, plan)
-    used = _slots(plan, block, seed).where("words > 0").groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("words", "shard"))).alias("takes"))
+    used = _slots(plan, block, seed, seed if draw is None else draw, most).where("words > 0").groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("words", "shard"))).alias("takes"))
     # the slots come from a few numbers each, so their size is estimated far too low to let it decide on a broadcast
     pieces = _packed(known, block).join(used.hint("merge"), ["sid", "block"])
     here = F.filter("takes", lambda t: t["words"] > F.col("first"))
