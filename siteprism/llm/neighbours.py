@@ -68,9 +68,10 @@ def functions(n: int, width: int) -> list[int]:
 
 @dataclass(frozen=True)
 class Index:
-    """What hashing depends on: dimensions, the longest vector, element type, and the functions' axes."""
+    """What hashing depends on: dimensions, the largest component, the longest vector measured by it, element type, and the functions' axes."""
 
     dims: int
+    largest: float
     longest: float
     kind: str
     axes: tuple[int, ...]
@@ -97,14 +98,16 @@ class Index:
         return out
 
 
-def lifted(x: np.ndarray, width: int, longest: float, query: bool) -> np.ndarray:
+def lifted(x: np.ndarray, width: int, largest: float, longest: float, query: bool) -> np.ndarray:
     """Unit vectors whose angles order as inner products do.
 
     A vector, shortened by the longest one's length, gets one more component that makes its length 1; a query
     is only scaled and has zero there. So the largest inner product is the smallest angle, whatever the lengths.
+    Lengths are measured in units of the ``largest`` component (a query's of its own), so that no square under- or overflows.
     """
     out = np.zeros((len(x), width))
     x = x.astype(float)
+    x = x / (np.abs(x).max(axis=1, keepdims=True) if query else largest)
     norm = np.linalg.norm(x, axis=1)
     scale = norm if query else np.full(len(x), longest)
     out[:, : x.shape[1]] = x / scale[:, None]
@@ -132,8 +135,11 @@ def _blobs(vectors: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [np.asarray(v, kind).tobytes() for v in batch.column("embedding").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(blobs, pa.binary())], ["vec_id", "vec"])
+            held = batch.column("embedding")
+            values = np.ascontiguousarray(held.flatten().to_numpy(), kind)
+            ends = (held.offsets.to_numpy() - held.offsets[0].as_py()) * values.itemsize
+            blobs = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), blobs], ["vec_id", "vec"])
 
     return vectors.select("vec_id", "embedding").transform(arrow_map, run, "vec_id long, vec binary")
 
@@ -145,7 +151,7 @@ def _hashed(vectors: DataFrame, index: Index) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 4096):
                 batch = whole.slice(i, 4096)
-                unit = lifted(index.matrix(batch.column("vec").to_pylist()), index.width, index.longest, False)
+                unit = lifted(index.matrix(batch.column("vec").to_pylist()), index.width, index.largest, index.longest, False)
                 code = np.stack([np.stack([axis_scores(unit, t, j, a).argmax(axis=1) for j, a in enumerate(index.axes)], axis=1) for t in range(TABLES)], axis=1)
                 code[:, :, 1:] += index.places[:-1]
                 fine = [[r.tobytes() for r in v] for v in code[:, :, 1:].astype(index.code)]
@@ -184,7 +190,7 @@ def _reach(held: DataFrame, asked: DataFrame, index: Index, k: int) -> float:
     near = found.withColumn("rank", rank).where(F.col("rank") <= k).collect()  # PILOT times k rows at most
     if not near or max(r.rank for r in near) < k:
         return np.inf
-    unit = lifted(q, index.width, 1.0, True)
+    unit = lifted(q, index.width, 1.0, 1.0, True)
     p, need = np.array([r.p for r in near]), np.full(len(near), np.inf)
     for t in range(TABLES):
         fine = np.array([np.frombuffer(r.fine[t], index.code) for r in near]).reshape(len(near), -1).astype(int) - index.places[:-1]
@@ -205,7 +211,7 @@ def probes(x: np.ndarray, index: Index, reach: float, filled: np.ndarray) -> Ite
 
     A cell is a signed axis of the table's first function; ``filled`` tells which hold any vector.
     """
-    unit = lifted(x, index.width, 1.0, True)
+    unit = lifted(x, index.width, 1.0, 1.0, True)
     for t in range(TABLES):
         first = gaps(unit, t, 0, index.axes[0])
         rest = [gaps(unit, t, j, a) for j, a in enumerate(index.axes) if j]
@@ -376,19 +382,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     ``_reach`` fits. Rows meet by the first function's axis (a cell), of which vectors and queries are cut into
     blocks where crowded; only pairs of probed buckets are scored, exactly. A query that has found fewer than
     ``k`` probes everything. Of equal vectors only the k + 1 least ids take part, as no more can be among k nearest.
-    Vectors shorter than the longest count as ending in zeros. Rows with one vec_id are one vector: the best of
+    Vectors shorter than the longest count as ending in zeros. Components may be of any finite size (inner products
+    themselves are what double precision makes of them). Rows with one vec_id are one vector: the best of
     them counts, and none is a neighbour of its own query. No usable vector or query gives an empty result.
     """
     spark = vectors.sparkSession
     plain = all(df.schema["embedding"].dataType.simpleString() == "array<float>" for df in (vectors, queries))
     vectors, queries = (usable(df).select("vec_id", F.col("embedding").cast(f"array<{'float' if plain else 'double'}>").alias("embedding")) for df in (vectors, queries))
-    square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    told = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.max(square).alias("longest")).first()
+    part = lambda x: F.abs(x.cast("double"))
+    told = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.max(F.array_max(F.transform("embedding", part))).alias("largest")).first()
     widest = queries.agg(F.max(F.size("embedding")).alias("d")).first().d
-    if not told.longest or not widest:
+    if not told.n or not widest:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + F.pow(part(x) / told.largest, F.lit(2.0)))
+    longest = vectors.agg(F.max(square)).first()[0]
     dims = max(told.d, widest)
-    index = Index(dims, float(np.sqrt(told.longest)), "<f4" if plain else "<f8", tuple(functions(told.n, 1 << dims.bit_length())))
+    index = Index(dims, told.largest, float(np.sqrt(longest)), "<f4" if plain else "<f8", tuple(functions(told.n, 1 << dims.bit_length())))
     copy = F.row_number().over(W.partitionBy(F.md5("vec")).orderBy("vec_id"))
     distinct = _blobs(vectors, index.kind).withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
     held = materialise(_hashed(distinct, index), "vectors")
