@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -12,15 +13,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteprism.llm import simhash
-from siteprism.llm.common import arrow_map, materialise, raw, table
+from siteprism.llm.common import arrow_map, materialise, raw, table, utf8
 
 #: Words of the longest phrase, least count of a phrase, and phrases that each language reports.
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: A word is heavy if it is more than one in so many of all words; so there are at most as many of them.
 HEAVY = 1024
 #: Bytes of text that a worker takes at once; a longer text is taken in stretches.
-STRETCH = 1 << 20
+STRETCH = 4 << 20
+#: The commonest words of up to so many bytes go by two bytes between tasks; at most as many as two bytes have below 0xFF00.
+SHORT_WORDS, SHORT_BYTES = 0xFF00, 40
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: What ends a piece, and what parts words within it (fixed by the contract of the operator).
@@ -90,15 +92,40 @@ class Words:
         """Spark's xxhash64 of every different word."""
         return np.fromiter((xxhash.xxh64_intdigest(x[:-1], 42) for x in self.names.to_pylist()), np.uint64, len(self.names))
 
-    def slices(self, first: np.ndarray, size: np.ndarray, step: int = 1 << 15) -> Iterator[tuple[slice, pa.Array]]:
-        """The texts of ``size`` words from each of the words ``first`` on, some at a time."""
-        for i in range(0, len(first), step):
-            part = slice(i, i + step)
-            a, b = self.at[first[part]], self.at[first[part] + size[part]]
-            ends = np.cumsum(b - a)
-            into = np.arange(ends[-1]) + np.repeat(a - np.concatenate([[0], ends[:-1]]), b - a)
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            yield part, pa.Array.from_buffers(pa.string(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(self.text[into])])
+    def tokens(self, short: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words as tokens end to end, and where each begins."""
+        names = pa.array([token(x[:-1], short) for x in self.names.to_pylist()], pa.binary())
+        return utf8(pa.DictionaryArray.from_arrays(pa.array(self.id), names).dictionary_decode())
+
+
+def token(word: bytes, short: dict[bytes, bytes]) -> bytes:
+    """A word for the shuffle: its two bytes, or 0xFF, its length and itself. No token begins another."""
+    return short.get(word) or b"\xff" + len(word).to_bytes(4, "big") + word
+
+
+def spelled(data: bytes, words: list[bytes]) -> list[bytes]:
+    """The words of tokens end to end; ``words`` are those that two bytes number."""
+    out, at = [], 0
+    while at < len(data):
+        if data[at] < 255:
+            out.append(words[data[at] << 8 | data[at + 1]])
+            at += 2
+        else:
+            end = at + 5 + int.from_bytes(data[at + 1 : at + 5], "big")
+            out.append(data[at + 5 : end])
+            at = end
+    return out
+
+
+def _slices(data: np.ndarray, at: np.ndarray, first: np.ndarray, size: np.ndarray, step: int = 1 << 15) -> Iterator[tuple[slice, pa.Array]]:
+    """The bytes of ``size`` tokens from each of ``first`` on, some at a time."""
+    for i in range(0, len(first), step):
+        part = slice(i, i + step)
+        a, b = at[first[part]], at[first[part] + size[part]]
+        ends = np.cumsum(b - a)
+        into = np.arange(ends[-1]) + np.repeat(a - np.concatenate([[0], ends[:-1]]), b - a)
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        yield part, pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(data[into])])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -126,89 +153,107 @@ def _same(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.n
     return first, counts
 
 
-def edges(docs: DataFrame, frequent: DataFrame, heavy: list[int]) -> DataFrame:
-    """lang, gram, v: what begins at each word that may be frequent, counted within a worker's stretch.
+#: A gram's count, the bytes by which it is dealt out, and the words these hold, in one number.
+_COUNT, _BYTES = 1 << 35, 1 << 3
+
+
+def edges(docs: DataFrame, short: list[bytes], heavy: list[int]) -> DataFrame:
+    """gram, v: what begins at each word but the last of a piece, counted within a worker's stretch.
 
-    A gram has LONGEST words, each with a blank behind it: an edge of the graph, from the node of its first words
-    to that of its last. Where a piece ends sooner, or a word comes that is not frequent, the gram ends there (a
-    piece-end correction: flow that enters the shorter node and leaves the graph). ``v`` is eight times the count
-    plus the words up to which the gram is dealt out: the first two, or as many more as it takes to have one
-    that is not heavy; LONGEST + 1 where all are.
+    A gram is the language and LONGEST words as tokens: an edge of the graph, from the node of its first words to
+    that of its last. Where a piece ends sooner the gram ends there (a piece-end correction: flow that enters the
+    shorter node and leaves the graph). ``v`` holds the count and how a gram is dealt out: by its first two words,
+    or by as many more as it takes to have one that is not heavy; by all, if all are (then for LONGEST + 1 words).
     """
-    held = docs.sparkSession.sparkContext.broadcast((simhash.marks(frequent.select(F.xxhash64("word").alias("th"))), simhash.MARK_BITS - 1, np.array(heavy, np.int64)))
+    held = docs.sparkSession.sparkContext.broadcast((short, np.array(heavy, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, mask, heavy_hashes = held.value
+        words, heavy_hashes = held.value
+        numbers = {x: i.to_bytes(2, "big") for i, x in enumerate(words)}
         for load in _loads(batches, STRETCH):
             w = Words(*load)
             if not len(w.id):
                 continue
-            h = w.hashes()
-            low = (h & np.uint64(mask)).astype(np.int64)
-            often = (marks[low >> 3] >> (low & 7) & 1).astype(bool)[w.id]
-            new = np.ones(len(often), bool)  # a run ends with its piece and at what isn't frequent
-            new[1:] = (w.place[1:] != w.place[:-1]) | ~often[1:] | ~often[:-1]
-            ends = np.append(np.flatnonzero(new)[1:], len(often))
-            left = np.repeat(ends, np.diff(np.append(np.flatnonzero(new), len(often)))) - np.arange(len(often))
+            new = np.flatnonzero(np.concatenate([[True], w.place[1:] != w.place[:-1]]))
+            n_words = np.diff(np.append(new, len(w.id)))
+            left = np.repeat(new + n_words, n_words) - np.arange(len(w.id))
             size = np.minimum(left, LONGEST)
-            first = np.flatnonzero(often & w.own & (size > 1))
+            first = np.flatnonzero(w.own & (size > 1))
             size = size[first]
-            columns = [np.where(size > k, w.id[np.minimum(first + k, len(often) - 1)] + 1, 0) for k in range(LONGEST)]
+            columns = [np.where(size > k, w.id[np.minimum(first + k, len(w.id) - 1)] + 1, 0) for k in range(LONGEST)]
             one, n = _same([w.lang[first], *columns], [len(w.langs), *[len(w.names) + 1] * LONGEST])
             first, size = first[one], size[one]
-            common = np.isin(h.view(np.int64), heavy_hashes)[w.id]
+            common = np.isin(w.hashes().view(np.int64), heavy_hashes)[w.id]
             upto = np.full(len(first), LONGEST + 1)
             for k in range(LONGEST, 1, -1):
                 light = np.zeros(len(first), bool)
                 for i in range(k):
-                    light |= (size > i) & ~common[np.minimum(first + i, len(often) - 1)]
+                    light |= (size > i) & ~common[np.minimum(first + i, len(common) - 1)]
                 upto[light & (size >= k)] = k
-            langs = pa.array(w.langs).cast(pa.string())
-            v = n * 8 + upto
-            for part, grams in w.slices(first, size):
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(w.lang[first[part]])), grams, pa.array(v[part])], ["lang", "gram", "v"])
-
-    return docs.transform(arrow_map, run, "lang string, gram string, v long")
-
-
-def _flows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """lang, gram, n for the nodes of every length above one that sorted grams begin with.
+            data, at = w.tokens(numbers)
+            for lang, name in enumerate(w.langs):
+                own = w.lang[first] == lang
+                head = token(name.encode(), numbers)
+                f, m, u = first[own], size[own], upto[own]
+                v = n[own] * _COUNT + (len(head) + at[f + np.minimum(m, u)] - at[f]) * _BYTES + u
+                for part, grams in _slices(data, at, f, m):
+                    yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.scalar(head), grams, pa.scalar(b"")), pa.array(v[part])], ["gram", "v"])
+
+    return docs.transform(arrow_map, run, "gram binary, v long")
+
+
+def _parsed(gram: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every row of tokens (language, then words) their bytes, where each ends (rows by token), and a number for each, alike for equal ones; -1 where there is none."""
+    data, offsets = utf8(gram)
+    width = LONGEST + 1
+    ends, number = np.full((len(gram), width), -1), np.full((len(gram), width), -1)
+    at, stop = offsets[:-1].copy(), offsets[1:]
+    padded = np.concatenate([data, np.zeros(5, np.uint8)]).astype(np.int64)
+    long_rows, long_at, long_to = [], [], []
+    for k in range(width):
+        here = np.flatnonzero(at < stop)
+        p = at[here]
+        plain = padded[p] < 255
+        number[here[plain], k] = padded[p[plain]] << 8 | padded[p[plain] + 1]
+        size = np.where(plain, 2, 5 + (padded[p + 1] << 24 | padded[np.minimum(p + 2, len(data))] << 16 | padded[np.minimum(p + 3, len(data))] << 8 | padded[np.minimum(p + 4, len(data))]))
+        at[here] = p + size
+        ends[here, k] = at[here]
+        rest = np.flatnonzero(~plain)
+        long_rows.append(here[rest] * width + k)
+        long_at.append(p[rest])
+        long_to.append(p[rest] + size[rest])
+    where, a, b = (np.concatenate(x) for x in (long_rows, long_at, long_to))
+    if len(where):
+        view = memoryview(np.ascontiguousarray(data))
+        number.ravel()[where] = 1 << 16 | pa.array([bytes(view[i:j]) for i, j in zip(a.tolist(), b.tolist())], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+    return data, ends, number
+
+
+def _flows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[bytes, int]]:
+    """Tokens and flow of the nodes of every length above one that sorted grams begin with.
 
     What begins with some words lies together, so a node's flow, out along its edges and at piece ends, is a sum
     over neighbouring rows. Nodes dealt to several tasks are told with what is here, others if it is ``least``.
     """
-    open_: dict[int, tuple[str, bytes, int, bool]] = {}  # by length, the last node so far: language, words, flow, whole
-    last: tuple[str | None, list[bytes]] = (None, [])
+    open_: dict[int, tuple[bytes, int, bool]] = {}  # by length, the last node so far: tokens, flow, whether all of it is here
+    last: list[bytes] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        lang = batch.column("lang").dictionary_encode()
-        gram = batch.column("gram").cast(pa.binary())
-        offsets = np.frombuffer(gram.buffers()[1], np.int32)[gram.offset : gram.offset + len(gram) + 1]
-        data = np.frombuffer(gram.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        offsets = (offsets - offsets[0]).astype(np.int64)
-        ends = np.flatnonzero(data == 32) + 1
-        first = np.searchsorted(ends, offsets, "right")  # a row's words are numbers first[i] to first[i + 1]
-        size = np.diff(first)
-        words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data)])
-        code = words.dictionary_encode().indices.to_numpy()
-        langs = lang.indices.to_numpy()
+        data, ends, number = _parsed(batch.column("gram"))
+        starts = utf8(batch.column("gram"))[1][:-1]
         v = batch.column("v").to_numpy()
-        n, upto = v >> 3, v & 7
-        same = np.ones(len(size), bool)
-        same[1:] = langs[1:] == langs[:-1]
-        names = lang.dictionary.to_pylist()
-        same[0] = names[langs[0]] == last[0]
-        word = lambda row, k: data[offsets[row] if k == 0 else ends[first[row] + k - 1] : ends[first[row] + k]].tobytes()
-        for k in range(LONGEST):
-            own = np.minimum(first[:-1] + k, len(code) - 1)
-            both = np.zeros(len(size), bool)
-            both[1:] = (size[1:] > k) & (size[:-1] > k) & (code[own[1:]] == code[own[:-1]])
-            both[0] = size[0] > k and len(last[1]) > k and word(0, k) == last[1][k]
+        n, upto = v // _COUNT, v % _BYTES
+        same = np.ones(len(v), bool)
+        for k in range(LONGEST + 1):
+            here = number[:, k] >= 0
+            both = np.zeros(len(v), bool)
+            both[1:] = here[1:] & (number[1:, k] == number[:-1, k])
+            both[0] = here[0] and len(last) > k and data[starts[0] if k == 0 else ends[0, k - 1] : ends[0, k]].tobytes() == last[k]
             same &= both
-            if not k:
+            if k < 2:
                 continue
-            rows = np.flatnonzero(size > k)
+            rows = np.flatnonzero(here)
             if not len(rows):
                 continue
             begin = np.flatnonzero(~same[rows])
@@ -216,25 +261,20 @@ def _flows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
                 begin = np.concatenate([[0], begin])
             sums = np.add.reduceat(n[rows], begin)
             head = rows[begin]
-            whole = upto[head] <= k + 1
+            whole = upto[head] <= k
             if same[head[0]]:
-                held = open_.pop(k)
-                sums[0] += held[2]
+                sums[0] += open_.pop(k)[1]
             elif k in open_:
-                yield from _told([open_.pop(k)], least)
-            tell = lambda i: (names[langs[head[i]]], data[offsets[head[i]] : ends[first[head[i]] + k]].tobytes(), int(sums[i]), bool(whole[i]))  # noqa: B023, E731
-            open_[k] = tell(len(head) - 1)
-            yield from _told([tell(i) for i in np.flatnonzero((sums >= least) | ~whole).tolist() if i < len(head) - 1], least)
-        row = len(size) - 1
-        last = (names[langs[row]], [word(row, k) for k in range(size[row])])
-    yield from _told(list(open_.values()), least)
-
-
-def _told(nodes: list[tuple[str, bytes, int, bool]], least: int) -> Iterator[pa.RecordBatch]:
-    nodes = [x for x in nodes if x[2] >= least or not x[3]]
-    if nodes:
-        lang, gram, n, _ = zip(*nodes)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([g[:-1] for g in gram], pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                tokens, flow, all_here = open_.pop(k)
+                if flow >= least or not all_here:
+                    yield tokens, flow
+            for i in np.flatnonzero((sums[:-1] >= least) | ~whole[:-1]).tolist():
+                yield data[starts[head[i]] : ends[head[i], k]].tobytes(), int(sums[i])
+            open_[k] = (data[starts[head[-1]] : ends[head[-1], k]].tobytes(), int(sums[-1]), bool(whole[-1]))
+        row = len(v) - 1
+        bounds = [starts[row], *ends[row][ends[row] >= 0]]
+        last = [data[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+    yield from ((tokens, flow) for tokens, flow, all_here in open_.values() if flow >= least or not all_here)
 
 
 def gram_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
@@ -243,13 +283,24 @@ def gram_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> DataFr
     Only the longest grams are counted from the text. They are dealt out by their first two words (by more, if
     these are heavy) and sorted; shorter counts are sums over what begins alike.
     """
-    frequent = words.where(F.col("n") >= least)
     total = words.agg(F.sum("n")).first()[0] or 0
     heavy = [r.h for r in words.where(F.col("n") * HEAVY > total).select(F.xxhash64("word").alias("h")).distinct().collect()]
-    dealt = edges(docs, frequent, heavy).repartition(F.xxhash64("lang", F.expr("substring_index(gram, ' ', cast(v % 8 as int))")))
-    nodes = dealt.sortWithinPartitions("lang", "gram").transform(arrow_map, lambda b: _flows(b, least), "lang string, gram string, n long")
+    # a bounded number of words of bounded size comes to the driver and goes to the workers
+    common = words.where(F.octet_length("word") <= SHORT_BYTES).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(SHORT_WORDS)
+    short = [r.word.encode() for r in common.select("word").collect()]
+    held = docs.sparkSession.sparkContext.broadcast(short)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _flows(batches, least)
+        while some := list(itertools.islice(found, 10_000)):
+            spoken = [spelled(tokens, held.value) for tokens, _ in some]
+            text = lambda parts: pa.array([b" ".join(p) for p in parts], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([text([p[:1] for p in spoken]), text([p[1:] for p in spoken]), pa.array([n for _, n in some], pa.int64())], ["lang", "gram", "n"])
+
+    by = F.expr(f"xxhash64(substring(gram, 1, cast(v % {_COUNT} div {_BYTES} as int)))")
+    nodes = edges(docs, short, heavy).repartition(by).sortWithinPartitions("gram").transform(arrow_map, run, "lang string, gram string, n long")
     longer = nodes.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return frequent.select("lang", F.col("word").alias("gram"), "n").unionByName(longer)
+    return words.where(F.col("n") >= least).select("lang", F.col("word").alias("gram"), "n").unionByName(longer)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
