@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Hosts (and all below them) and first path parts that discovery never takes.
 DENIED_HOSTS = (
@@ -90,35 +87,35 @@ def link_target(u: Column | str) -> Column:
     return _canonical(u)
 
 
-def resolve(base: Column | str, raw: Column | str) -> Column:
-    """X4 natively: absolute, protocol-relative, root-relative, query, fragment and plain relative references.
+def without_dots(p: Column) -> Column:
+    """A path that begins with a slash, its ``.`` and ``..`` segments worked off one by one; above the root is the root."""
+    segments = F.split(p, "/")
+    step = lambda kept, s: F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
+    kept = F.aggregate(segments, F.expr("cast(array() as array<string>)"), step)
+    ended = F.element_at(segments, -1).isin(".", "..")
+    out = F.array_join(F.when(ended, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(p.rlike(r"/\.\.?(/|$)"), out).otherwise(p)
+
 
-    Dot segments are kept as they are; ``resolve_any`` takes those too, at the price of Python.
-    """
+def resolve(base: Column | str, raw: Column | str) -> Column:
+    """Absolute, protocol-relative, root-relative, query, fragment and plain relative references, dot segments worked off; null for none."""
     b, r = F.trim(_col(base)), F.trim(_col(raw))
     s, place, p = scheme(b), netloc(b), path(b)
     root = F.concat(s, F.lit("://"), place)
     folder = F.regexp_replace(F.when(p == "", F.lit("/")).otherwise(p), "[^/]*$", "")
+    own = F.regexp_extract(r, "^[^?#]*", 0)
+    rest = F.substring(r, F.length(own) + 1, F.length(r))
     return (
         F.when(r.isNull() | (r == "") | (s == ""), None)
         .when(r.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), r)
         .when(r.startswith("//"), F.concat(s, F.lit(":"), r))
-        .when(r.startswith("/"), F.concat(root, r))
+        .when(r.startswith("/"), F.concat(root, without_dots(own), rest))
         .when(r.startswith("?"), F.concat(root, p, r))
         .when(r.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), r))
-        .otherwise(F.concat(root, folder, r))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, own)), rest))
     )
 
 
-@F.pandas_udf(StringType())
-def resolve_any(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """X4 in full, by the standard library."""
-    from urllib.parse import urljoin
-
-    for base, raw in pairs:
-        yield pd.Series([urljoin(b, r) if b and r else None for b, r in zip(base, raw)], dtype=object)
-
-
 def is_internal(base: Column | str, u: Column | str) -> Column:
     """Equal hosts; a subdomain is another host, and what has no host is never internal."""
     return F.coalesce((host(base) != "") & (host(base) == host(u)), F.lit(False))

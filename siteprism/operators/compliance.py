@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from siteprism.functions.urls import ascii_lower, host, scheme
 
@@ -62,20 +59,60 @@ def ipv4_closed(h: Column | str) -> Column:
     return F.coalesce(is_ipv4(h) & h.rlike(CLOSED_IPV4), F.lit(False))
 
 
-@F.pandas_udf(BooleanType())
-def ipv6_closed(hosts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def ipv6_hex(h: Column | str) -> Column:
+    """an IPv6 address (in brackets or not, with a zone, with an IPv4 address at its end) as 32 hexadecimal digits; null for anything else."""
+    h = F.col(h) if isinstance(h, str) else h
+    low = F.regexp_replace(ascii_lower(F.regexp_replace(h, r"^[\[\]]+|[\[\]]+$", "")), "%[^%]+$", "")
+    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    v4 = rf"(?<=:){octet}\.{octet}\.{octet}\.{octet}$"
+    two = lambda i: F.lpad(F.lower(F.conv(F.regexp_extract(low, v4, i), 10, 16)), 2, "0")
+    head = F.regexp_replace(low, v4, "")
+    low = F.when(low.rlike(v4), F.concat(head, two(1), two(2), F.lit(":"), two(3), two(4))).otherwise(low)
+    halves = F.split(low, "::")
+    groups = lambda half: F.when(half == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(half, ":"))
+    left, right = groups(F.get(halves, F.lit(0))), F.coalesce(groups(F.get(halves, F.lit(1))), F.expr("cast(array() as array<string>)"))
+    n = F.size(left) + F.size(right)
+    fits = F.when(F.size(halves) == 1, n == 8).otherwise((F.size(halves) == 2) & (n < 8)) & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    full = lambda half: F.array_join(F.transform(half, lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(fits, F.concat(full(left), F.repeat(F.lit("0000"), 8 - n), full(right)))
+
+
+def network_pattern(network: str) -> str:
+    """A regular expression for the hexadecimal digits of the addresses in an IPv6 network."""
+    net = ipaddress.IPv6Network(network)
+    whole, bits = divmod(net.prefixlen, 4)
+    digits = net.network_address.exploded.replace(":", "")
+    if not bits:
+        return digits[:whole]
+    low = int(digits[whole], 16)
+    return digits[:whole] + "[" + "".join(f"{x:x}" for x in range(low, low + (1 << 4 - bits))) + "]"
+
+
+def ipv6_closed(h: Column | str) -> Column:
     """closed IPv6 addresses, with or without brackets; false for anything else."""
-    nets = [ipaddress.IPv6Network(n) for n in CLOSED_IPV6]
+    return F.coalesce(ipv6_hex(h).rlike("^(" + "|".join(map(network_pattern, CLOSED_IPV6)) + ")"), F.lit(False))
+
+
+def _bits(digits: Column) -> Column:
+    """Hexadecimal digits as so many times four zeros and ones."""
+    return F.array_join(F.transform(F.split(digits, ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
 
-    def closed(h: str | None) -> bool:
-        try:
-            ip = ipaddress.IPv6Address((h or "").strip("[]"))
-        except ValueError:
-            return False
-        return any(ip in n for n in nets)
 
-    for part in hosts:
-        yield part.map(closed).astype(bool)
+def longest_prefix(addresses: DataFrame, networks: DataFrame, address: str = "ip") -> DataFrame:
+    """F4 against a table: every address row with ``network``, the smallest one (network: IPv6 prefix/length) that it is in, or null.
+
+    Each address becomes its prefixes of the lengths that the table has (129 at most), so that the search is an
+    equi-join however many networks there are. Networks and addresses that are none match nothing.
+    """
+    parts = networks.select("network", F.split("network", "/").alias("p")).select("network", ipv6_hex(F.get("p", F.lit(0))).alias("digits"), F.get("p", F.lit(1)).try_cast("int").alias("size"))
+    held = parts.where(F.col("digits").isNotNull() & F.col("size").between(0, 128)).select("network", "size", F.expr("size as _size"), _bits(F.col("digits")).alias("bits"))
+    held = held.select("network", F.col("_size"), F.substring(F.col("bits"), F.lit(1), F.col("size")).alias("_prefix")).dropDuplicates(["_size", "_prefix"])
+    sizes = sorted(r._size for r in held.select("_size").distinct().collect())
+    told = addresses.select(F.col(address).alias("_ip")).distinct().select("_ip", _bits(ipv6_hex("_ip")).alias("_bits")).where("_bits is not null")
+    tried = told.select("_ip", "_bits", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.expr("cast(array() as array<int>)")).alias("_size"))
+    found = tried.select("_ip", "_size", F.substring(F.col("_bits"), F.lit(1), F.col("_size")).alias("_prefix")).join(held, ["_size", "_prefix"])
+    best = found.groupBy("_ip").agg(F.max_by("network", "_size").alias("network"))
+    return addresses.join(best, F.col(address) == F.col("_ip"), "left").drop("_ip")
 
 
 def hostname_closed(h: Column | str) -> Column:

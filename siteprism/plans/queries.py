@@ -310,12 +310,55 @@ def ip_gate(spark, sf_dir):
     return o.select("c_custkey", ip.alias("ip"), compliance.ipv4_closed(ip).alias("closed"))
 
 
-@query()
+#: Addresses by the last digit of a key ({h}: the key in hexadecimal), and whether each is closed.
+_IPV6 = (
+    ("::1", True), ("fe80::{h}%eth0", True), ("[FD12:3456::{h}]", True), ("2001:db8::{h}", True), ("2606:4700::{h}", False), ("ff02::{h}", True), ("not an address {h}", False), ("2001:DB9:0:0:0:0:0:{h}", False),
+    ("fec0::{h}", False), ("::ffff:10.0.0.1", False), ("febf:1:2:3:4:5:6:{h}", True), ("1:2:3:4:5:6:7:8:{h}", False), ("::", True), ("1::2::{h}", False),
+)
+_BY_KEY = "CASE c_custkey % 14 " + " ".join(f"WHEN {i} THEN replace('{a}', '{{h}}', lower(printf('%x', CAST(c_custkey % 65536 AS INTEGER))))" for i, (a, _) in enumerate(_IPV6)) + " END"
+
+
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    ip = F.element_at(F.array(*[F.lit(a) for a, _ in _IPV6]), (k % 14 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.replace(ip, F.lit("{h}"), F.lower(F.hex(k % 65536))).alias("ip"))
+
+
+@query(f"SELECT c_custkey, {_BY_KEY} AS ip, c_custkey % 14 IN ({', '.join(str(i) for i, (_, c) in enumerate(_IPV6) if c)}) AS closed FROM customer")
 def ipv6_gate(spark, sf_dir):
-    """F4, over addresses dealt from customer keys."""
-    heads = F.array(*map(F.lit, ("::1", "fe80::1", "fd12:3456::1", "2001:db8::1", "2606:4700::1111", "ff02::1", "not an address")))
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(heads, (F.col("c_custkey") % 7 + 1).cast("int")).alias("ip"))
-    return c.withColumn("closed", compliance.ipv6_closed("ip"))
+    """F4, over addresses of all kinds dealt from customer keys."""
+    return _addresses(spark, sf_dir).withColumn("closed", compliance.ipv6_closed("ip"))
+
+
+_NETWORKS = ("2001:db8::/32", "2001::/16", "fd12:3456::/31", "fe80::/10", "::/0", "2606:4700::/28", "2606:4700::/127")
+
+
+@query(
+    f"""SELECT c_custkey, {_BY_KEY} AS ip, CASE c_custkey % 14 WHEN 1 THEN 'fe80::/10' WHEN 10 THEN 'fe80::/10' WHEN 2 THEN 'fd12:3456::/31' WHEN 3 THEN '2001:db8::/32' WHEN 7 THEN '2001::/16' WHEN 6 THEN NULL WHEN 11 THEN NULL WHEN 13 THEN NULL
+    WHEN 4 THEN CASE WHEN c_custkey % 65536 < 2 THEN '2606:4700::/127' ELSE '2606:4700::/28' END ELSE '::/0' END AS network FROM customer"""
+)
+def ipv6_networks(spark, sf_dir):
+    """F4 against a table of networks: an equi-join by prefix, the longest wins."""
+    nets = spark.createDataFrame([(n,) for n in _NETWORKS], "network string")
+    return compliance.longest_prefix(_addresses(spark, sf_dir), nets)
+
+
+_REFERENCES = (
+    ("../b/c.html?x=../y#z", "/b/c.html?x=../y#z"), ("./d", "/a/d"), ("../../../e/", "/e/"), (".", "/a/"), ("..", "/"), ("/f/./g/../h", "/f/h"), ("?q=1", "/a/b?q=1"), ("#t", "/a/b?k=1#t"), ("i/j/../..", "/a/"), ("k/..l/.m", "/a/k/..l/.m"),
+    ("//other.example/../x", None), ("mailto:x@y.z", None), ("", None),
+)
+
+
+@query(
+    "SELECT page_id, CASE page_id % 13 " + " ".join(f"WHEN {i} THEN lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) || '{told}'" for i, (_, told) in enumerate(_REFERENCES) if told)
+    + " WHEN 10 THEN lower(regexp_extract(url, '^([a-zA-Z]+):', 1)) || '://other.example/../x' WHEN 11 THEN 'mailto:x@y.z' END AS resolved FROM pages"
+)
+def url_references(spark, sf_dir):
+    """References of every kind, dot segments worked off."""
+    k = F.col("page_id")
+    origin = F.concat(urls.scheme("url"), F.lit("://"), urls.netloc("url"))
+    ref = F.element_at(F.array(*[F.lit(r) for r, _ in _REFERENCES]), (k % 13 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.resolve(F.concat(origin, F.lit("/a/b?k=1")), ref).alias("resolved"))
 
 
 @query(

@@ -1,5 +1,7 @@
 """Column functions, on inline rows with the true token lists."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from siteprism.functions import text, urls
@@ -58,3 +60,43 @@ def test_page_signals():
     assert s["has_viewport"] and s["has_form"] and s["has_booking_signal"] and s["has_hours_signal"] and s["has_contact_page"] and not s["has_cta_signal"]
     assert (s["outbound_domain_count"], s["social_facebook"], s["category"]) == (1, "https://facebook.com/acme", "plumbing")
     assert signals_of(None, "")["word_count"] == 0
+
+
+def test_ipv6(spark):
+    """Every address as the standard library reads it, and the smallest network that each is in."""
+    import ipaddress
+    import random
+
+    rng = random.Random(5)
+    some = ["::", "::1", "1::", "[::1]", "fe80::1%eth0", "fe80::1%", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "::1.2.3.256", "::01.2.3.4", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", ":1::", "1:::2", "12345::", "g::", "", None, ":", "::%", "1.2.3.4", "FE80::ABCD", ":::", "[[::1", "::1]"]
+    for _ in range(300):
+        ip = ipaddress.IPv6Address(rng.getrandbits(128) & rng.choice([2**128 - 1, 2**64 - 1, (2**128 - 1) << 100, 0xFFFF]))
+        some += rng.sample([ip.compressed, ip.exploded, ip.compressed.upper(), ip.compressed[:-1] + ":"], 2)
+
+    def wanted(text):
+        try:
+            return f"{int(ipaddress.IPv6Address((text or '').strip('[]'))):032x}"
+        except ValueError:
+            return None
+
+    assert one(spark, some, compliance.ipv6_hex) == [wanted(x) for x in some]
+    nets = [ipaddress.IPv6Network((rng.getrandbits(128) >> 100 << 100, n), strict=False) for n in (3, 7, 12, 20, 28) for _ in range(4)] + [ipaddress.IPv6Network(n) for n in compliance.CLOSED_IPV6]
+    for n in nets:
+        assert all(re.match(compliance.network_pattern(str(n)), n[i].exploded.replace(":", "")) for i in (0, -1))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(some)], "k int, ip string")
+    got = {r.k: r.network for r in compliance.longest_prefix(df, spark.createDataFrame([(str(n),) for n in nets] + [("x/3",), ("::/129",), (None,)], "network string")).collect()}
+    for k, x in enumerate(some):
+        held = [n for n in nets if wanted(x) and ipaddress.IPv6Address(int(wanted(x), 16)) in n]
+        best = max((n.prefixlen for n in held), default=None)
+        assert (got[k] is None and best is None) or ipaddress.IPv6Network(got[k]) in [n for n in held if n.prefixlen == best]
+
+
+def test_references(spark):
+    """References as the standard library resolves them."""
+    from urllib.parse import urljoin
+
+    refs = ["../x", "./x", "x/./y/../z", "../../../x", ".", "..", "./", "../", "a/..", "a/.", "...", ".x", "x.", "/../a/./b/../c", "?q=../x", "#f/../g", "a?b=/../c", "g;x=1/../y", "/", "//h/a", "", "a/b/../../.."]
+    for base in ("https://a.example/b/c/d?q#f", "https://a.example", "https://a.example/", "http://a.example/b/"):
+        assert one(spark, refs, lambda r, b=base: urls.resolve(F.lit(b), r)) == [urljoin(base, r) if r else None for r in refs], base
+    # an empty segment is one of its own, as the standard (not the library) has it
+    assert one(spark, ["x//../y"], lambda r: urls.resolve(F.lit("https://a.example/b/"), r)) == ["https://a.example/b/x/y"]
