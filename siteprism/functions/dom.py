@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siteprism.functions import html as H
 from siteprism.functions import text as T
 from siteprism.functions import urls
+from siteprism.functions.arrays import let
 
 #: An element or text, in document order. ``pre`` is its number and ``last`` that of the last one inside it, so that a
 #: node holds those numbered from pre + 1 to last; ``up`` is its parent's number, -1 at the top. Texts have tag ``#text``.
@@ -149,11 +150,6 @@ def select(nodes: Column, selector: str) -> Column:
     return F.transform(F.array_sort(found) if "," in selector else found, lambda p: F.get(nodes, p))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, also where it is used for each of many items."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
-
-
 def _numbers(nodes: Column, parts: list[tuple[str, list[tuple]]]) -> Column:
     """The numbers of what matches a selector without commas, in order."""
     found = None
@@ -162,7 +158,7 @@ def _numbers(nodes: Column, parts: list[tuple[str, list[tuple]]]) -> Column:
         if found is None:
             found = own
         elif how == ">":
-            found = _let(found, _children(nodes, own))
+            found = let(found, _children(nodes, own))
         else:
             found = F.array_intersect(own, _covered(nodes, found))
     return found

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteprism.functions.arrays import let
 from siteprism.functions.text import truncated
 from siteprism.functions.urls import pick_url
 from siteprism.operators.prefilter import Prefilter
@@ -24,55 +25,86 @@ def _lines(items: Column) -> Column:
     return F.array_join(F.coalesce(items, F.expr("cast(array() as array<string>)")), "\n")
 
 
-def plain_haystacks(leads: DataFrame) -> DataFrame:
-    """A5: lead, source, field, text of the sources that aren't by name."""
+_STACK = ("source", "qualifier", "field", "text")
+
+
+def _stack(source: str, qualifier: Column, field: Column, text: Column) -> Column:
+    return F.struct(*[v.alias(n) for v, n in zip((F.lit(source), qualifier, field, text), _STACK)])
+
+
+def plain_stacks() -> Column:
+    """A5: source, qualifier (null), field, text of the sources that aren't by name."""
     exists = F.coalesce(F.col("robots_txt.exists"), F.lit(False))
     parts = [
         ("script_src", "script_srcs[].url", _lines(F.col("script_srcs.url"))), ("html", "raw_html", F.col("raw_html")),
         ("css", "stylesheet_hrefs[].url", _lines(F.col("stylesheet_hrefs.url"))), ("url", "final_url", pick_url("final_url", "source_url")),
         ("robots", "robots_txt.body", F.when(exists, F.col("robots_txt.body"))), ("text", "text_content", F.col("text_content")),
     ]
-    told = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(f).alias("field"), t.alias("text")) for s, f, t in parts])
-    return leads.select(F.col("id").alias("lead"), F.inline(told)).where("text <> ''").select("lead", "source", F.lit(None).cast("string").alias("qualifier"), "field", "text")
+    return F.array(*[_stack(s, F.lit(None).cast("string"), F.lit(f), t) for s, f, t in parts])
 
 
-def header_haystacks(leads: DataFrame) -> DataFrame:
+def _by_name(source: str, prefix: str, items: Column, only: tuple[str, ...] | None = None) -> Column:
+    """A text for each name among items (name, value): its values in lines."""
+    names = F.array_distinct(F.transform(items, lambda x: x["name"]))
+    names = F.filter(names, lambda n: n.isin(*only)) if only else names
+    values = lambda n: F.array_join(F.transform(F.filter(items, lambda x: x["name"] == n), lambda x: x["value"]), "\n")
+    return F.transform(names, lambda n: _stack(source, n, F.concat(F.lit(prefix + "["), n, F.lit("]")), values(n)))
+
+
+def header_stacks(headers: Column) -> Column:
     """Headers and cookies by name (values in lines), and all of them together.
 
     Header names fold case; cookie names don't, and a cookie's value ends at its first semicolon. The DNS
     stand-ins are the headers of those names.
     """
     # a lead's headers are one array already, so all of it is array work within the row: no shuffle
-    sent = F.filter(F.transform("response_headers", lambda h: F.struct(h["key"].alias("key"), F.lower(h["key"]).alias("name"), h["value"].alias("value"))), lambda h: h["key"].isNotNull() & h["value"].isNotNull())
-    rows = leads.select(F.col("id").alias("lead"), sent.alias("h"))
-    values = lambda items, name: F.array_join(F.transform(F.filter(items, lambda h: h["name"] == name), lambda h: h["value"]), "\n")
+    sent = F.filter(F.transform(headers, lambda h: F.struct(h["key"].alias("key"), F.lower(h["key"]).alias("name"), h["value"].alias("value"))), lambda h: h["key"].isNotNull() & h["value"].isNotNull())
     cookie = lambda line: F.struct(F.regexp_extract(line, r"^\s*([^=]*)=", 1).alias("name"), F.regexp_extract(line, r"^\s*[^=]*=([^;]*)", 1).alias("value"))
-    lines = F.flatten(F.transform(F.filter("h", lambda h: h["name"] == "set-cookie"), lambda h: F.split(h["value"], "\n")))
-    rows = rows.select("lead", "h", F.filter(F.transform(lines, cookie), lambda c: c["name"] != "").alias("c"))
-    names = lambda items: F.array_distinct(F.transform(items, lambda x: x["name"]))
-    stack = lambda source, qualifier, field, text: F.struct(F.lit(source).alias("source"), qualifier.alias("qualifier"), field.alias("field"), text.alias("text"))
     none = F.lit(None).cast("string")
-    by = lambda source, prefix, items, keys: F.transform(keys, lambda n: stack(source, n, F.concat(F.lit(prefix + "["), n, F.lit("]")), values(F.col(items), n)))
-    told = F.concat(
-        by("headers", "response_headers", "h", names(F.col("h"))),
-        by("dns_header", "dns_header", "h", F.filter(names(F.col("h")), lambda n: n.isin(*DNS_HEADERS))),
-        by("cookies", "set_cookie", "c", names(F.col("c"))),
-        F.array(
-            stack("headers", none, F.lit("response_headers[*]"), F.array_join(F.transform("h", lambda h: F.concat_ws(": ", h["key"], h["value"])), "\n")),
-            stack("cookies", none, F.lit("set_cookie[*]"), values(F.col("h"), F.lit("set-cookie"))),
-        ),
-    )
-    return rows.select("lead", F.inline(told)).where("text <> ''")
+
+    def told(h: Column) -> Column:
+        own = F.filter(h, lambda x: x["name"] == "set-cookie")
+        cookies = F.filter(F.transform(F.flatten(F.transform(own, lambda x: F.split(x["value"], "\n"))), cookie), lambda c: c["name"] != "")
+        every = F.array(
+            _stack("headers", none, F.lit("response_headers[*]"), F.array_join(F.transform(h, lambda x: F.concat_ws(": ", x["key"], x["value"])), "\n")),
+            _stack("cookies", none, F.lit("set_cookie[*]"), F.array_join(F.transform(own, lambda x: x["value"]), "\n")),
+        )
+        return F.concat(_by_name("headers", "response_headers", h), _by_name("dns_header", "dns_header", h, DNS_HEADERS), let(cookies, lambda c: _by_name("cookies", "set_cookie", c)), every)
+
+    return let(F.coalesce(sent, F.expr("cast(array() as array<struct<key:string,name:string,value:string>>)")), told)
+
+
+def meta_stacks(lines: Column) -> Column:
+    """Meta contents by (case-sensitive) name, and all ``name=content`` lines."""
+    lines = F.coalesce(lines, F.expr("cast(array() as array<string>)"))
+    named = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, "^([^=]*)=", 1).alias("name"), F.regexp_extract(x, "(?s)^[^=]*=(.*)$", 1).alias("value")))
+    every = _stack("meta", F.lit(None).cast("string"), F.lit("meta[*]"), F.array_join(lines, "\n"))
+    return F.concat(let(named, lambda m: _by_name("meta", "meta", m)), F.array(every))
+
+
+def stacks() -> Column:
+    """Everything that patterns are matched in, of a lead's columns."""
+    whole = F.concat(plain_stacks(), header_stacks(F.col("response_headers")), meta_stacks(F.col("meta_lines")))
+    return F.filter(whole, lambda s: s["text"] != "")
+
+
+def _rows(leads: DataFrame, stacks: Column) -> DataFrame:
+    return leads.select(F.col("id").alias("lead"), F.inline(stacks)).where("text <> ''")
+
+
+def plain_haystacks(leads: DataFrame) -> DataFrame:
+    """A5 as rows: lead, source, qualifier, field, text."""
+    return _rows(leads, plain_stacks())
+
+
+def header_haystacks(leads: DataFrame) -> DataFrame:
+    """J2, J3, J5 as rows."""
+    return _rows(leads, header_stacks(F.col("response_headers")))
 
 
 def meta_haystacks(leads: DataFrame) -> DataFrame:
-    """Meta contents by (case-sensitive) name, and all ``name=content`` lines; from the column meta_lines."""
-    m = leads.select(F.col("id").alias("lead"), F.posexplode("meta_lines").alias("pos", "line"))
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(c).alias("v")))), lambda x: x["v"]), "\n")
-    own = m.select("lead", "pos", F.regexp_extract("line", "^([^=]*)=", 1).alias("name"), F.regexp_extract("line", "(?s)^[^=]*=(.*)$", 1).alias("value"))
-    named = own.groupBy("lead", "name").agg(joined("value").alias("text")).select("lead", F.lit("meta").alias("source"), F.col("name").alias("qualifier"), F.concat(F.lit("meta["), "name", F.lit("]")).alias("field"), "text")
-    every = m.groupBy("lead").agg(joined("line").alias("text")).select("lead", F.lit("meta").alias("source"), F.lit(None).cast("string").alias("qualifier"), F.lit("meta[*]").alias("field"), "text")
-    return named.unionByName(every).where("text <> ''")
+    """J4 as rows, from the column meta_lines."""
+    return _rows(leads, meta_stacks(F.col("meta_lines")))
 
 
 def haystacks(leads: DataFrame) -> DataFrame:

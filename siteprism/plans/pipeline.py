@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteprism.config import Config
-from siteprism.operators import match, resolve, tiers
+from siteprism.operators import technologies, tiers
 from siteprism.operators.evaluate import evaluate
 from siteprism.operators.gate import gate
 from siteprism.sources.packs import Blocklist, Pack
@@ -21,8 +21,8 @@ def merged(*structs: tuple[str, tuple[str, ...]]) -> Column:
 def process(leads: DataFrame, config: Config, pack: Pack | None = None, block: Blocklist | None = None) -> DataFrame:
     """Leads (wire shape) with gate, evaluation and final pipeline_status; none is dropped.
 
-    With signals on and a ``pack``, what passed the gate is matched and ``technologies`` holds its resolved
-    detections (null elsewhere). ``heuristic_flags`` are the gate's and the evaluation's flags together.
+    With signals on and a ``pack``, what passed the gate is matched: ``technologies`` holds its resolved detections
+    and ``matcher_failures`` how many patterns ran out of time (null elsewhere). All of it happens within a lead's row. ``heuristic_flags`` are the gate's and the evaluation's flags together.
 
     What the gate rejects keeps its gate status, score 0 and no gaps. With the LLM on, tier eligibility decides
     the status; the tiers themselves are called later, on the rows that it marks.
@@ -31,9 +31,7 @@ def process(leads: DataFrame, config: Config, pack: Pack | None = None, block: B
     fields = lambda c: tuple(rows.schema[c].dataType.names)
     rows = rows.withColumn("heuristic_flags", merged(("gate_flags", fields("gate_flags")), ("evaluation_flags", fields("evaluation_flags"))))
     if config.signals_v2 and pack is not None:
-        found = resolve.nested(match.match_leads(rows.where("gate_status = 'pending_tier_1'").select(*leads.columns), pack, block))
-        none_found = F.expr(f"cast(array() as {found.schema['technologies'].dataType.simpleString()})")
-        rows = rows.join(found, rows["id"] == found["lead"], "left").drop("lead").withColumn("technologies", F.when(F.col("gate_status") == "pending_tier_1", F.coalesce("technologies", none_found)))
+        rows = technologies.with_technologies(rows, pack, block, F.col("gate_status") == "pending_tier_1")
     passed = F.col("gate_status") == "pending_tier_1"
     none = F.expr("cast(array() as array<string>)")
     skip2 = tiers.tier2_skip_reason(F.lit(config.campaign), F.col("target_industry"), config)

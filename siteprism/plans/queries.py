@@ -652,7 +652,9 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         header("set-cookie", F.when(k % 2 == 0, F.lit("__CF_BM=1")).otherwise("__cf_bm=2; Secure")), header("X-Powered-By", F.concat(F.lit("PHP/7."), (k % 10).cast("string"))), header("Via", F.lit("1.1 proxybox/2")),
     )
     meta = F.array(F.concat(F.lit("generator=WordPress 6."), (k % 10).cast("string")), F.lit("Generator=Other"), F.lit("og:type=site"))
-    return table(spark, sf_dir, "orders").select(k.cast("string").alias("id"), headers.alias("response_headers"), meta.alias("meta_lines"))
+    # the table may be one file of one part; a lead's arrays are much work
+    orders = table(spark, sf_dir, "orders").select(k).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return orders.select(k.cast("string").alias("id"), headers.alias("response_headers"), meta.alias("meta_lines"))
 
 
 def _sig(spark: SparkSession, stacks: DataFrame, patterns: list[tuple]) -> DataFrame:

@@ -187,12 +187,16 @@ UNION ALL SELECT lead, 'Cloudflare', 30, NULL FROM t WHERE cloudflare UNION ALL
 
 
 def _tech_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tech_columns(leads_of(spark, sf_dir))
+
+
+def _tech_columns(leads: DataFrame) -> DataFrame:
     k = F.col("page_id")
     header = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
     none = F.lit(None).cast("string")
     version = lambda text: F.concat(F.lit(text), (k % 10).cast("string"))
     sent = F.array(header("Server", F.when(k % 3 == 0, F.lit("cloudflare")).otherwise("nginx")), header("X-Powered-By", F.when(k % 7 == 0, version("PHP/8.")).otherwise(none)))
-    return leads_of(spark, sf_dir).withColumns(
+    return leads.withColumns(
         {
             "raw_html": F.lit("<p>plain</p>"), "text_content": F.lit("plain"), "response_headers": sent, "meta_lines": F.array(F.when(k % 5 == 0, version("generator=WordPress 6.")).otherwise("author=x")),
             "robots_txt": F.struct(F.lit(True).alias("exists"), F.lit("User-agent: *").alias("body")),
@@ -254,6 +258,14 @@ def stream_evaluate(spark, sf_dir):
     return _stored_stream(spark, rows.select("id", "pipeline_status"))
 
 
+@query(f"WITH {_PROCESSED}, {_TECH_SQL}, n AS (SELECT lead, string_agg(name || ':' || confidence || ':' || coalesce(version, ''), ',' ORDER BY name) AS names FROM found GROUP BY 1) SELECT id, CASE WHEN gs = 'pending_tier_1' THEN ds ELSE gs END AS pipeline_status, CASE WHEN gs = 'pending_tier_1' THEN coalesce(names, '') END AS technologies, CASE WHEN gs = 'pending_tier_1' THEN 0 END AS failures FROM p LEFT JOIN n ON n.lead = p.id")
+def stream_technologies(spark, sf_dir):
+    """Leads as a stream with the pack, their technologies resolved within the row."""
+    rows = stream.evaluated(_tech_columns(leads_from_pages(_pages_stream(spark, sf_dir))), Config(signals_v2=True), _fingerprints(), packs.blocklist())
+    told = F.array_sort(F.transform("technologies", lambda t: F.concat_ws(":", t["name"], t["confidence"].cast("string"), F.coalesce(t["version"], F.lit("")))))
+    return _stored_stream(spark, rows.select("id", "pipeline_status", F.array_join(told, ",").alias("technologies"), F.col("matcher_failures").alias("failures")))
+
+
 @query(f"SELECT DISTINCT CAST(page_id // 100 AS VARCHAR) AS run_id, {HOST} AS domain FROM pages")
 def stream_first_in_run(spark, sf_dir):
     """A run's domains, each once, from a stream with state under a watermark."""

@@ -10,11 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siteprism.config import Config
 from siteprism.plans.pipeline import process
+from siteprism.sources.packs import Blocklist, Pack
 
 
-def evaluated(leads: DataFrame, config: Config) -> DataFrame:
-    """A stateless projection, so it needs no watermark and restarts anywhere."""
-    return process(leads, config)
+def evaluated(leads: DataFrame, config: Config, pack: Pack | None = None, block: Blocklist | None = None) -> DataFrame:
+    """A stateless projection, technologies included, so it needs no watermark and restarts anywhere."""
+    return process(leads, config, pack, block)
 
 
 def first_in_run(candidates: DataFrame, within: str = "1 day", at: str = "at") -> DataFrame:
