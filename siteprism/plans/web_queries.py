@@ -1,12 +1,16 @@
-"""Queries over encoded pages and their selectors, each with its SQL."""
+"""Queries over encoded pages, leads on the wire and landed, and the fixed lists, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteprism.functions import dom
-from siteprism.plans.queries import query, table
+from siteprism.functions import dom, text, urls
+from siteprism.plans.queries import LEADS, leads_of, query, table
+from siteprism.plans.read_queries import _stored_stream
+from siteprism.sources import leads as landed
+from siteprism.sources import wire
+from siteprism.sources.shared import fresh_path
 
 _PIECES = r"""s AS (SELECT page_id, html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article FROM pages)"""
 _COUNT = "CAST(len(regexp_extract_all({c}, '{p}')) AS INTEGER)"
@@ -100,3 +104,107 @@ def dom_signals(spark, sf_dir):
         first("stylesheet_hrefs").alias("style"), F.col("manifest_url").alias("manifest"), F.array_join(lines, ";").alias("meta"), F.col("social_facebook").alias("facebook"), F.col("social_linkedin").alias("linkedin"),
         F.col("has_contact_page").alias("contact"), F.size("anchor_hrefs").alias("anchors"),
     )
+
+
+# Leads on the wire and landed.
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 7 <> 3 THEN CAST(page_id AS VARCHAR) END AS id, CASE WHEN page_id % 7 <> 3 THEN url END AS final_url, CASE WHEN page_id % 7 <> 3 THEN CAST(page_id - 40 AS INTEGER) END AS words,
+    CASE WHEN page_id % 7 <> 3 THEN page_id % 3 = 0 END AS has_form, CASE WHEN page_id % 7 <> 3 THEN CAST(page_id % 4 AS INTEGER) END AS links, CASE WHEN page_id % 7 <> 3 THEN md5(html) END AS html_md5,
+    CASE WHEN page_id % 7 <> 3 THEN CAST(page_id / 8 AS FLOAT) END AS sure, CASE WHEN page_id % 7 <> 3 AND page_id % 2 = 0 THEN 'User-agent: ' || page_id END AS robots, page_id % 7 = 3 AS refused FROM pages"""
+)
+def wire_leads(spark, sf_dir):
+    """Each page as a lead in a batch of one, encoded, every seventh cut off, and decoded; what is cut off is refused alone."""
+    k = F.col("page_id")
+    link = F.struct(F.col("url"), (k % 2 == 0).alias("is_internal"), F.lit("é").alias("label"))
+    robots = F.struct(F.lit("/robots.txt").alias("path"), F.lit(200).alias("http_status"), F.lit(True).alias("exists"), F.lit("text/plain").alias("content_type"), F.concat(F.lit("User-agent: "), k.cast("string")).alias("body"))
+    own = {
+        "id": k.cast("string"), "final_url": F.col("url"), "word_count": (k - 40).cast("int"), "has_form": k % 3 == 0, "anchor_hrefs": F.array_repeat(link, (k % 4).cast("int")), "raw_html": F.col("html"),
+        "location_confidence": (k / 8).cast("float"), "robots_txt": F.when(k % 2 == 0, robots),
+    }
+    kinds = wire.raw_lead()
+    lead = F.struct(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+    sent = wire.encoded(table(spark, sf_dir, "pages").select("page_id", F.struct(F.array(lead).alias("leads")).alias("record")))
+    cut = sent.withColumn("value", F.when(k % 7 == 3, F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value")))
+    got = wire.decoded(cut, wire.lead_batch()).select("page_id", F.get("record.leads", F.lit(0)).alias("l"), F.col("error").isNotNull().alias("refused"))
+    return got.select(
+        "page_id", "l.id", "l.final_url", F.col("l.word_count").alias("words"), "l.has_form", F.when(F.col("l").isNotNull(), F.size("l.anchor_hrefs")).alias("links"), F.md5("l.raw_html").alias("html_md5"),
+        F.col("l.location_confidence").alias("sure"), F.col("l.robots_txt.body").alias("robots"), "refused",
+    )
+
+
+@query(
+    f"""WITH {LEADS} SELECT id, run_id, CAST(words AS INTEGER) AS word_count, viewport AS has_viewport, crawl AS crawl_allowed, CASE WHEN k % 3 = 0 THEN '{{"source":"' || id || '"}}' ELSE '{{}}' END AS provider_provenance,
+    k / 4 AS location_confidence, CAST(CASE WHEN k % 4 IN (0, 1) THEN 1 ELSE 0 END AS INTEGER) AS links, '' AS company_name FROM l"""
+)
+def landed_leads(spark, sf_dir):
+    """Leads landed as batches of one, streamed with the wire's defaults, stored batch by batch, and read back as stored records."""
+    k = F.col("page_id")
+    rows = leads_of(spark, sf_dir).withColumns(
+        {"provider_provenance_json": F.when(k % 3 == 0, F.to_json(F.struct(F.col("id").alias("source")))).when(k % 3 == 1, "[broken"), "location_confidence": (k / 4).cast("float"), "category_confidence": F.lit(0).cast("float")}
+    )
+    at = fresh_path(spark, "landed")
+    landed.write_landed(rows.select(*[c for c in wire.LEAD_FIELDS if c in rows.columns]), at)
+    back = landed.stored(_stored_stream(spark, landed.stream_landed(spark, at)))
+    return back.select("id", "run_id", "word_count", "has_viewport", "crawl_allowed", "provider_provenance", "location_confidence", F.size("anchor_hrefs").alias("links"), "company_name")
+
+
+@query("SELECT page_id, CAST(length(html) AS INTEGER) AS size, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS anchors, regexp_matches(html, '<form[ >]') AS has_form, md5(html) AS html_md5 FROM pages")
+def landed_html(spark, sf_dir):
+    """Pages landed as a file each, read as whole files and parsed."""
+    at = fresh_path(spark, "html")
+    table(spark, sf_dir, "pages").select("page_id", "html").write.partitionBy("page_id").text(at)
+    got = landed.leads_from_html(spark, f"{at}/*/*")
+    page = F.expr("left(raw_html, length(raw_html) - 1)")  # the writer ends each file's line
+    return got.select(F.regexp_extract("id", r"page_id=(\d+)", 1).cast("long").alias("page_id"), F.length(page).alias("size"), F.size("anchor_hrefs").alias("anchors"), "has_form", F.md5(page).alias("html_md5"))
+
+
+@query("""SELECT '{"event_id":' || event_id || ',"kind":"' || event_type || '","odd":' || CASE WHEN event_id % 2 = 1 THEN 'true' ELSE 'false' END || CASE WHEN event_id % 3 = 0 THEN '' ELSE ',"note":"\\"n' || event_id % 3 || '\\""' END || '}' AS value FROM events""")
+def json_lines(spark, sf_dir):
+    """A JSON text for each row, quotes escaped, nulls left out."""
+    k = F.col("event_id")
+    note = F.when(k % 3 != 0, F.concat(F.lit('"n'), (k % 3).cast("string"), F.lit('"')))
+    return landed.to_json_lines(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), (k % 2 == 1).alias("odd"), note.alias("note")))
+
+
+# The fixed lists, with hits on every entry.
+
+_HOSTS, _PATHS = urls.DENIED_HOSTS, urls.DENIED_PATHS
+_LISTED = "[" + ", ".join(f"'{h}'" for h in _HOSTS) + "]"
+
+
+@query(
+    f"""WITH u AS (SELECT c_custkey, CAST(c_custkey // 4 % {len(_HOSTS)} AS INTEGER) AS i, c_custkey % 4 AS kind, CAST(c_custkey // 3 % {len(_PATHS)} AS INTEGER) AS j, c_custkey % 3 AS tail FROM customer)
+    SELECT c_custkey, kind IN (0, 1) AS host_denied, tail < 2 AS path_denied,
+    CASE WHEN kind > 1 AND tail = 2 THEN 'https://' || CASE kind WHEN 2 THEN 'not' || {_LISTED}[i + 1] ELSE {_LISTED}[i + 1] || '.example' END || [{', '.join(f"'{p}'" for p in _PATHS)}][j + 1] || '-x' END AS site FROM u"""
+)
+def fixed_lists(spark, sf_dir):
+    """Every host and path of the fixed lists: itself, below it, and what only looks like it."""
+    k = F.col("c_custkey")
+    pick = lambda items, by: F.element_at(F.array(*map(F.lit, items)), (F.expr(f"c_custkey div {by}") % len(items) + 1).cast("int"))
+    h, p = pick(_HOSTS, 4), pick(_PATHS, 3)
+    named = F.when(k % 4 == 0, F.concat(F.lit("WWW."), F.upper(h))).when(k % 4 == 1, F.concat(F.lit("shop."), h)).when(k % 4 == 2, F.concat(F.lit("not"), h)).otherwise(F.concat(h, F.lit(".example")))
+    path = F.when(k % 3 == 0, F.upper(p)).when(k % 3 == 1, F.concat(p, F.lit("/x"))).otherwise(F.concat(p, F.lit("-x")))
+    u = F.concat(F.lit("https://"), named, path)
+    return table(spark, sf_dir, "customer").select("c_custkey", urls.host_denied(urls.host(u)).alias("host_denied"), urls.path_denied(urls.path(u)).alias("path_denied"), urls.site_url(u).alias("site"))
+
+
+_WORDS = tuple(w for _, words in text.CATEGORIES for w in words)
+_TOKENS = (*urls.LINK_DENIED, *(t for _, tokens in urls.LINK_SCORES for t in tokens), "plain")
+_SAID = "(SELECT c_custkey, 'we do ' || [" + ", ".join(f"'{w}'" for w in _WORDS) + f"][c_custkey % {len(_WORDS)} + 1] || ' and more' AS t, [" + ", ".join(f"'{t}'" for t in _TOKENS) + f"][c_custkey % {len(_TOKENS)} + 1] AS a, [" + ", ".join(f"'{t}'" for t in _TOKENS) + f"][c_custkey // 7 % {len(_TOKENS)} + 1] AS b FROM customer)"
+_HELD = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+_LINK = "'/' || a || ' ' || b"
+
+
+@query(
+    f"""SELECT c_custkey, CASE {' '.join(f"WHEN {_HELD('t', words)} THEN '{name}'" for name, words in text.CATEGORIES)} ELSE '' END AS category,
+    CASE WHEN {_HELD(_LINK, urls.LINK_DENIED)} THEN -1 ELSE {' + '.join(f"CASE WHEN {_HELD(_LINK, tokens)} THEN {points} ELSE 0 END" for points, tokens in urls.LINK_SCORES)} END AS score FROM {_SAID}"""
+)
+def fixed_words(spark, sf_dir):
+    """Every category's keywords, and every pair of two tokens that make or mar a link."""
+    k = F.col("c_custkey")
+    pick = lambda items, by: F.element_at(F.array(*map(F.lit, items)), (F.expr(f"c_custkey div {by}") % len(items) + 1).cast("int"))
+    said = F.concat(F.lit("We do "), F.upper(pick(_WORDS, 1)), F.lit(" and more"))
+    score = urls.link_score(F.concat(F.lit("/"), pick(_TOKENS, 1)), pick(_TOKENS, 7))
+    return table(spark, sf_dir, "customer").select(k, text.category(said).alias("category"), score.alias("score"))
