@@ -1,16 +1,21 @@
-"""Queries over encoded pages, leads on the wire and landed, and the fixed lists, each with its SQL."""
+"""Queries over encoded pages, leads on the wire and landed, the fixed lists, the search source and run states, each with its SQL."""
 
 from __future__ import annotations
 
+import contextlib
+import time
+
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteprism.functions import dom, text, urls
 from siteprism.plans.queries import LEADS, leads_of, query, table
-from siteprism.plans.read_queries import _stored_stream
+from siteprism.plans.read_queries import _pages_stream, _stored_stream
 from siteprism.sources import leads as landed
-from siteprism.sources import wire
+from siteprism.sources import search, wire
 from siteprism.sources.shared import fresh_path
+from siteprism.streaming import states
 
 _PIECES = r"""s AS (SELECT page_id, html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article FROM pages)"""
 _COUNT = "CAST(len(regexp_extract_all({c}, '{p}')) AS INTEGER)"
@@ -208,3 +213,49 @@ def fixed_words(spark, sf_dir):
     said = F.concat(F.lit("We do "), F.upper(pick(_WORDS, 1)), F.lit(" and more"))
     score = urls.link_score(F.concat(F.lit("/"), pick(_TOKENS, 1)), pick(_TOKENS, 7))
     return table(spark, sf_dir, "customer").select(k, text.category(said).alias("category"), score.alias("score"))
+
+
+# The search source, and states of runs.
+
+
+@query("SELECT CAST(page_id // 100 AS VARCHAR) AS run, CAST(page_id % 100 // 20 AS INTEGER) AS page, CAST(page_id % 20 AS INTEGER) AS pos, url, 'Title ' || page_id AS title FROM pages WHERE page_id // 100 % 3 = 0 OR page_id % 100 // 20 < 2")
+def search_source(spark, sf_dir):
+    """Landed result pages (twenty to a page, five to a run) read by the data source; of three runs one is read whole, one up to an empty page, one up to a page that says there are no more."""
+    k = F.col("page_id")
+    run, page = F.expr("page_id div 100"), F.expr("page_id % 100 div 20")
+    result = F.struct((k % 20).alias("pos"), F.struct(F.concat(F.lit(" "), "url", F.lit("\t")).alias("url"), F.concat(F.lit("Title "), k.cast("string")).alias("title")).alias("r"))
+    pages = table(spark, sf_dir, "pages").select(run.alias("run"), page.alias("page"), result.alias("result")).groupBy("run", "page").agg(F.transform(F.array_sort(F.collect_list("result")), lambda x: x["r"]).alias("results"))
+    empty = (F.col("run") % 3 == 1) & (F.col("page") == 2)
+    more = ~((F.col("run") % 3 == 2) & (F.col("page") == 1))
+    results = F.when(empty, F.slice("results", 1, 0)).otherwise(F.col("results"))
+    body = F.to_json(F.struct(F.struct(results.alias("results")).alias("web"), F.struct(more.alias("more_results_available")).alias("query")))
+    at = fresh_path(spark, "search")
+    pages.select("run", "page", body.alias("value")).write.partitionBy("run", "page").text(at)
+    search.register(spark)
+    return spark.read.format("site_search").option("path", at).option("query", "hvac in Portland").option("limit", 100).option("pages", 5).load().select("run", "page", "pos", "url", "title")
+
+
+@query("SELECT 'whole' AS run_id, 'completed' AS status, count(*) AS rows FROM pages UNION ALL SELECT 'broken', 'failed', 0")
+def stream_run_states(spark, sf_dir):
+    """The pages as a stream that ends and one whose first batch fails, and what the listener wrote of both."""
+    at = fresh_path(spark, "runs")
+    listener = states.RunStates(spark, f"{at}/states")
+    spark.streams.addListener(listener)
+
+    def broken(batch: DataFrame, n: int) -> None:
+        raise ValueError(f"batch {n} is not taken")
+
+    try:
+        for name, take in (("whole", lambda batch, n: batch.write.format("noop").mode("overwrite").save()), ("broken", broken)):
+            rows = _pages_stream(spark, sf_dir).select("page_id")
+            stream = rows.writeStream.queryName(name).foreachBatch(take).option("checkpointLocation", f"{at}/{name}").trigger(availableNow=True).start()
+            with contextlib.suppress(StreamingQueryException):
+                stream.awaitTermination()
+        for _ in range(120):  # listeners are told a little later
+            with contextlib.suppress(AnalysisException):  # nothing is written yet
+                if states.recorded(spark, f"{at}/states").where("state <> 'running'").count() == 2:
+                    break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    return states.states(states.recorded(spark, f"{at}/states")).select("run_id", "status", "rows")
