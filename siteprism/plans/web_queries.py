@@ -15,7 +15,7 @@ from siteprism.plans.read_queries import _pages_stream, _stored_stream
 from siteprism.sources import leads as landed
 from siteprism.sources import search, wire
 from siteprism.sources.shared import fresh_path
-from siteprism.streaming import states
+from siteprism.streaming import calls, states
 
 _PIECES = r"""s AS (SELECT page_id, html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article FROM pages)"""
 _COUNT = "CAST(len(regexp_extract_all({c}, '{p}')) AS INTEGER)"
@@ -259,3 +259,30 @@ def stream_run_states(spark, sf_dir):
     finally:
         spark.streams.removeListener(listener)
     return states.states(states.recorded(spark, f"{at}/states")).select("run_id", "status", "rows")
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'dead_letter' ELSE 'done' END AS status, CASE WHEN page_id % 7 = 0 THEN 5 WHEN page_id % 5 = 0 THEN 3 WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS attempt,
+    CASE WHEN page_id % 7 <> 0 THEN 'reply ' || page_id END AS reply FROM pages"""
+)
+def stream_limited_calls(spark, sf_dir):
+    """The pages as a queue of calls whose replies have landed: some come at a later attempt, some never; timers try them again as the clock moves."""
+    k = F.col("page_id")
+    reply = F.to_json(F.struct(F.concat(F.lit("reply "), k.cast("string")).alias("text")))
+    at_attempt = F.when(k % 7 == 0, 99).when(k % 5 == 0, 3).when(k % 3 == 0, 2).otherwise(1)
+    replies = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.when(i == at_attempt, reply))
+    clock = lambda second: F.timestamp_seconds(F.lit(1_700_000_000 + second))
+    at = fresh_path(spark, "calls")
+    table(spark, sf_dir, "pages").select(k.cast("string").alias("id"), F.struct(replies.alias("replies")).alias("context"), clock(0).alias("at")).coalesce(1).write.parquet(f"{at}/queue/0")
+    for i, second in enumerate((30, 60, 120, 240, 480, 960), 1):  # what comes later moves the clock
+        spark.range(1).select(F.lit(f"later {i}").alias("id"), F.struct(F.array(F.lit("{}")).alias("replies")).alias("context"), clock(second).alias("at")).write.parquet(f"{at}/queue/{i}")
+    before = spark.conf.get(calls.PROVIDER[0])
+    spark.conf.set(*calls.PROVIDER)
+    try:
+        queue = spark.readStream.schema("id string, context struct<replies:array<string>>, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{at}/queue/*")
+        done = calls.limited_calls(queue, calls.replayed, shares=4, rate=1e9)
+        done.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(calls.PROVIDER[0], before)
+    got = spark.read.schema(calls.RESULT).parquet(f"{at}/out").where("id not like 'later%'")
+    return got.select(F.col("id").cast("long").alias("page_id"), "status", "attempt", F.get_json_object("output", "$.text").alias("reply"))

@@ -29,6 +29,15 @@ def refilled(tokens: float, since_ms: int, now_ms: int, rate: float, per: float)
     return min(rate, tokens + max(0, now_ms - since_ms) * rate / (1000 * per))
 
 
+def replayed(context: dict, attempt: int) -> dict:
+    """A call that gives landed replies (context.replies, JSON texts) again, attempt by attempt; a null or missing one fails."""
+    replies = context.get("replies") or []
+    reply = replies[attempt - 1] if attempt <= len(replies) else None
+    if reply is None:
+        raise LookupError(f"no reply to attempt {attempt}")
+    return json.loads(reply)
+
+
 class Calls(StatefulProcessor):
     """One share of the limit: a token bucket, and the calls that wait for a token or for their next attempt.
 
