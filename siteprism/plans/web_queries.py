@@ -13,7 +13,7 @@ from siteprism.functions import dom, text, urls
 from siteprism.plans.queries import LEADS, leads_of, query, table
 from siteprism.plans.read_queries import _pages_stream, _stored_stream
 from siteprism.sources import leads as landed
-from siteprism.sources import search, wire
+from siteprism.sources import pack_rows, search, wire
 from siteprism.sources.shared import fresh_path
 from siteprism.streaming import calls, states
 
@@ -286,3 +286,47 @@ def stream_limited_calls(spark, sf_dir):
         spark.conf.set(calls.PROVIDER[0], before)
     got = spark.read.schema(calls.RESULT).parquet(f"{at}/out").where("id not like 'later%'")
     return got.select(F.col("id").cast("long").alias("page_id"), "status", "attempt", F.get_json_object("output", "$.text").alias("reply"))
+
+
+# Packs that are tables.
+
+_ENTRIES = "e AS (SELECT p_partkey AS k, p_partkey // 2 AS n, CASE WHEN p_partkey % 2 = 1 THEN 'two' ELSE 'one' END AS pack, p_partkey % 5 AS kind FROM part), c AS (SELECT * FROM e WHERE kind IN (0, 1, 3) QUALIFY row_number() OVER (PARTITION BY n ORDER BY pack DESC) = 1)"
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the entries of two packs, two to a name; of five one has a broken pattern, one none that counts here, and one is no JSON."""
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    entry = (
+        F.when(k % 5 == 0, c('{"cats":[1],"html":["p', n, '","(bad"],"headers":{"X-', n, '":"","Y":4}}')).when(k % 5 == 1, c('{"scriptSrc":"s', n, r"\\;version:\\1\\;confidence:50", '"}')).when(k % 5 == 2, F.lit('{"js":{"a":"b"}}'))
+        .when(k % 5 == 3, c('{"text":"t', n, r"\\;confidence:500", '","meta":{"gen":"m', n, r'\\;confidence:x"}}')).otherwise(F.lit("{"))
+    )
+    return table(spark, sf_dir, "part").select((k % 2).alias("ord"), F.when(k % 2 == 1, "two").otherwise("one").alias("pack"), F.concat(F.lit("T"), F.expr("p_partkey div 2").cast("string")).alias("name"), entry.alias("entry"))
+
+
+@query(
+    f"""WITH {_ENTRIES} SELECT 'T' || n AS name, pack, 'html' AS source, NULL AS qualifier, 0 AS idx, 'p' || k AS regex, 100 AS confidence, NULL AS version FROM c WHERE kind = 0
+    UNION ALL SELECT 'T' || n, pack, 'headers', 'X-' || k, 1, '.*', 100, NULL FROM c WHERE kind = 0 UNION ALL SELECT 'T' || n, pack, 'script_src', NULL, 0, 's' || k, 50, '\\1' FROM c WHERE kind = 1
+    UNION ALL SELECT 'T' || n, pack, 'text', NULL, 0, 't' || k, 100, NULL FROM c WHERE kind = 3 UNION ALL SELECT 'T' || n, pack, 'meta', 'gen', 1, 'm' || k, 100, NULL FROM c WHERE kind = 3"""
+)
+def pack_patterns(spark, sf_dir):
+    """Entries of two packs as rows to patterns; of a name those of the last pack that has a usable one."""
+    found = pack_rows.patterns(pack_rows.overridden(_entries(spark, sf_dir)))
+    return found.where("not invalid").drop("invalid").select("name", "pack", "source", "qualifier", "idx", "regex", "confidence", "version")
+
+
+@query(f"WITH {_ENTRIES} SELECT pack, count(*) AS total, count(*) FILTER (WHERE kind IN (0, 1, 3)) AS loaded, count(*) FILTER (WHERE kind = 2) AS empty, 2 * count(*) FILTER (WHERE kind IN (0, 3)) + count(*) FILTER (WHERE kind = 1) AS patterns, count(*) FILTER (WHERE kind = 0) AS invalid FROM e GROUP BY pack")
+def pack_counts(spark, sf_dir):
+    """What loading each pack came to."""
+    return pack_rows.stats(_entries(spark, sf_dir))
+
+
+@query("""SELECT p_partkey, 'script_src' AS source, 0 AS idx, '/([0-9][0-9.a-z_\\-]+)/lib' || p_partkey || '\\.js' AS regex, '\\1' AS version FROM part UNION ALL SELECT p_partkey, 'html', 1, 'Lib v([0-9][0-9.a-z_\\-]+)', '\\1' FROM part WHERE p_partkey % 2 = 0""")
+def library_patterns(spark, sf_dir):
+    """Entries of vulnerable libraries as rows to patterns with versions."""
+    k = F.col("p_partkey")
+    uri = F.array(F.concat(F.lit("/§§version§§/lib"), k.cast("string"), F.lit("\\.js")))
+    entry = F.to_json(F.struct(F.struct(uri.alias("uri"), F.when(k % 2 == 0, F.array(F.lit("Lib v§§version§§"))).alias("filecontent"), F.array(F.lit("f()")).alias("func")).alias("extractors")))
+    rows = table(spark, sf_dir, "part").select(F.lit("retirejs").alias("pack"), k.cast("string").alias("name"), pack_rows.library_entry(entry).alias("entry"))
+    return pack_rows.patterns(rows).select(F.col("name").cast("long").alias("p_partkey"), "source", "idx", "regex", "version")

@@ -65,10 +65,11 @@ def strings(value: object) -> list[str]:
     return [value] if isinstance(value, str) else [v for v in value if isinstance(v, str)] if isinstance(value, list) else []
 
 
-def _valid(pattern: str) -> bool:
+def valid(pattern: str) -> bool:
+    """Whether a pattern can be compiled and isn't empty."""
     try:
         re.compile(pattern)
-    except re.error:
+    except (re.error, OverflowError, RecursionError):
         return False
     return bool(pattern)
 
@@ -90,7 +91,7 @@ def add_entry(pack: Pack, stats: Stats, name: str, entry: object, label: str) ->
     rows = []
     for source, qualifier, text in _patterns(entry):
         regex, notes = annotated(text)
-        if not _valid(regex):
+        if not valid(regex):
             stats.invalid += 1
             continue
         rows.append({"name": name, "pack": label, "source": source, "qualifier": qualifier, "idx": len(rows), "regex": regex, "confidence": confidence(notes), "version": notes.get("version") or None})
