@@ -230,7 +230,7 @@ def write_path_technologies(spark, sf_dir):
     regexp_matches(html, '(?i)<a\b[^>]*href="tel:') AS has_tel_link, regexp_matches(html, '(?i)<a\b[^>]*href="mailto:') AS has_mailto_link, CAST(len(regexp_extract_all(html, '(?i)<a\b[^>]*href="[^"]')) AS INTEGER) AS anchors FROM pages"""
 )
 def html_signal_flags(spark, sf_dir):
-    """H3-H6, H11 by the parser, on pages that regular expressions can tell as well."""
+    """H11, H12 and the number of H3 by the parser, on pages that regular expressions can tell as well (H3-H6 whole: dom_signals)."""
     got = html.page_signals(table(spark, sf_dir, "pages")).select("page_id", "has_form", "has_viewport", "has_tel_link", "has_mailto_link", F.size("anchor_hrefs").alias("anchors"))
     return got.join(table(spark, sf_dir, "pages").select("page_id", html.title_of("html").alias("raw_title")), "page_id")
 

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteprism.functions import dom, text, urls
+from siteprism.functions import dom, html, text, urls
 from siteprism.plans.queries import LEADS, leads_of, query, table
 from siteprism.plans.read_queries import _pages_stream, _stored_stream
 from siteprism.sources import leads as landed
@@ -330,3 +330,26 @@ def library_patterns(spark, sf_dir):
     entry = F.to_json(F.struct(F.struct(uri.alias("uri"), F.when(k % 2 == 0, F.array(F.lit("Lib v§§version§§"))).alias("filecontent"), F.array(F.lit("f()")).alias("func")).alias("extractors")))
     rows = table(spark, sf_dir, "part").select(F.lit("retirejs").alias("pack"), k.cast("string").alias("name"), pack_rows.library_entry(entry).alias("entry"))
     return pack_rows.patterns(rows).select(F.col("name").cast("long").alias("p_partkey"), "source", "idx", "regex", "version")
+
+
+# Fields of a lead that a text or a URL tells.
+
+_ADDRESSES = (("{k} Main Street", True), ("Suite {k}, Oak avenue", True), ("Portland, OR 97201-{k}", True), ("Street of none", False), ("{k} Elm Road. All rights reserved", False), ("call us at {k} Low Lane", False), ("", False))
+
+
+@query(
+    "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 2000 + c_custkey % 100 WHEN 1 THEN 2000 + c_custkey % 100 WHEN 2 THEN 2000 + c_custkey % 100 ELSE 0 END AS year, c_custkey % 7 IN (0, 1, 2) AS postal, "
+    "CASE WHEN c_custkey % 3 = 0 THEN 'https://final.example/Portland/' || c_custkey WHEN c_custkey % 3 = 1 THEN 'https://source.example/' || c_custkey ELSE '' END AS picked, "
+    "CASE WHEN c_custkey % 3 = 0 OR c_custkey % 4 = 3 THEN 0.8 ELSE 0.0 END::DOUBLE AS place_sure, CASE WHEN c_custkey % 2 = 0 THEN 0.0 ELSE 0.65 END::DOUBLE AS category_sure FROM customer"
+)
+def lead_fields(spark, sf_dir):
+    """Copyright years, postal addresses, the URL that counts, and how sure place and category are."""
+    k = F.col("c_custkey")
+    n = k.cast("string")
+    year = F.lpad((k % 100).cast("string"), 2, "0")
+    c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    notice = F.when(k % 5 == 0, c("x © 20", year, " Acme, © 2001")).when(k % 5 == 1, c("COPYRIGHT20", year)).when(k % 5 == 2, c("copyright\n 20", year, "-2030")).when(k % 5 == 3, F.lit("(c) 2019 © 1999"))
+    place = F.replace(F.element_at(F.array(*[F.lit(a) for a, _ in _ADDRESSES]), (k % 7 + 1).cast("int")), F.lit("{k}"), F.lpad((k % 10000).cast("string"), 4, "0"))
+    final, source = F.when(k % 3 == 0, c("https://final.example/Portland/", n)).when(k % 3 == 1, F.lit("")), F.when(k % 3 == 1, c("https://source.example/", n))
+    sure = html.confidences(urls.pick_url(final, source), F.when(k % 4 == 3, "").otherwise("PORTLAND"), F.when(k % 2 == 0, "").otherwise("hvac"))
+    return table(spark, sf_dir, "customer").select(k, text.copyright_year(notice).alias("year"), text.postal_address(place).alias("postal"), urls.pick_url(final, source).alias("picked"), sure[0].alias("place_sure"), sure[1].alias("category_sure"))
