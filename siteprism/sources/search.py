@@ -71,7 +71,8 @@ class Landed:
     def _at(self, folder: str):
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+        path = self.path.removeprefix("file:") if not self.path.startswith("file://") else self.path
+        system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         return system, f"{root}/{folder}".rstrip("/"), fs
 
     def runs(self) -> list[str]:
