@@ -11,6 +11,8 @@ import __spark_entry__ as entry
 CASES = (
     "url_host", "internal_link_top3", "word_gate_counts", "first_nonempty", "doc_phone", "robots_gate", "qualify_status", "final_status", "tier2_enrich", "sig_headers", "resolve_requires", "resolve_implies", "dedup_best", "blocklist_downgrade", "pack_stats",
     "read_recent_leads", "read_run_leads", "read_recent_runs", "console_search", "lead_provenance", "technologies_found", "write_path_technologies", "html_signal_flags", "stream_evaluate", "stream_first_in_run", "stream_tier2",
+    "dom_select", "dom_company", "dom_address", "dom_signals", "wire_leads", "landed_leads", "ipv6_gate", "ipv6_networks", "url_references", "fixed_lists", "fixed_words", "pack_patterns", "pack_counts", "library_patterns", "search_source",
+    "stream_technologies", "stream_run_states", "stream_limited_calls", "lead_fields", "json_lines", "sig_prefilter",
 )
 
 
