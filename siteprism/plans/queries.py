@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siteprism.config import Config
 from siteprism.functions import html, text, urls
-from siteprism.operators import compliance, console, discovery, evaluate, gate, match, resolve, tiers, warehouse
+from siteprism.operators import compliance, console, discovery, evaluate, gate, match, match_sql, resolve, tiers, warehouse
 from siteprism.plans.pipeline import process
 from siteprism.sources import leads as landed
 from siteprism.sources import packs
@@ -629,6 +629,14 @@ def sig_match_generated(spark, sf_dir):
     return match.match_generated(p, rows).select(F.col("lead").cast("long").alias("page_id"), "name", "matched_value")
 
 
+@query(" UNION ALL ".join(rf"SELECT page_id, '{n}' AS name, regexp_extract(html, '(?i){p}') AS matched_value FROM pages WHERE regexp_matches(html, '(?i){p}')" for n, p in _HTML_PATTERNS))
+def sig_match_sql(spark, sf_dir):
+    """The matcher as a table function, called from SQL beside the pages."""
+    rows = [dict(name=n, pack="t", source="html", qualifier=None, idx=i, regex=r, confidence=100, version=None) for i, (n, r) in enumerate(_HTML_PATTERNS)]
+    match_sql.register(spark, rows, "match_html_signatures")
+    return spark.sql("SELECT p.page_id, m.name, m.matched_value FROM {pages} p, LATERAL match_html_signatures('html', CAST(NULL AS STRING), p.html) m WHERE NOT m.failed", pages=table(spark, sf_dir, "pages"))
+
+
 @query(
     """WITH t AS (SELECT o_orderkey AS id, o_orderkey % 5000 AS n, o_orderkey % 10 AS minor FROM orders) SELECT id, 'T' || n AS name, CASE WHEN n % 3 = 1 THEN CAST(minor AS VARCHAR) END AS version,
     'REF-' || lpad(CAST(n AS VARCHAR), 4, '0') || CASE n % 3 WHEN 0 THEN '-x' WHEN 1 THEN '-x' || minor ELSE '' END AS matched_value FROM t WHERE n < 3000"""
