@@ -513,6 +513,29 @@ def test_repeats(spark, group, monkeypatch):
     assert repeats.removal_digests(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [128, 2])
+def test_repeats_within_a_text(spark, common, monkeypatch):
+    """Equal stretches of a text are told where it is read, and what many texts hold is found all the same."""
+    monkeypatch.setattr(repeats, "COMMON", common)
+    rng = random.Random(29)
+    over, passage = "lorem ip " * 60, prose(rng, 40)
+    own = [prose(rng, rng.randint(0, 30), "abé") for _ in range(24)]
+    rows = [(i, own[2 * i] + over[i % 3 : 100 + 37 * i] + own[2 * i + 1]) for i in range(12)]
+    rows += [(20 + i, f"{own[i]} {passage} {own[i + 9]} {passage[: 90 + 40 * i]}") for i in range(4)] + [(30, rows[3][1]), (30, rows[3][1]), (31, passage + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(repeats.removal_digests(df, 80)) == brute_repeats(rows, 80)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 1000])
+def test_repeats_rows_of_periodic_text(spark, block):
+    """A word over and over goes between tasks in a few rows, which tell of all its places."""
+    text = "lorem ip " * 500
+    seen = repeats._occurrences(repeats._keyed(docs(spark, [text])).select("doc_id", "th", "text"), 80, block).collect()
+    assert len(seen) <= 4 * -(-len(text) // block)
+    at = [x for r in seen for x in r.own or [r]]
+    assert sorted(i for x in at for i in range(x.start, x.start + x.n)) == list(range(len(text) - 79))
+
+
 def test_remove_repeats(spark):
     rng = random.Random(11)
     passage, other = prose(rng, 80), prose(rng, 50)
