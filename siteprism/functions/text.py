@@ -30,6 +30,8 @@ NO_NAME = ("call us", "contact us", "request service", "book now", "learn more",
 #: Patterns of e-mail addresses, phone numbers, postal addresses and copyright lines.
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE = r"(?:\+?1[\s\-.]?)?(?:\(?\d{3}\)?[\s\-.]?)\d{3}[\s\-.]?\d{4}"
+#: What every such number ends in.
+PHONE_END = r"\d{3}[\s\-.]?\d{4}"
 STREET_NUMBER = r"\b\d{1,6}\b"
 STREET_TYPE = r"(?i)\b(st|street|ave|avenue|rd|road|blvd|boulevard|dr|drive|ln|lane|ct|court|way|pkwy|parkway|pl|place)\b"
 CITY_STATE_ZIP = r"(?i)\b[a-z .'-]+,\s*[A-Z]{2}\s+\d{5}(?:-\d{4})?\b"

@@ -158,11 +158,10 @@ def landed_leads(spark, sf_dir):
 @query("SELECT page_id, CAST(length(html) AS INTEGER) AS size, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS anchors, regexp_matches(html, '<form[ >]') AS has_form, md5(html) AS html_md5 FROM pages")
 def landed_html(spark, sf_dir):
     """Pages landed as a file each, read as whole files and parsed."""
-    at = fresh_path(spark, "html")
-    table(spark, sf_dir, "pages").select("page_id", "html").write.partitionBy("page_id").text(at)
-    got = landed.leads_from_html(spark, f"{at}/*/*")
+    groups = landed.write_html(table(spark, sf_dir, "pages").select("page_id", "html"), fresh_path(spark, "html"))
     page = F.expr("left(raw_html, length(raw_html) - 1)")  # the writer ends each file's line
-    return got.select(F.regexp_extract("id", r"page_id=(\d+)", 1).cast("long").alias("page_id"), F.length(page).alias("size"), F.size("anchor_hrefs").alias("anchors"), "has_form", F.md5(page).alias("html_md5"))
+    page_id = F.regexp_extract("id", r"page_id=(-?\d+)", 1).try_cast("long").alias("page_id")
+    return landed.read_html(spark, groups, lambda leads: leads.select(page_id, F.length(page).alias("size"), F.size("anchor_hrefs").alias("anchors"), "has_form", F.md5(page).alias("html_md5")))
 
 
 @query("""SELECT '{"event_id":' || event_id || ',"kind":"' || event_type || '","odd":' || CASE WHEN event_id % 2 = 1 THEN 'true' ELSE 'false' END || CASE WHEN event_id % 3 = 0 THEN '' ELSE ',"note":"\\"n' || event_id % 3 || '\\""' END || '}' AS value FROM events""")
