@@ -61,9 +61,12 @@ def test_a_file_for_each_page_and_nothing_else(spark, tmp_path, monkeypatch):
     at = f"{tmp_path}/a blank, 100% #1"
     groups = leads.write_html(pages, f"file://{at}")
     files = _files(at)
-    assert len(files) == 90 and all(re.search(r"/\d+-\d+/page_id=\d+-\d+\.html$", f) for f in files)
+    assert len(files) == 90 and all(re.search(r"/\d+-\d+-\d+/page_id=\d+-\d+\.html$", f) for f in files)
     assert max(len(os.listdir(f"{at}/{d}")) for d in os.listdir(at)) == 10
     assert [len(g) for g in groups] == [2, 2, 2, 2, 1] and len({f for g in groups for f in g}) == 9
+    os.makedirs(f"{at}/0-99-0")
+    with open(f"{at}/0-99-0/page_id=5-5.html", "w") as f:  # of an attempt that failed
+        f.write("<p>")
     back = leads.read_html(spark, groups, lambda rows: rows.selectExpr("regexp_extract(id, 'page_id=([0-9]+)', 1) as page_id", "raw_html"))
     assert _told(back.collect()) == _told((k, f"<p>{k}</p>\n") for k in range(90))
     assert spark.conf.get(leads.OPEN_COST[0]) != leads.OPEN_COST[1]
